@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, repetition, warc
+from . import decontaminate, line_dedup, mixing, repetition, token_store, warc
 from .common import run_dir, written
 
 
@@ -23,6 +23,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = run_dir(spark, "tokens")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    written(token_store.write_tokens(table(spark, sf_dir, "documents"), folder, path), "token-manifest")
+    return token_store.token_report(spark, folder)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -43,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op5_mixing": op5_mixing,
+        "op6_token_files": op6_token_files,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_warc": op9_warc,
