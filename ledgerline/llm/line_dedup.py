@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: The characters stripped at both ends of a line.
 STRIP = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,7 +42,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     rows = row_key(docs).where(F.col("doc_id").isNotNull())
     lines = rows.select("doc_id", "t", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.length("line") >= min_chars)
     keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
-    hashed = keyed.select("doc_id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    hashed = written(keyed.select("doc_id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "line-hashes")
     # an upper bound first, combined before the shuffle: lines count, not documents
     often = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_lines")).where(F.col("n_lines") >= min_docs)
     some = hashed.join(often.select("h1", "h2"), ["h1", "h2"], "left_semi")
@@ -65,7 +67,8 @@ def deduplicate_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     A document that loses all lines keeps an empty text.
     """
     bits = drop_bitmaps(docs, min_chars, min_docs)
-    rows = row_key(docs).join(bits, ["doc_id", "t"], "left")
+    # bitmaps are a small part of a partition's text: hashing them spares sorting the texts
+    rows = row_key(docs).join(bits.hint("shuffle_hash"), ["doc_id", "t"], "left")
     lines = F.split("text", "\n", -1)
     kept = F.expr("filter(split(text, '\n', -1), (l, i) -> (shiftright(coalesce(try_element_at(bits, shiftright(i, 6)), 0L), i & 63) & 1L) = 0L)")
     return rows.select(
