@@ -1,13 +1,13 @@
 """Line de-duplication with keep bitmaps, in DataFrame operations only.
 
-Long lines travel as 128-bit hashes of their keys with document and position, never as text. A
-map-side combine finds the keys of many documents and the document that keeps each; only rows of
-those keys are range-partitioned by hash and sorted by document and position behind it, and the
+Long lines travel as 128-bit hashes of their keys with document and position, never as text. Counts
+combined before each shuffle find the keys of many documents and the document that keeps each; only
+rows of those keys are range-partitioned by hash and sorted by document and position behind it, and the
 rows past the first occurrence's document set bits in a per-document bitmap of 64-bit words (words
 without a dropped line are left out). The text is touched once, when a caller applies the bitmaps.
 
-A hot key is safe: its count is combined before the shuffle, and the range partitioning also
-splits by document, so its rows spread over partitions.
+A hot key is safe: its rows are counted by (key, document) first and combined before they meet by
+key, AQE can split its side of the join, and the range partitioning also splits by document.
 """
 
 from __future__ import annotations
@@ -43,16 +43,13 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     lines = rows.select("doc_id", "t", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.length("line") >= min_chars)
     keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     hashed = written(keyed.select("doc_id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "line-hashes")
-    # an upper bound first, combined before the shuffle: lines count, not documents
-    often = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_lines")).where(F.col("n_lines") >= min_docs)
-    some = hashed.join(often.select("h1", "h2"), ["h1", "h2"], "left_semi")
     keepers = (
-        some.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
+        hashed.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
     )
     ordered = (
-        some.join(keepers, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
+        hashed.join(keepers, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
         .repartitionByRange("h1", "h2", F.desc("doc_id"), "pos").sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
     )
     words = ordered.groupBy("doc_id", "t", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos & 63 as int))")).alias("bits"))
