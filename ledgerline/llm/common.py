@@ -42,18 +42,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of a batch with about `limit` bytes of text (one row at least), with the texts; null is empty."""
-    raw = pc.fill_null(batch.column(column).cast(pa.large_binary()), b"")
-    ends = np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False))
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `limit` bytes of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
     while start < batch.num_rows:
         done = int(ends[start - 1]) if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
-        yield batch.slice(start, stop - start), raw.slice(start, stop - start).to_pylist()
+        yield batch.slice(start, stop - start)
         start = stop
 
 
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """slices() with the texts as bytes; null is empty."""
+    for part in slices(batch, column, limit):
+        yield part, pc.fill_null(part.column(column).cast(pa.large_binary()), b"").to_pylist()
+
+
 def word_codes(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(codes of all words on end, words of each text, the distinct words by code)."""
     flat = [w for words in texts for w in words]

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import slices, written
 from .files import make_dir, write_file
 from .rans import Table, decode_blocks, encode_segment
 
@@ -41,10 +41,22 @@ def splits_at_spaces(text: str) -> bool:
     return not any(c in text and (f" {c}" in text or f"{c} " in text) for c in OTHER_BLANKS)
 
 
+def splits_at_breaks(text: str) -> bool:
+    """The same for line breaks: a lone one is a pre-token of its own."""
+    if "\n\n" in text or text[:1] == "\n" or text[-1:] == "\n":
+        return False
+    return not any(c != "\n" and c in text and (f"\n{c}" in text or f"{c}\n" in text) for c in OTHER_BLANKS)
+
+
+def pieces_of(text: str) -> list[str]:
+    """The text cut before spaces, which go, and before line breaks, which stay."""
+    return (text.replace("\n", " \n") if "\n" in text and splits_at_breaks(text) else text).split(" ")
+
+
 class PieceEncoder:
     """The library's encoding of whole texts, piece by piece with the pieces seen before kept."""
 
-    def __init__(self, path: str, room: int = 1_500_000) -> None:
+    def __init__(self, path: str, room: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,36 +65,43 @@ class PieceEncoder:
         self.splits = self.tokenizer.normalizer is None and repr(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in repr(self.tokenizer.pre_tokenizer)
         self.mark = self.tokenizer.token_to_id("\u010d")  # the byte-level form of a carriage return
         self.splits = self.splits and self.mark is not None
+        self.ends = dict(zip(".,", self.whole([".", ","]), strict=True))
         self.known: dict[str, bytes] = {}
         self.room = room
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode " piece" for each. Many go in one text, apart by carriage returns: one before a space is a token of its own."""
-        plain = [w for w in pieces if "\r" not in w]
-        for w in set(pieces) - set(plain):
-            self.known[w] = self.whole([f" {w}"])[0]
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the pieces. A full stop or comma behind a Latin letter is a pre-token of its own, so
+        such a piece is its stem's ids and the mark's. Many pieces go in one text, apart by carriage
+        returns: one before a space is a token of its own."""
+        known = self.known
+        stems = {w: w[:-1] for w in pieces if len(w) > 2 and w[-1] in self.ends and w[-2].isalpha() and w[-2] < "\u0250"}
+        todo = {stems.get(w, w) for w in pieces} - known.keys()
+        plain = [w for w in todo if w[:1] != "\n" and "\r" not in w]
+        others = [w for w in todo if w[:1] == "\n" or "\r" in w]
+        known.update(zip(others, self.whole([w if w[:1] == "\n" else f" {w}" for w in others]), strict=True))
         runs = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
         for run, raw in zip(runs, self.whole(["".join([f" {w}\r" for w in run]) + " " for run in runs]), strict=True):
-            ends = np.flatnonzero(np.frombuffer(raw, np.uint32) == self.mark).tolist()
             begin = 0
-            for w, end in zip(run, ends, strict=True):
-                self.known[w] = raw[4 * begin : 4 * end]
-                begin = end + 1
+            for w, end in zip(run, (np.flatnonzero(np.frombuffer(raw, np.uint32) == self.mark) * 4).tolist(), strict=False):
+                known[w] = raw[begin:end]
+                begin = end + 4
+        for w, stem in stems.items():
+            known[w] = known[stem] + self.ends[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers on end."""
         if len(self.known) > self.room:
             self.known.clear()
         simple = [self.splits and splits_at_spaces(t) and not any(s in t for s in self.special) for t in texts]
-        pieces = [t.split(" ") if ok else [t] for t, ok in zip(texts, simple, strict=True)]
+        pieces = [pieces_of(t) if ok else [t] for t, ok in zip(texts, simple, strict=True)]
         heads = self.whole([p[0] for p in pieces])
         words = [w for p in pieces for w in p[1:]]
         coded = list(map(self.known.get, words))
         if new := [i for i, x in enumerate(coded) if x is None]:
-            self.learn(list({words[i] for i in new}))
+            self.learn({words[i] for i in new})
             for i in new:
                 coded[i] = self.known[words[i]]
         out, at = [], 0
@@ -159,7 +178,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         numbers: list[int | None] = []
         held = 0
         for batch in batches:
-            for piece, _ in text_slices(batch):
+            for piece in slices(batch):
                 for n, x in zip(piece.column("doc_id").to_pylist(), coder.encode(piece.column("text").to_pylist()), strict=True):
                     ids.append(x + end)
                     numbers.append(n)
