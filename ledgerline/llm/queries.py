@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable
-from . import context_tree, decontaminate, line_dedup, mixing, ngram_join, repetition, token_store, warc
+from . import context_tree, decontaminate, line_dedup, mixing, ngram_join, quality_model, repetition, token_counts, token_store, warc
 from .common import run_dir, written
 
 
@@ -24,6 +24,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents")).select("doc_id", "weak_label", "score", "kept", "votes")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(table(spark, sf_dir, "documents"))
 
@@ -61,6 +71,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_decontamination": op2_decontamination,
+        "op3_quality_model": op3_quality_model,
+        "op4_token_counts": op4_token_counts,
         "op5_mixing": op5_mixing,
         "op6_token_files": op6_token_files,
         "op7_line_dedup": op7_line_dedup,
