@@ -43,10 +43,11 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     lines = rows.select("doc_id", "t", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.length("line") >= min_chars)
     keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     hashed = written(keyed.select("doc_id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "line-hashes")
-    keepers = (
+    keepers = written(
         hashed.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+        .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"),
+        "line-keepers",
     )
     ordered = (
         hashed.join(keepers, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
