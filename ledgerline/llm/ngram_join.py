@@ -6,15 +6,21 @@
 2. A pair of 3/4 similarity shares a shingle among the rarest quarter (plus one) of each set, rare
    meaning not hot, then by count, then by hash. Those prefix shingles go to inverted lists, sorted
    by set size; a list is cut where sizes are too far apart to link.
-3. Lists of up to PIECE documents are blocks. Equal blocks (near copies share many lists) are kept
-   once. Longer lists are cut into a chain of blocks that overlap by one document.
-4. In a block, each document is a query against the smaller ones: T-occurrence search with
+3. Lists of up to PIECE documents are blocks; equal blocks (near copies share many lists) are kept
+   once, and longer lists are cut into a chain of blocks that overlap by one document. Parity bitmaps
+   of the sets bound the difference of two sets from below: in each block, the pairs that the bound
+   allows make a forest of feasible edges. A long list whose documents the edges leave apart is
+   gone through again, what is outside its largest part against all of it.
+4. Components of the feasible edges are families: every link lies inside one. Families are a small
+   part of the documents, and only their whole sets are moved, once.
+5. In a family, each document is a query against the smaller ones: T-occurrence search with
    DivideSkip over inverted lists of the whole sets. Its short lists are merged by counting and its
-   long ones probed by binary search; what reaches the needed overlap is a link. A block returns a
-   spanning forest of its links, never all pairs. (Document numbers in a block are small, so the
+   long ones probed by binary search; what reaches the needed overlap is a link. A family returns a
+   spanning forest of its links, never all pairs. (Document numbers in a family are small, so the
    merge counts in an array where the published form keeps a heap; the lists and skips are the same.)
-5. Components come from the links. A long list whose documents are not all in one component by then
-   is searched again in full: documents outside its largest component against all, block by block.
+   A family of more than FAMILY documents is searched in parts, and then what is outside its largest
+   component against all of it, part by part.
+6. Components of the links are the result.
 
 Broadcasts: the hot shingles (at most 2**20) and a bitmap of fixed size that spares shingling
 documents without any shared list. Lists of very frequent shingles are salted.
@@ -22,7 +28,7 @@ documents without any shared list. Lists of very frequent shingles are salted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +41,7 @@ from .components import connected
 
 WIDTH = 5
 PIECE = 64
-PIECE_HASHES = 2 << 20
+FAMILY = 2048
 HOT_TOKENS = 1 << 20
 LEAST_HOT = 16
 SALT_AT = 4096
@@ -81,6 +87,13 @@ def signature(hashes: np.ndarray) -> tuple[int, int]:
     return (d & (1 << 64) - 1) - (1 << 63), (d >> 64) - (1 << 63)
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """A bitmap of about as many bits as hashes, each the parity of the hashes that fall on it. Bits in
+    which two sets differ are no more than the hashes in which they do."""
+    bits = 1 << max(8, int(len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
 def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
     """Shingles that a set of n shares with any partner: ceil(3 n / 4)."""
     return -(-3 * n // 4)
@@ -88,7 +101,7 @@ def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
 
 def document_statistics(rows: DataFrame) -> DataFrame:
     """kind 0: (doc_id, number of shingles, signature); kind 1: (shingle, count) seen twice or more in a stretch."""
-    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bits", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -99,14 +112,14 @@ def document_statistics(rows: DataFrame) -> DataFrame:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             keys, counts = keys[counts > 1], counts[counts > 1]
             none = pa.nulls(len(keys), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int8)), pa.array(keys.view(np.int64)), pa.array(counts), none, none], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int8)), pa.array(keys.view(np.int64)), pa.array(counts), none, none, pa.nulls(len(keys), pa.binary())], schema=schema)
 
         for batch in batches:
             for part, texts in text_slices(batch):
                 sets = shingle_sets(texts)
                 signs = [signature(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(sets), np.int8)), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64())],
+                    [pa.array(np.zeros(len(sets), np.int8)), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64()), pa.array([parity_bits(s) for s in sets], pa.binary())],
                     schema=schema,
                 )
                 for s, sign in zip(sets, signs, strict=True):
@@ -121,7 +134,7 @@ def document_statistics(rows: DataFrame) -> DataFrame:
         if held:
             yield recurring()
 
-    return rows.mapInArrow(work, "kind byte, key long, n long, s1 long, s2 long")
+    return rows.mapInArrow(work, "kind byte, key long, n long, s1 long, s2 long, bits binary")
 
 
 def hot_shingles(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -282,6 +295,90 @@ def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return keyed.mapInArrow(work, "doc_id long, hashes array<long>")
 
 
+def folded(bits: bytes, size: int) -> np.ndarray:
+    words = np.frombuffer(bits, np.uint64)
+    return words if len(words) == size else np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
+
+
+def feasible_forest(comps: list[int], n: list[int], bits: list[bytes]) -> list[tuple[int, int]]:
+    """A spanning forest, over the known components, of the pairs of a block whose bitmaps allow a link.
+    Sets come by size."""
+    k = len(n)
+    place: dict[int, int] = {}
+    parent = [place.setdefault(c, i) for i, c in enumerate(comps)]
+    roots = len(place)
+    sizes = np.array(n)
+    forest = []
+    for q in range(k - 1):
+        if roots == 1:
+            break
+        last = int(np.searchsorted(3 * sizes, 4 * n[q], side="right"))
+        root = find(parent, q)
+        some = [e for e in range(q + 1, last) if find(parent, e) != root]
+        if not some:
+            continue
+        width = len(bits[q]) // 8  # bitmaps grow with sizes: the smaller one serves for both
+        apart = np.bitwise_count(np.stack([folded(bits[e], width) for e in some]) ^ folded(bits[q], width)).sum(axis=1, dtype=np.int64)
+        both = sizes[q] + sizes[some]
+        for i in np.flatnonzero(apart <= both - 2 * -(-3 * both // 7)).tolist():
+            a, b = find(parent, q), find(parent, some[i])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                forest.append((q, some[i]))
+                roots -= 1
+    return forest
+
+
+def blockwise(rows: DataFrame, columns: tuple[str, ...], edges_of: Callable[..., list[tuple[int, int]]]) -> DataFrame:
+    """(u, v) from a function of each block's columns. Rows are (b1, b2, n, doc_id, ...); blocks stream by, sorted by size."""
+    rows = rows.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "n", "doc_id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, docs = None, []
+        block: list[list] = [[] for _ in columns]
+        out: list[tuple[int, int]] = []
+
+        def finish() -> None:
+            if len(docs) > 1:
+                out.extend((docs[a], docs[b]) for a, b in edges_of(*block))
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+
+        for batch in batches:
+            values = [column_values(batch.column(c)) for c in columns]
+            keys = [batch.column(c).to_numpy().tolist() for c in ("b1", "b2", "doc_id")]
+            for b1, b2, doc, *row in zip(*keys, *values, strict=True):
+                if (b1, b2) != key:
+                    finish()
+                    key, docs, block = (b1, b2), [], [[] for _ in columns]
+                docs.append(doc)
+                for kept, x in zip(block, row, strict=True):
+                    kept.append(x)
+            if out:
+                yield given()
+                out.clear()
+        finish()
+        if out:
+            yield given()
+
+    return rows.mapInArrow(work, "u long, v long")
+
+
+def column_values(column: pa.Array) -> list:
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy().tolist()
+    return [flat[a:b].copy() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def feasible_edges(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(u, v) by bitmap for members (b1, b2, doc_id[, comp]); each document stands for its class."""
+    comp = F.col("comp") if "comp" in members.columns else F.col("rep")
+    rows = members.join(known, "doc_id").select("b1", "b2", "n", F.col("rep").alias("doc_id"), comp.alias("comp"), "bits")
+    return blockwise(rows, ("comp", "n", "bits"), feasible_forest).where("u != v").distinct()
+
+
 def find(parent: list[int], i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
@@ -289,12 +386,13 @@ def find(parent: list[int], i: int) -> int:
     return i
 
 
-def block_links(sets: list[np.ndarray], parent: list[int]) -> list[tuple[int, int]]:
-    """Links that join the components in `parent` (by position); sets come by size. Each set is a query
-    against those before it."""
+def block_links(comps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the known components; sets come by size. Each is a query against those before it."""
     k = len(sets)
+    place: dict[int, int] = {}
+    parent = [place.setdefault(c, i) for i, c in enumerate(comps)]
     sizes = np.array([len(s) for s in sets])
-    roots = len({find(parent, i) for i in range(k)})
+    roots = len(place)
     links = []
     if k == 2:
         o = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
@@ -341,70 +439,56 @@ def block_links(sets: list[np.ndarray], parent: list[int]) -> list[tuple[int, in
 
 
 def search(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """members (b1, b2, doc_id[, comp]) -> links (u, v). Blocks are at most a few times PIECE documents;
-    one with more than PIECE_HASHES hashes is worked on all the same, since whole sets must meet."""
-    if "comp" not in members.columns:
-        members = members.withColumn("comp", F.col("doc_id"))
+    """members (b1, b2, doc_id, comp) -> links (u, v) between components."""
     rows = members.join(sets, "doc_id").select("b1", "b2", F.size("hashes").alias("n"), "doc_id", "comp", "hashes")
-    rows = rows.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "n", "doc_id")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: tuple[int, int] | None = None
-        docs: list[int] = []
-        comps: list[int] = []
-        sets: list[np.ndarray] = []
-        out: list[tuple[int, int]] = []
-
-        def finish() -> None:
-            if len(docs) > 1:
-                place: dict[int, int] = {}
-                parent = [place.setdefault(c, i) for i, c in enumerate(comps)]
-                out.extend((docs[a], docs[b]) for a, b in block_links(sets, parent))
-
-        for batch in batches:
-            values = batch.column("hashes")
-            flat, offsets = values.values.to_numpy().view(np.uint64), values.offsets.to_numpy()
-            columns = [batch.column(c).to_numpy().tolist() for c in ("b1", "b2", "doc_id", "comp")]
-            for i, (b1, b2, doc, comp) in enumerate(zip(*columns, strict=True)):
-                if (b1, b2) != key:
-                    finish()
-                    key, docs, comps, sets = (b1, b2), [], [], []
-                if not docs or docs[-1] != doc:
-                    docs.append(doc)
-                    comps.append(comp)
-                    sets.append(flat[offsets[i] : offsets[i + 1]].copy())
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["u", "v"])
-                out.clear()
-        finish()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["u", "v"])
-
-    return rows.mapInArrow(work, "u long, v long")
-
-
-def rest_blocks(long: DataFrame, root: DataFrame) -> DataFrame:
-    """Blocks that finish the long lists: documents outside a list's largest component against all of
-    the list, by classes of size (a link's sizes are in the same class or the next) and by hash."""
-    rows = long.select(F.col("b1").alias("token"), F.col("b2").alias("n"), "doc_id").distinct()
-    rows = rows.join(root, "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
-    open_lists = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rows = written(rows.join(open_lists, "token").withColumn("size_class", F.floor(F.log("n") / np.log(4 / 3))), "open-lists")
-    main = rows.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    count = rows.groupBy("token", "size_class").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("parts"))
-    rows = rows.join(main, "token").join(count, ["token", "size_class"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    chunk = ["token", "size_class", "part"]
-    asked = rows.where("comp != main").select(*chunk).distinct().toDF("token", "ask_class", "ask_part")
+    return blockwise(rows, ("comp", "hashes"), block_links).distinct()
+
+
+def rest_blocks(groups: DataFrame, root: DataFrame, size: int) -> DataFrame:
+    """Blocks (b1, b2, doc_id, comp) that finish large groups (g, n, doc_id): documents outside a group's
+    largest component against all of the group, by classes of size (a link's sizes are in the same
+    class or the next) and by hash, about `size` documents a side."""
+    rows = groups.join(root.select(F.col("u").alias("doc_id"), "root"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
+    open_groups = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
+    rows = rows.join(open_groups, "g").withColumn("size_class", F.floor(F.log("n") / np.log(4 / 3)))
+    main = rows.groupBy("g", "comp").count().groupBy("g").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    rows = written(rows.join(main, "g"), "open-groups")
+    kind = ["g", "size_class"]
+
+    def in_parts(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(part counts, rows with their part), about `size` rows a part."""
+        count = some.groupBy(*kind).agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+        return count, some.join(count, kind).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
+
+    all_count, all_rows = in_parts(rows)
+    ask_count, ask_rows = in_parts(rows.where("comp != main"))
+    upto = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    asked = ask_count.select("g", F.col("size_class").alias("ask_class"), upto.alias("ask_part"))
     near = F.explode(F.array(*[F.col("ask_class") + d for d in (-1, 0, 1)]))
-    pairs = asked.withColumn("size_class", near).join(count, ["token", "size_class"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    data = pairs.select(*chunk, "ask_class", "ask_part")
-    query = pairs.select("token", F.col("ask_class").alias("size_class"), F.col("ask_part").alias("part"), F.col("size_class").alias("with_class"), F.col("part").alias("with_part"), "ask_class", "ask_part")
-    key = lambda c, p: [F.xxhash64("token", "ask_class", "ask_part").alias("b1"), F.xxhash64(F.lit(1), "token", "ask_class", "ask_part", c, p).alias("b2")]
-    a = rows.join(data, chunk).select(*key("size_class", "part"), "doc_id", "comp")
-    b = rows.where("comp != main").join(query, chunk).select(*key("with_class", "with_part"), "doc_id", "comp")
+    pairs = asked.withColumn("size_class", near).join(all_count, kind).withColumn("part", upto).drop("parts")
+    key = ["g", "ask_class", "ask_part", "size_class", "part"]
+    pairs = pairs.select(*key, F.xxhash64(*key).alias("b1"), F.xxhash64(F.lit(1), *key).alias("b2"))
+    a = all_rows.join(pairs, [*kind, "part"]).select("b1", "b2", "doc_id", "comp")
+    query = pairs.select("g", F.col("ask_class").alias("size_class"), F.col("ask_part").alias("part"), "b1", "b2")
+    b = ask_rows.join(query, [*kind, "part"]).select("b1", "b2", "doc_id", "comp")
     return a.unionByName(b).distinct()
 
 
+def families_searched(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """families (g, n, doc_id) -> links (u, v) that connect what is similar in each family."""
+    parts = families.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("parts"))
+    rows = families.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    own = rows.select(F.col("g").alias("b1"), F.col("part").alias("b2"), "doc_id", F.col("doc_id").alias("comp"))
+    # a sample of every part meets in one more block, which joins the parts of a large family
+    bridge = rows.where("parts > 1").where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts")) == 0)
+    bridge = bridge.select(F.col("g").alias("b1"), F.lit(-1).cast("long").alias("b2"), "doc_id", F.col("doc_id").alias("comp"))
+    links = written(search(own.unionByName(bridge), sets), "links")
+    large = rows.where("parts > 1").select("g", "n", "doc_id")
+    if large.isEmpty():
+        return links
+    return links.unionByName(written(search(rest_blocks(large, connected(links), FAMILY // 2), sets), "links"))
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -414,30 +498,31 @@ def similar_components(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stats = written(document_statistics(rows), "shingle-stats")
-    known = stats.where("kind = 0").select(F.col("key").alias("doc_id"), "n", "s1", "s2")
+    known = stats.where("kind = 0").select(F.col("key").alias("doc_id"), "n", "s1", "s2", "bits")
+    # classes of equal sets go by their smallest document
+    classes = written(known.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "shingle-classes")
+    in_class = known.where("doc_id is not null").join(classes, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    in_class = written(in_class.select("doc_id", "n", "rep", "bits"), "shingle-classes")
+    some = in_class.where("n > 0").distinct()
+
     lists = prefixes(rows, hot_shingles(stats)).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "doc_id")
     found = written(list_blocks(lists), "list-blocks")
-    members = found.where("kind = 0").select("b1", "b2", "doc_id").distinct()
-    long = found.where("kind = 1")
-    sets = written(sets_of(rows, found.select("doc_id").distinct()), "shingle-sets")
-    # classes of equal sets, by their smallest document; texts of one doc_id belong together
-    classes = known.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    member = known.where("doc_id is not null").join(classes, ["n", "s1", "s2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    member = written(member.distinct(), "shingle-classes")
-    split = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u != v").select("u", "v")
-    same = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-
-    def joined(links: DataFrame) -> DataFrame:
-        to = links.join(same.toDF("u", "ru"), "u").join(same.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-        return connected(to.unionByName(split))
-
-    links = written(search(members, sets), "shingle-links")
-    roots = joined(links)
+    edges = written(feasible_edges(found.where("kind = 0").select("b1", "b2", "doc_id").distinct(), some), "feasible-edges")
+    roots = connected(edges)
+    long = found.where("kind = 1").select(F.col("b1").alias("g"), "doc_id").distinct()
     if not long.isEmpty():
-        comp = same.join(roots, same["rep"] == roots["u"], "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
-        more = written(search(rest_blocks(long, comp), sets), "shingle-links")
+        lists = long.join(some, "doc_id").select("g", "n", F.col("rep").alias("doc_id")).distinct()
+        apart = rest_blocks(lists, roots, FAMILY // 2)
+        more = written(feasible_edges(apart, some.where("doc_id = rep")), "feasible-edges")
         if not more.isEmpty():
-            roots = joined(links.unionByName(more))
+            roots = connected(edges.unionByName(more))
+    family = written(roots.select(F.col("u").alias("doc_id"), F.col("root").alias("g")).unionByName(roots.select(F.col("root").alias("doc_id"), F.col("root").alias("g")).distinct()), "families")
+    sets = written(sets_of(rows, family.select("doc_id")), "shingle-sets")
+    sized = family.join(some.where("doc_id = rep").select("doc_id", "n"), "doc_id").select("g", "n", "doc_id").distinct()
+    # texts that share a doc_id belong together whatever their sets
+    split = in_class.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u != v").select("u", "v")
+    roots = connected(families_searched(sized, sets).unionByName(split))
+    same = in_class.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     out = known.join(same, "doc_id", "left").join(roots, F.col("rep") == F.col("u"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
