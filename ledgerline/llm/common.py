@@ -6,14 +6,15 @@ no byte of a multi-byte character is, so byte-wise work equals work on code poin
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+
+from ..durable import run_dir, shared_dir, written
+
+__all__ = ["ASCII_LOWER", "BLANKS", "run_dir", "shared_dir", "slices", "sums_by_row", "text_slices", "word_codes", "written"]
 
 #: A-Z to a-z and nothing else.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -21,27 +22,6 @@ ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopq
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def run_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, computed once and kept as Parquet in the shared folder: survives lost executors."""
-    path = run_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `limit` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
@@ -60,7 +40,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 2
         yield part, pc.fill_null(part.column(column).cast(pa.large_binary()), b"").to_pylist()
 
 
-def word_codes(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def word_codes(texts: list[list]) -> tuple[np.ndarray, np.ndarray, list]:
     """(codes of all words on end, words of each text, the distinct words by code)."""
     flat = [w for words in texts for w in words]
     known = {w: i for i, w in enumerate(dict.fromkeys(flat))}
