@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..bindings import AS_OF, both, duck, table, view
+from ..durable import run_dir
 from ..functions import finance, identifiers, names
 from ..operators import aggregates as ag
 from ..operators import graph, joins, matching, text, upsert
 from ..operators.screen import Screen, percent_to_bps
-from . import quality
+from ..streaming import counters
+from . import api, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -502,3 +505,148 @@ def company_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {f"qc_{rule.name}": quality.violations(rule) for rule in quality.RULES}
 ORACLE |= {f"qc_{rule.name}": quality.duck_sql(rule) for rule in quality.RULES}
 QUERIES["quality_report"] = quality.report
+
+
+# ---- calls ---------------------------------------------------------------------------------------
+
+
+def book(spark: SparkSession, sf_dir: str) -> api.Book:
+    return api.Book(**{name: view(spark, sf_dir, name) for name in api.Book.__dataclass_fields__})
+
+
+@query("""
+    select i.id, i.cusip, i.instrument_type, i.rate_bps, c.ticker, 0.8 as confidence from instruments i join companies c on i.company_id = c.id
+    where i.rate_bps between 500 and 550 and i.maturity_date between DATE '2003-01-01' and DATE '2003-12-31' order by i.id limit 20""".replace("0.8", "cast(0.8 as double)"))
+def call_resolve_bond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.resolve_bond(book(spark, sf_dir), q="secured 5.25%", maturity_year=2003).select("id", "cusip", "instrument_type", "rate_bps", "ticker", "confidence")
+
+
+@query("""
+    select i.id, i.outstanding, i.rate_bps, cast(coalesce(g.n, 0) as bigint) as n_guarantors from instruments i join companies c on i.company_id = c.id
+    left join (select instrument_id, count(*) as n from guarantees group by instrument_id) g on g.instrument_id = i.id
+    where i.is_active and i.rate_bps >= 820 - 1 and i.instrument_type = 'term_loan_b' and i.id in (select instrument_id from prices) and i.id in (select instrument_id from guarantees)
+    order by i.outstanding desc nulls last, i.id limit 100""")
+def call_search_bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = book(spark, sf_dir)
+    page = api.search_bonds(b, instrument_type="term_loan_b", min_coupon=8.2, has_guarantors=True, has_pricing=True).sort("-outstanding").page(100)
+    return api.with_guarantors(b, page).select("id", "outstanding", "rate_bps", "n_guarantors")
+
+
+@query("""
+    select c.id, c.ticker, d.total_debt from companies c left join (select company_id, cast(sum(outstanding) as bigint) as total_debt, bool_or(rate_type = 'floating') as f from instruments group by company_id) d on d.company_id = c.id
+    where d.total_debt between 50000000 and 120000000 and coalesce(d.f, false) order by d.total_debt nulls last, c.id limit 100""")
+def call_search_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    screen = api.search_companies(book(spark, sf_dir), min_debt=50_000_000, max_debt=120_000_000, has_floating=True)
+    return screen.sort("total_debt").fields("id,ticker,total_debt").page(100)
+
+
+@query("""
+    with l as (select company_id, max(period_end) as period_end from financials group by company_id)
+    select f.company_id, f.period_end, f.revenue, f.ebitda from financials f join l on l.company_id = f.company_id and l.period_end = f.period_end where f.revenue >= 1000000 order by f.revenue desc nulls last, f.company_id, f.period_end limit 200""")
+def call_latest_financials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    screen = api.search_financials(book(spark, sf_dir), period="latest", min_revenue=1_000_000)
+    return screen.sort("-revenue").fields("company_id,period_end,revenue,ebitda").page(200, most=200)
+
+
+@query("""
+    with r as (select *, row_number() over (partition by company_id order by period_end desc) as nth from financials)
+    select company_id, cast(sum(revenue) as bigint) as revenue, cast(sum(interest_expense) as bigint) as interest_expense, cast(max(case when nth = 1 then cash end) as bigint) as cash, cast(count(*) as bigint) as quarters from r where nth <= 4 group by company_id""")
+def call_ttm_financials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.search_financials(book(spark, sf_dir), period="TTM").df.select("company_id", "revenue", "interest_expense", "cash", "quarters")
+
+
+@query("""
+    select test_metric, min_by(threshold, id) filter (where company_id = 1) as "1", min_by(threshold, id) filter (where company_id = 2) as "2", min_by(threshold, id) filter (where company_id = 3) as "3"
+    from covenants where company_id in (1, 2, 3) group by test_metric""")
+def call_compare_covenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.compare_covenants(book(spark, sf_dir), [1, 2, 3])
+
+
+@query("""
+    select e.id, e.name, 1 as depth, cast(d.debt as bigint) as debt from entities e left join (select issuer_id, sum(outstanding) as debt from instruments where is_active group by issuer_id) d on d.issuer_id = e.id where e.parent_id = 'N3'
+    union all select e.id, e.name, 2, cast(d.debt as bigint) from entities e join entities p on e.parent_id = p.id left join (select issuer_id, sum(outstanding) as debt from instruments where is_active group by issuer_id) d on d.issuer_id = e.id where p.parent_id = 'N3'""")
+def call_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.traverse(book(spark, sf_dir), "N3", 3).select("id", "name", "depth", "debt")
+
+
+@query("select instrument_id, price_date, price_cents, volume from prices where instrument_id = 7 and price_date between DATE '1996-06-01' and DATE '1998-01-01'")
+def call_price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.price_history(book(spark, sf_dir), 7, date(1996, 6, 1), date(1998, 1, 1)).select("instrument_id", "price_date", "price_cents", "volume")
+
+
+@query("""
+    with l as (select id, case when id % 4 = 0 then rate_bps end as live, rate_bps + 7 as est from instruments),
+    h as (select instrument_id, max_by(price_cents, price_date) as traded from prices where instrument_id % 3 = 0 group by instrument_id)
+    select l.id, cast(coalesce(l.live, h.traded, l.est) as bigint) as price, case when l.live is not null then 'live' when h.traded is not null then 'history' else 'estimate' end as price_source from l left join h on h.instrument_id = l.id""")
+def price_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = book(spark, sf_dir)
+    rate = F.col("rate_bps").cast("long")
+    history = b.prices.where("instrument_id % 3 = 0").select(F.col("instrument_id").alias("id"), "price_date", F.col("price_cents").alias("price"))
+    return api.price_waterfall(b.instruments.where("id % 4 = 0").select("id", rate.alias("price")), history, b.instruments.select("id", (rate + 7).alias("price")))
+
+
+same_sql(
+    "status_counters",
+    "select 'companies' as name, cast(count(*) as bigint) as n, cast(count(distinct sector) as bigint) as n_distinct from companies union all select 'instruments', count(*), count(distinct company_id) from instruments union all select 'guarantees', count(*), count(distinct guarantor_id) from guarantees union all select 'prices', count(*), count(distinct instrument_id) from prices",
+)
+same_sql(
+    "structural_subordination",
+    "select e.parent_id, cast(count(distinct i.id) as bigint) as n, cast(sum(i.outstanding) as bigint) as debt, cast(count(distinct case when g.instrument_id is not null then i.id end) as bigint) as n_guaranteed from entities e join instruments i on i.issuer_id = e.id left join (select distinct instrument_id from guarantees) g on g.instrument_id = i.id group by e.parent_id",
+)
+same_sql(
+    "guarantee_summary",
+    "select i.company_id, cast(count(distinct g.guarantor_id) as bigint) as n_guarantors, cast(sum(i.outstanding) as bigint) as guaranteed from guarantees g join instruments i on i.id = g.instrument_id group by i.company_id",
+)
+same_sql(
+    "obligor_leakage",
+    "select company_id, fiscal_year, cast(sum(revenue) as bigint) as consolidated, cast(sum(case when fiscal_quarter < 4 then revenue end) as bigint) as obligor, case when sum(case when fiscal_quarter < 4 then revenue else 0 end) * 2 < sum(revenue) then 'high' when sum(case when fiscal_quarter < 4 then revenue else 0 end) * 4 < 3 * sum(revenue) then 'elevated' else 'low' end as risk from financials group by company_id, fiscal_year",
+)
+same_sql(
+    "ownership_audit",
+    "select entity_type, cast(count(*) as bigint) as n, cast(count(*) filter (where parent_id is null) as bigint) as orphans, cast(count(*) filter (where is_guarantor) as bigint) as guarantors, max(name) as last_name from entities group by entity_type",
+)
+same_sql(
+    "history_copy",
+    "select i.id, max(p.price_date) as price_date from instruments i join prices p on p.instrument_id = i.id where i.is_active and not exists (select 1 from prices x where x.instrument_id = i.id and x.price_date > DATE '2001-06-01') group by i.id",
+)
+same_sql(
+    "fiscal_calendar",
+    "select id, cast(case when quarter(issue_date) = 1 then year(issue_date) - 1 else year(issue_date) end as bigint) as fiscal_year, cast(case when quarter(issue_date) = 1 then 4 else quarter(issue_date) - 1 end as bigint) as fiscal_quarter, cast(datediff(maturity_date, issue_date) as bigint) as tenor_days from instruments where maturity_date is not null",
+    "select id, cast(case when quarter(issue_date) = 1 then year(issue_date) - 1 else year(issue_date) end as bigint) as fiscal_year, cast(case when quarter(issue_date) = 1 then 4 else quarter(issue_date) - 1 end as bigint) as fiscal_quarter, cast(maturity_date - issue_date as bigint) as tenor_days from instruments where maturity_date is not null",
+)
+
+
+# ---- streams, run to the end of what is there ------------------------------------------------------
+
+
+def streamed(df: DataFrame, mode: str) -> DataFrame:
+    """The last result of a stream over the files at hand, as a table in the shared folder."""
+    spark = df.sparkSession
+    out = run_dir(spark, "stream")
+    sink = lambda rows, _: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")
+    df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query("""
+    select cast(ts as date) as day, cast(count(*) as bigint) as n, cast(count(*) filter (where event_id % 20 <> 0 and event_id % 9 = 0) as bigint) as n_4xx,
+           cast(count(*) filter (where event_id % 20 = 0) as bigint) as n_5xx, cast(sum(event_id % 100) as bigint) as latency from events group by cast(ts as date)""")
+def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = streamed(counters.tumbling(counters.events(spark, sf_dir, pattern="events.parquet"), "1 day"), "complete")
+    return rows.select(F.to_date("window.start").alias("day"), "n", "n_4xx", "n_5xx", "latency")
+
+
+@query("select cast(date_trunc('hour', ts) as timestamp) as hour, '<100ms' as bucket, cast(count(*) as bigint) as n from events group by date_trunc('hour', ts)")
+def stream_hourly_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = streamed(counters.by_latency(counters.events(spark, sf_dir, pattern="events.parquet")), "complete")
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "bucket", F.col("count").alias("n"))
+
+
+@query("select event_id, user_id from events")
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamed(counters.once(counters.events(spark, sf_dir, pattern="events.parquet")).select("event_id", "user_id"), "append")
+
+
+@query()
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamed(counters.limited(counters.events(spark, sf_dir, pattern="events.parquet"), 2, 3600), "append")

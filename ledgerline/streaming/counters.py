@@ -14,9 +14,9 @@ from ..functions.names import latency_bucket
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def events(spark: SparkSession, path: str, late: str = "48 hours") -> DataFrame:
+def events(spark: SparkSession, folder: str, late: str = "48 hours", pattern: str = "*.parquet") -> DataFrame:
     """A file stream of events with zoned time and a watermark."""
-    rows = spark.readStream.schema(EVENTS).parquet(path)
+    rows = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
