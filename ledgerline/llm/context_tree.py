@@ -30,8 +30,8 @@ from .common import ASCII_LOWER, sums_by_row, text_slices, word_codes, written
 DEPTH = 5
 END = 0xFF  # no byte of UTF-8
 TOP = 2  # depths below this one make the top of the tree
-CHUNK_BYTES = 48 << 20
-SLICE_BYTES = 4 << 20
+CHUNK_BYTES = 24 << 20
+SLICE_BYTES = 3 << 19
 WORDS, STRINGS, TEXTS = 0, 1, 2
 END_WORD = 0  # the key of the end token; a word's key has its lowest bit set
 LN2 = float(np.log(2.0))
@@ -173,7 +173,7 @@ class Tally:
         self.keys.append(keys)
         self.counts.append(counts)
         self.held += len(keys)
-        if self.held > 4 << 20:
+        if self.held > 3 << 19:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -293,12 +293,13 @@ def scored(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
     n_train, distinct = int(total.n or 0), int(total.v or 0)
     base = F.log10((F.col("n") + 0.5) / F.lit(n_train + 0.5 * (distinct + 1)))
     strings = asked.where(F.col("kind") == STRINGS).groupBy("key").agg(F.sum("n").alias("n"))
-    values = words.select(F.lit(WORDS).cast("byte").alias("kind"), "key", base.alias("value"), (F.col("n") > 0).cast("byte").alias("known"))
-    values = values.unionByName(string_values(strings).select(F.lit(STRINGS).cast("byte").alias("kind"), "key", "value", F.lit(1).cast("byte").alias("known")))
+    values = words.select(F.lit(WORDS).cast("byte").alias("kind"), "key", F.when(F.col("n") > 0, base).alias("value"))
+    values = values.unionByName(string_values(strings).select(F.lit(STRINGS).cast("byte").alias("kind"), "key", "value"))
+    unseen = float(np.log10(0.5 / (n_train + 0.5 * (distinct + 1))))
     answers = asked.select("chunk", "kind", "key").join(values, ["kind", "key"])
-    none = lambda kind: F.lit(None).cast(kind)
-    both = answers.select("chunk", "kind", "key", "value", "known", none("long").alias("doc_id"), none("string").alias("text")).unionByName(
-        rows.select("chunk", F.lit(TEXTS).cast("byte").alias("kind"), none("long").alias("key"), none("double").alias("value"), none("byte").alias("known"), "doc_id", "text")
+    # texts use the key column for their doc_id: narrow rows, since all of a chunk's are sorted together
+    both = answers.select("chunk", "kind", "key", "value", F.lit(None).cast("string").alias("text")).unionByName(
+        rows.select("chunk", F.lit(TEXTS).cast("byte").alias("kind"), F.col("doc_id").alias("key"), F.lit(None).cast("double").alias("value"), "text")
     )
     ready = both.repartition("chunk").sortWithinPartitions("chunk", "kind")
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("bits_per_byte", pa.float64())])
@@ -309,9 +310,10 @@ def scored(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
         tables: list[tuple] = []
 
         def table(kind: int) -> tuple:
-            keys = np.concatenate([np.empty(0, np.int64), *(k for k, _, _ in fresh[kind])])
+            """Sorted keys and their values; a word without a value was never learned."""
+            keys = np.concatenate([np.empty(0, np.int64), *(k for k, _ in fresh[kind])])
             order = np.argsort(keys)
-            return keys[order], np.concatenate([np.empty(0), *(v for _, v, _ in fresh[kind])])[order], np.concatenate([np.empty(0, np.int8), *(k for _, _, k in fresh[kind])])[order]
+            return keys[order], np.concatenate([np.empty(0), *(v for _, v in fresh[kind])])[order]
 
         for batch in batches:
             chunks, kinds = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy()
@@ -322,21 +324,22 @@ def scored(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
                 for kind in (WORDS, STRINGS):
                     if (pick := here & (kinds == kind)).any():
                         part = batch.filter(pa.array(pick))
-                        fresh[kind].append((part.column("key").to_numpy(), part.column("value").to_numpy(), part.column("known").to_numpy()))
+                        fresh[kind].append((part.column("key").to_numpy(), part.column("value").to_numpy(zero_copy_only=False)))
                 if not (pick := here & (kinds == TEXTS)).any():
                     continue
                 if not tables:
                     tables, fresh = [table(WORDS), table(STRINGS)], [[], []]
                 for part, texts in text_slices(batch.filter(pa.array(pick)), limit=SLICE_BYTES):
-                    ids = part.column("doc_id").to_pylist()
+                    ids = part.column("key").to_pylist()
                     lower = [t.translate(ASCII_LOWER) for t in texts]
                     codes, counts, words = word_codes([t.split() for t in lower])
-                    keys, value, known = tables[WORDS]
-                    at = np.searchsorted(keys, np.append(word_keys(words), END_WORD))
-                    score, seen = sums_by_row(value[at][codes], counts) + value[at[-1]], sums_by_row(known[at][codes].astype(np.int64), counts) + int(known[at[-1]])
+                    keys, value = tables[WORDS]
+                    worth = value[np.searchsorted(keys, np.append(word_keys(words), END_WORD))]
+                    known, worth = ~np.isnan(worth), np.where(np.isnan(worth), unseen, worth)
+                    score, seen = sums_by_row(worth[codes], counts) + worth[-1], sums_by_row(known[codes].astype(np.int64), counts) + int(known[-1])
                     strings, sizes = byte_strings(lower)
                     some, place = np.unique(strings, return_inverse=True)
-                    keys, value, _ = tables[STRINGS]
+                    keys, value = tables[STRINGS]
                     model = np.add.reduceat(value[np.searchsorted(keys, some)][place], np.cumsum(sizes) - sizes)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids, pa.int64()), pa.array([held_out(d, folds, fold) for d in ids], pa.bool_()), pa.array(counts + 1), pa.array(seen), pa.array(np.full(len(ids), n_train)), pa.array(score), pa.array(model), pa.array(sizes - 1), pa.array(-model / np.log10(2.0) / np.maximum(1, sizes - 1))],
