@@ -37,7 +37,7 @@ def scaled(counts: np.ndarray, bits: int) -> np.ndarray:
 
 
 def table_bits(distinct: int) -> int:
-    return max(12, min(22, int(distinct).bit_length() + 3))
+    return max(12, min(22, int(distinct).bit_length() + 2))
 
 
 def encode_segment(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
@@ -101,9 +101,9 @@ class Table:
         self.bits, n = struct.unpack_from("<II", raw)
         self.symbols = np.frombuffer(raw, "<u4", n, 8)
         freq = np.frombuffer(raw, "<u4", n, 8 + 4 * n).astype(np.int64)
-        self.of_slot = np.repeat(np.arange(n), freq)
-        self.freq = np.repeat(freq, freq).astype(np.uint64)
-        self.bias = (np.arange(len(self.of_slot)) - np.repeat(np.cumsum(freq) - freq, freq)).astype(np.uint64)
+        self.of_slot = np.repeat(np.arange(n, dtype=np.int32), freq)
+        self.freq = np.repeat(freq.astype(np.uint32), freq)
+        self.bias = (np.arange(len(self.of_slot)) - np.repeat(np.cumsum(freq) - freq, freq)).astype(np.uint32)
 
 
 def decode_blocks(table: Table, blocks: list[bytes]) -> list[np.ndarray]:
@@ -126,7 +126,7 @@ def _decode(table: Table, blocks: list[bytes], steps: int, heads: list[tuple]) -
     words = np.concatenate([*(np.frombuffer(b, "<u4", h[2], BLOCK.size + 8 * LANES) for b, h in zip(blocks, heads, strict=True)), np.zeros(1, np.uint32)]).astype(np.uint64)
     at = np.cumsum([0, *(h[2] for h in heads)])[:-1]
     shift, slots = np.uint64(table.bits), np.uint64((1 << table.bits) - 1)
-    found = np.empty((steps, n * LANES), np.int64)
+    found = np.empty((steps, n * LANES), np.int32)
     for t in range(steps):
         slot = (state & slots).astype(np.int64)
         found[t] = table.of_slot[slot]

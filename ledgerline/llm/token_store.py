@@ -9,11 +9,13 @@ source. The whole order is (file number, position): file numbers follow the rang
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,15 @@ END_ID = 2
 OTHER_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: Marks the first piece of a text, which has no space before it; a line break marks itself.
+HEAD = "\0"
+HEADS = "\0\n"
+
+
 def splits_at_spaces(text: str) -> bool:
     """Whether all spaces of the text stand alone between solid characters. A byte-level BPE begins a
     new pre-token at each such space, so what lies between them can be encoded apart."""
-    if "  " in text or text[:1] == " " or text[-1:] == " ":
+    if "  " in text or text[:1] == " " or text[-1:] == " " or "\r" in text or HEAD in text:
         return False
     return not any(c in text and (f" {c}" in text or f"{c} " in text) for c in OTHER_BLANKS)
 
@@ -56,59 +63,74 @@ def pieces_of(text: str) -> list[str]:
 class PieceEncoder:
     """The library's encoding of whole texts, piece by piece with the pieces seen before kept."""
 
-    def __init__(self, path: str, room: int = 1_000_000) -> None:
+    def __init__(self, path: str, room: int = 1_800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.splits = self.tokenizer.normalizer is None and repr(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in repr(self.tokenizer.pre_tokenizer)
-        self.mark = self.tokenizer.token_to_id("\u010d")  # the byte-level form of a carriage return
-        self.splits = self.splits and self.mark is not None
+        model = self.tokenizer.model
+        model._resize_cache(0)  # pieces are remembered here
+        self.tokenizer.model = model
+        size = self.tokenizer.get_vocab_size()
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # begins with a space
         self.ends = dict(zip(".,", self.whole([".", ","]), strict=True))
+        # two generations: what is used moves to the young one, and the old one goes when that is full
         self.known: dict[str, bytes] = {}
-        self.room = room
+        self.old: dict[str, bytes] = {}
+        self.room = room // 2
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces. A full stop or comma behind a Latin letter is a pre-token of its own, so
-        such a piece is its stem's ids and the mark's. Many pieces go in one text, apart by carriage
-        returns: one before a space is a token of its own."""
-        known = self.known
-        stems = {w: w[:-1] for w in pieces if len(w) > 2 and w[-1] in self.ends and w[-2].isalpha() and w[-2] < "\u0250"}
-        todo = {stems.get(w, w) for w in pieces} - known.keys()
-        plain = [w for w in todo if w[:1] != "\n" and "\r" not in w]
-        others = [w for w in todo if w[:1] == "\n" or "\r" in w]
-        known.update(zip(others, self.whole([w if w[:1] == "\n" else f" {w}" for w in others]), strict=True))
+    def learn(self, pieces: list[str]) -> None:
+        """Encode the pieces. Those behind spaces go many in one text: each begins at its only id with a space."""
+        known, old = self.known, self.old
+        if old:
+            known.update([(w, old[w]) for w in pieces if w in old])
+            pieces = [w for w in pieces if w not in old]
+        # behind a Latin letter a full stop or comma is a pre-token of its own
+        ended = [w for w in pieces if w[-1] in self.ends and len(w) > 2 and w[-2].isalpha() and w[-2] < "\u0250"]
+        stems = {w[:-1] for w in ended}
+        if old:
+            known.update([(w, old[w]) for w in stems if w in old])
+        pieces = list((set(pieces) - set(ended) | stems) - known.keys())
+        plain = [w for w in pieces if w[0] not in HEADS]
+        others = [w for w in pieces if w[0] in HEADS]
+        known.update(zip(others, self.whole([w.removeprefix(HEAD) for w in others]), strict=True))
         runs = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        for run, raw in zip(runs, self.whole(["".join([f" {w}\r" for w in run]) + " " for run in runs]), strict=True):
-            begin = 0
-            for w, end in zip(run, (np.flatnonzero(np.frombuffer(raw, np.uint32) == self.mark) * 4).tolist(), strict=False):
-                known[w] = raw[begin:end]
-                begin = end + 4
-        for w, stem in stems.items():
-            known[w] = known[stem] + self.ends[w[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit integers on end."""
+        for run, raw in zip(runs, self.whole([" " + " ".join(run) for run in runs]), strict=True):
+            at = (np.flatnonzero(self.opens[np.frombuffer(raw, np.uint32)]) * 4).tolist()
+            known.update([(w, raw[a:b]) for w, a, b in zip(run, at, [*at[1:], len(raw)], strict=True)])
+        for w in ended:
+            known[w] = known[w[:-1]] + self.ends[w[-1]]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts on end, the number of each)."""
         if len(self.known) > self.room:
-            self.known.clear()
-        simple = [self.splits and splits_at_spaces(t) and not any(s in t for s in self.special) for t in texts]
-        pieces = [pieces_of(t) if ok else [t] for t, ok in zip(texts, simple, strict=True)]
-        heads = self.whole([p[0] for p in pieces])
-        words = [w for p in pieces for w in p[1:]]
-        coded = list(map(self.known.get, words))
+            self.known, self.old = {}, self.known
+        pieces = [pieces_of(t) if self.splits and splits_at_spaces(t) and not any(s in t for s in self.special) else [t] for t in texts]
+        for p in pieces:
+            p[0] = HEAD + p[0]
+        flat = list(chain.from_iterable(pieces))
+        coded = list(map(self.known.get, flat))
         if new := [i for i, x in enumerate(coded) if x is None]:
-            self.learn({words[i] for i in new})
+            self.learn(list({flat[i] for i in new}))
             for i in new:
-                coded[i] = self.known[words[i]]
-        out, at = [], 0
-        for head, p in zip(heads, pieces, strict=True):
-            out.append(head + b"".join(coded[at : at + len(p) - 1]))
-            at += len(p) - 1
-        return out
+                coded[i] = self.known[flat[i]]
+        del flat
+        given = iter(coded)
+        whole = [b"".join(islice(given, len(p))) for p in pieces]
+        return np.frombuffer(b"".join(whole), np.uint32), np.fromiter(map(len, whole), np.int64, len(whole)) // 4
+
+
+def with_ends(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with end_id behind each document."""
+    out = np.empty(len(ids) + len(sizes), np.uint32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    out[np.cumsum(sizes + 1) - 1] = end_id
+    return out, sizes + 1
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -121,11 +143,11 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def packed_segment(ids: list[bytes], docs: list[int | None]) -> list[bytes]:
-    lengths = np.array([len(x) // 4 for x in ids], "<u4")
+def packed_segment(ids: np.ndarray, sizes: np.ndarray, docs: list[int | None]) -> list[bytes]:
+    lengths = sizes.astype("<u4")
     numbers = np.array([d if d is not None else 0 for d in docs], "<i8")
     nulls = np.packbits(np.array([d is None for d in docs], bool))
-    table, blocks = encode_segment(np.frombuffer(b"".join(ids), np.uint32))
+    table, blocks = encode_segment(ids)
     index = zlib.compress(lengths.tobytes() + numbers.tobytes() + nulls.tobytes(), 1)
     sizes = np.array([len(b) for b in blocks], "<u4").tobytes()
     body = len(sizes) + sum(map(len, blocks))
@@ -168,27 +190,29 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     make_dir(folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    end = np.array([end_id], np.uint32).tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         coder = encoder(tokenizer)
+        gc.freeze()  # the remembered pieces hold no cycles: spare the collector going through them
         parts, total, count = [MAGIC], 0, 0
-        ids: list[bytes] = []
-        numbers: list[int | None] = []
-        held = 0
+        held: list[tuple[np.ndarray, np.ndarray, list[int | None]]] = []
+
+        def flush() -> None:
+            nonlocal total, count
+            ids, sizes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            parts.extend(packed_segment(ids, sizes, [d for h in held for d in h[2]]))
+            total, count = total + len(ids), count + len(sizes)
+            held.clear()
+
         for batch in batches:
-            for piece in slices(batch):
-                for n, x in zip(piece.column("doc_id").to_pylist(), coder.encode(piece.column("text").to_pylist()), strict=True):
-                    ids.append(x + end)
-                    numbers.append(n)
-                    held += len(ids[-1]) // 4
-                    if held >= SEGMENT_IDS:
-                        parts += packed_segment(ids, numbers)
-                        total, count, held, ids, numbers = total + held, count + len(ids), 0, [], []
-        if ids:
-            parts += packed_segment(ids, numbers)
-            total, count = total + held, count + len(ids)
+            for piece in slices(batch, limit=8 << 20):
+                coded = coder.encode(piece.column("text").to_pylist())
+                held.append((*with_ends(*coded, end_id), piece.column("doc_id").to_pylist()))
+                if sum(len(h[0]) for h in held) >= SEGMENT_IDS:
+                    flush()
+        if held:
+            flush()
         if count:
             size = write_file(folder, f"tokens-{part:06d}.rtok", parts)
             yield pa.RecordBatch.from_pylist([{"file": part, "docs": count, "ids": total, "bytes": size}])
