@@ -12,8 +12,9 @@ from ..bindings import AS_OF, both, duck, table, view
 from ..durable import run_dir
 from ..functions import finance, identifiers, names
 from ..operators import aggregates as ag
-from ..operators import graph, joins, matching, text, upsert
+from ..operators import extraction, graph, joins, matching, text, upsert
 from ..operators.screen import Screen, percent_to_bps
+from ..sources import readers
 from ..streaming import counters
 from . import api, quality
 
@@ -650,3 +651,29 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(counters.limited(counters.events(spark, sf_dir, pattern="events.parquet"), 2, 3600), "append")
+
+
+# ---- texts of filings ------------------------------------------------------------------------------
+
+
+@query("""
+    select doc_id, cast(case when length(text) <= 300 then length(text) end as bigint) as whole, cast(len(list_distinct(regexp_extract_all(lower(text), 'apache|copyright|license'))) as bigint) as n_words from documents""")
+def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(apache|copyright|license)"), F.lit(1)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") <= 300, F.length("text")).cast("long").alias("whole"), F.size(found).cast("long").alias("n_words"))
+
+
+@query()
+def text_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(extraction.cut_at_sentence(F.col("text"), 300)).cast("long").alias("n_chars"), extraction.section_type(F.col("text")).alias("section"))
+
+
+@query()
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("# page\n## text\n"), names.clean_html(F.col("html"))).alias("md"))
+    return text.markdown_chunks(pages, "page_id", "md").select("page_id", "pos", "heading", "tokens")
+
+
+@query()
+def page_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.table_cells(table(spark, sf_dir, "pages"), "page_id", "html")
