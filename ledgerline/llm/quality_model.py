@@ -28,6 +28,8 @@ UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
 NO_LETTER = bytes(c for c in range(0x80) if not chr(c).isalpha())
 BUCKETS = 1 << 17
+#: Texts above this size aren't taken into the sample: with its number of rows it bounds the driver's memory.
+SAMPLE_BYTES = 1 << 16
 #: Folds letters, digits and symbols into one sign each, for word shapes.
 SHAPE = bytes(ord("A") if 65 <= c < 91 else ord("a") if 97 <= c < 123 or c >= 0x80 else ord("0") if 48 <= c < 58 else c for c in range(256))
 
@@ -172,7 +174,10 @@ def quality_scores(docs: DataFrame, sample: int = 4000, threshold: float = 0.5)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = voted(rows).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 3 ** labellers rows
     model = fit_labels(found.column("pattern").to_numpy(), found.column("n").to_numpy())
-    picked = rows.where(F.length("text") > 0).select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, 1 << 16).alias("text")).orderBy("h").limit(sample)
+    total = max(1, sum(found.column("n").to_pylist()))
+    part = min(1.0, 1.2 * sample / total)  # of the hashes; a few more rows than the sample meet in the sort
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text")).where(F.octet_length("text").between(1, SAMPLE_BYTES) & (F.col("h") <= int(part * (1 << 63)) * 2 - (1 << 63) - (part == 1.0)))
+    picked = hashed.select("h", "text").orderBy("h").limit(sample)
     texts = [(r or "").encode() for r in picked.toArrow().column("text").to_pylist()]
     ballots = np.array([votes(t) for t in texts], np.int64).reshape(len(texts), len(LABELLERS))
     fitted = fit_scorer(texts, model.posterior[ballots @ 3 ** np.arange(len(LABELLERS))])
