@@ -6,6 +6,7 @@ no byte of a multi-byte character is, so byte-wise work equals work on code poin
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,18 @@ __all__ = ["ASCII_LOWER", "BLANKS", "run_dir", "shared_dir", "slices", "sums_by_
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The separators of words, [\x20\x09-\x0D]; also what bytes.split() splits at.
 BLANKS = b" \t\n\x0b\x0c\r"
+#: glibc's malloc_trim, where there is one.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `limit` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -32,9 +42,10 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) ->
         stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """slices() with the texts as bytes; null is empty."""
     for part in slices(batch, column, limit):
         yield part, pc.fill_null(part.column(column).cast(pa.large_binary()), b"").to_pylist()

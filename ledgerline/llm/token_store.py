@@ -29,7 +29,7 @@ from .rans import Table, decode_blocks, encode_segment
 
 MAGIC = b"RTOK0001"
 SEGMENT = struct.Struct("<QQQQQ")  # documents, ids, bytes of index, of table, of blocks
-SEGMENT_IDS = 4 << 20
+SEGMENT_IDS = 2 << 20
 END_ID = 2
 #: What else than a space counts as blank in byte-level BPE or in Python.
 OTHER_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -63,7 +63,7 @@ def pieces_of(text: str) -> list[str]:
 class PieceEncoder:
     """The library's encoding of whole texts, piece by piece with the pieces seen before kept."""
 
-    def __init__(self, path: str, room: int = 1_800_000) -> None:
+    def __init__(self, path: str, room: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -206,7 +206,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             held.clear()
 
         for batch in batches:
-            for piece in slices(batch, limit=8 << 20):
+            for piece in slices(batch, limit=4 << 20):
                 coded = coder.encode(piece.column("text").to_pylist())
                 held.append((*with_ends(*coded, end_id), piece.column("doc_id").to_pylist()))
                 if sum(len(h[0]) for h in held) >= SEGMENT_IDS:
