@@ -44,7 +44,9 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     importable(spark)
     folder = run_dir(spark, "tokens")
-    written(token_store.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json")), "token-manifest")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    # workers serve all stages: this one leaves no remembered pieces in them
+    written(token_store.write_tokens(docs, folder, path, room=200_000, keep=False), "token-manifest")
     return token_store.token_report(spark, folder)
 
 

@@ -9,7 +9,6 @@ source. The whole order is (file number, position): file numbers follow the rang
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import struct
@@ -136,10 +135,10 @@ def with_ends(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarr
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, room: int) -> PieceEncoder:
     """One per Python worker."""
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = PieceEncoder(path, room)
     return _encoders[path]
 
 
@@ -180,12 +179,13 @@ def unpacked(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.nda
         yield [None if gone else d for d, gone in zip(numbers, nulls, strict=True)], lengths, ids.astype(np.uint32)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, room: int = 600_000, keep: bool = True) -> DataFrame:
     """Write the files; a lazy manifest (file, docs, ids, bytes), whose evaluation writes them.
 
     A null text is empty: its document holds the end id alone. A null doc_id sorts first and stays
     null; repeated ids are written each, in the order of their texts' hashes; other columns are not
-    read; an empty table writes no file.
+    read; an empty table writes no file. `room` bounds the pieces that a worker remembers; without
+    `keep` it forgets them behind each task, for less memory and more work.
     """
     make_dir(folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -193,8 +193,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        coder = encoder(tokenizer)
-        gc.freeze()  # the remembered pieces hold no cycles: spare the collector going through them
+        coder = encoder(tokenizer, room)
         parts, total, count = [MAGIC], 0, 0
         held: list[tuple[np.ndarray, np.ndarray, list[int | None]]] = []
 
@@ -213,6 +212,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
                     flush()
         if held:
             flush()
+        if not keep:
+            coder.known, coder.old = {}, {}
         if count:
             size = write_file(folder, f"tokens-{part:06d}.rtok", parts)
             yield pa.RecordBatch.from_pylist([{"file": part, "docs": count, "ids": total, "bytes": size}])
