@@ -79,11 +79,12 @@ def planned(docs: DataFrame, keep: list[str], weights: tuple[int, ...], share: f
     ).withColumns({"block": F.pmod("place", F.lit(blocks)), "key": source_key()})
     counted = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
     counted = written(counted, "mix-blocks")
-    sources = targets(counted.groupBy("source").agg(F.sum("words").alias("source_size"), F.count(F.lit(1)).alias("n_blocks")), weights, share, most)
+    sources = targets(counted.groupBy("source").agg(F.sum("words").alias("source_size"), F.count_if(F.col("words") > 0).alias("n_blocks")), weights, share, most)
     quota = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("long")
     sources = written(sources.withColumns({"epochs": whole, "rest": quota - whole * F.col("source_size")}), "mix-sources")
-    by = Window.partitionBy("key").orderBy(order_hash(seed + 1, "block"), "block")
+    # blocks without words come last, so that those that are drawn are numbered without holes
+    by = Window.partitionBy("key").orderBy(F.col("words") == 0, order_hash(seed + 1, "block"), "block")
     ranked = counted.withColumn("key", source_key()).drop("source").join(sources.withColumn("key", source_key()).drop("source"), "key")
     before = F.sum("words").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
     extra = F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - before))
@@ -157,7 +158,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     used = plan.blocks.groupBy("rank", "n_blocks", "epochs").agg(F.sum((F.col("extra") > 0).cast("long")).alias("n"))
     runs = shard_runs(used.select("rank", (F.col("epochs") * F.col("n_blocks") + F.col("n")).alias("draws")), shards, seed)
     copies = plan.blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))))
-    copies = copies.where((F.col("epoch") < F.col("epochs")) | (F.col("extra") > 0)).withColumn("draw", F.col("epoch") * F.col("n_blocks") + F.col("nth"))
+    copies = copies.where((F.col("words") > 0) & ((F.col("epoch") < F.col("epochs")) | (F.col("extra") > 0))).withColumn("draw", F.col("epoch") * F.col("n_blocks") + F.col("nth"))
     copies = copies.join(runs, "rank").where("draw >= lo and draw < hi").select("key", "block", "words", "extra", "epoch", "epochs", "shard")
     rows = with_takes(plan, copies.withColumn("extra", F.when(F.col("epoch") < F.col("epochs"), F.col("words")).otherwise(F.col("extra"))), ("epoch",))
     rows = rows.where("more > 0").repartition("shard").sortWithinPartitions("shard", order_hash(seed + 2, "place", "epoch"), "id")

@@ -235,6 +235,16 @@ def test_mixing(spark, corpus):
     assert mixing.mix(table(spark, rows).limit(0)).count() == 0
 
 
+def test_mix_with_many_documents_without_words(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.choice((None, "", " \n ")) if rng.random() < 0.6 else sentence(rng, rng.randint(1, 9)), "abc"[i % 3]) for i in range(300)]
+    taken = {r.doc_id: r.taken for r in mixing.mixing_report(table(spark, rows)).collect()}
+    words = collections.Counter()
+    for r in mixing.mix(table(spark, rows), words_per_shard=100).collect():
+        words[r.doc_id] += len(r.text.split())
+    assert len(taken) == len(rows) and dict(words) == {d: n for d, n in taken.items() if n}
+
+
 def test_splitting_tree_is_exact():
     draws = np.array([10, 0, 7, 123])
     parts = mixing.split(draws, 9, np.random.default_rng(1))
