@@ -91,27 +91,13 @@ def planned(docs: DataFrame, keep: list[str], weights: tuple[int, ...], share: f
     return Plan(sized, sources, ranked.withColumns({"nth": F.row_number().over(by) - 1, "extra": extra}))
 
 
-def with_takes(plan: Plan, blocks: DataFrame, epoch: tuple[str, ...] = ()) -> DataFrame:
-    """Rows joined with their block; `more`: the words that the block's `extra` takes of each. The
-    running sum needs the partitioning of the join and no other."""
-    joined = plan.sized.join(blocks, ["key", "block"])
-    inside = Window.partitionBy("key", "block", *epoch).orderBy("place", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    left = F.col("extra") - F.sum("size").over(inside) + F.col("size")
-    return joined.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), left)))
-
-
-def mixing_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, blocks: int = 4096, seed: int = 7) -> DataFrame:
-    """One row per document with the words that the mix takes of it.
-
-    A null text has size 0; a null source is a source of its own, the last; a null doc_id stays null
-    and is placed by its text's length; equal rows are taken one by one, in an order that may be either's since
-    they are equal. Other columns are not read; an empty table, or one without words, takes nothing.
-    """
-    plan = planned(docs, ["doc_id"], weights, share, most, blocks, seed)
-    taken = F.col("epochs") * F.col("size") + F.col("more")
-    return with_takes(plan, plan.blocks.select("key", "block", "extra", "epochs", "source_size", "target")).select(
-        F.col("row.doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken")
-    )
+def with_takes(plan: Plan, blocks: DataFrame) -> DataFrame:
+    """Rows, numbered in their block, joined with what is drawn of it; `more`: the words that a draw's
+    `extra` takes of each, null without a draw. The running sum and the join need one partitioning."""
+    inside = Window.partitionBy("key", "block").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = plan.sized.withColumns({"upto": F.sum("size").over(inside), "at": F.row_number().over(inside)})
+    left = F.col("extra") - F.col("upto") + F.col("size")
+    return upto.join(blocks, ["key", "block"]).withColumn("more", F.when(F.col("extra").isNotNull(), F.greatest(F.lit(0), F.least(F.col("size"), left))))
 
 
 def split(draws: np.ndarray, shards: int, random: np.random.Generator) -> np.ndarray:
@@ -146,6 +132,33 @@ def shard_runs(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     return keyed.groupBy("tree").applyInPandas(tree, "rank long, shard long, lo long, hi long").where("hi > lo")
 
 
+def dealt(plan: Plan, seed: int, words_per_shard: int) -> DataFrame:
+    """(key, block, extra, epoch, shard): a row per draw of a block, with the words that it takes."""
+    total = plan.sources.agg(F.sum("target")).first()[0] or 0
+    shards = max(1, int(total // words_per_shard))
+    used = plan.blocks.groupBy("rank", "n_blocks", "epochs").agg(F.sum((F.col("extra") > 0).cast("long")).alias("n"))
+    runs = shard_runs(used.select("rank", (F.col("epochs") * F.col("n_blocks") + F.col("n")).alias("draws")), shards, seed)
+    copies = plan.blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))))
+    copies = copies.where((F.col("words") > 0) & ((F.col("epoch") < F.col("epochs")) | (F.col("extra") > 0))).withColumn("draw", F.col("epoch") * F.col("n_blocks") + F.col("nth"))
+    extra = F.when(F.col("epoch") < F.col("epochs"), F.col("words")).otherwise(F.col("extra"))
+    return copies.join(runs, "rank").where("draw >= lo and draw < hi").select("key", "block", extra.alias("extra"), "epoch", "shard")
+
+
+def mixing_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, blocks: int = 4096, seed: int = 7, words_per_shard: int = 4 << 20) -> DataFrame:
+    """One row per document with the words that the mix takes of it: the sum over the draws of its block
+    that `mix` deals to shards. Texts don't move, and rows aren't shuffled inside a shard, which takes nothing.
+
+    A null text has size 0; a null source is a source of its own, the last; a null doc_id stays null
+    and is placed by its text's length; equal rows are taken one by one, in an order that may be either's since
+    they are equal. Other columns are not read; an empty table, or one without words, takes nothing.
+    """
+    plan = planned(docs, ["doc_id"], weights, share, most, blocks, seed)
+    draws = plan.blocks.select("key", "block", "source_size", "target").join(dealt(plan, seed, words_per_shard), ["key", "block"], "left")
+    rows = with_takes(plan, draws).select("key", "block", "at", F.col("row.doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", "more")
+    taken = rows.groupBy("key", "block", "at").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.coalesce(F.sum("more"), F.lit(0)).cast("long").alias("taken"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, blocks: int = 4096, seed: int = 7, words_per_shard: int = 4 << 20) -> DataFrame:
     """The mixed documents, same columns, a row per copy, shard after shard and shuffled inside.
 
@@ -153,14 +166,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     Documents without words are not taken. Nulls and repeats as in mixing_report.
     """
     plan = planned(docs, docs.columns, weights, share, most, blocks, seed)
-    total = plan.sources.agg(F.sum("target")).first()[0] or 0
-    shards = max(1, int(total // words_per_shard))
-    used = plan.blocks.groupBy("rank", "n_blocks", "epochs").agg(F.sum((F.col("extra") > 0).cast("long")).alias("n"))
-    runs = shard_runs(used.select("rank", (F.col("epochs") * F.col("n_blocks") + F.col("n")).alias("draws")), shards, seed)
-    copies = plan.blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs"))))
-    copies = copies.where((F.col("words") > 0) & ((F.col("epoch") < F.col("epochs")) | (F.col("extra") > 0))).withColumn("draw", F.col("epoch") * F.col("n_blocks") + F.col("nth"))
-    copies = copies.join(runs, "rank").where("draw >= lo and draw < hi").select("key", "block", "words", "extra", "epoch", "epochs", "shard")
-    rows = with_takes(plan, copies.withColumn("extra", F.when(F.col("epoch") < F.col("epochs"), F.col("words")).otherwise(F.col("extra"))), ("epoch",))
+    rows = with_takes(plan, dealt(plan, seed, words_per_shard))
     rows = rows.where("more > 0").repartition("shard").sortWithinPartitions("shard", order_hash(seed + 2, "place", "epoch"), "id")
     part = F.col("more") < F.col("size")
     text = F.col("row.text").cast("string")
@@ -170,5 +176,3 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         new["n_chars"] = F.when(part, F.length(cut)).otherwise(F.col("row.n_chars"))
     kinds = dict(docs.dtypes)
     return rows.select(*[new.get(c, F.col(f"row.`{c}`")).cast(kinds[c]).alias(c) for c in docs.columns])
-
-

@@ -245,6 +245,17 @@ def test_mix_with_many_documents_without_words(spark):
     assert len(taken) == len(rows) and dict(words) == {d: n for d, n in taken.items() if n}
 
 
+def test_mixing_report_is_of_the_dealt_draws(spark, corpus, monkeypatch):
+    runs = mixing.shard_runs
+    monkeypatch.setattr(mixing, "shard_runs", lambda *args: runs(*args).where("shard <> 1"))  # a fault in the deal
+    docs = table(spark, corpus)
+    words = collections.Counter()
+    for r in mixing.mix(docs, words_per_shard=700).collect():
+        words[r.doc_id] += len(r.text.encode().split())
+    report = mixing.mixing_report(docs, words_per_shard=700).collect()
+    assert len(report) == len(corpus) and {r.doc_id: r.taken for r in report if r.taken} == dict(words)
+
+
 def test_splitting_tree_is_exact():
     draws = np.array([10, 0, 7, 123])
     parts = mixing.split(draws, 9, np.random.default_rng(1))
