@@ -6,8 +6,8 @@ that a third of the pages share costs no more than others. Each record is a gzip
 
 Reader: Spark's binaryFile source hands whole archives (of bounded size) to tasks. Each member and
 record is checked: inflation and its CRC, version line, lengths, block digest. After a failed check
-the reader searches on for the next valid member (or, in plain archives, version line), goes on
-there, and logs the bytes between as a quarantined gap.
+the reader searches on for the next valid member (or, in plain archives and inside a member, version
+line), goes on there, and logs the bytes between as a quarantined gap.
 """
 
 from __future__ import annotations
@@ -108,17 +108,27 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 100, roll_byt
     return todo.mapInArrow(work, "path string, records long, bytes long")
 
 
-def inflated(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member at `at`, or None if it isn't whole and sound."""
+def inflated(data: memoryview, at: int) -> tuple[bytes, int, bool]:
+    """(content, end, True) of the gzip member at `at`; if it isn't whole and sound, what inflates, where that ends, False."""
     unpack, out, pos = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof and pos < len(data):
             piece = data[pos : pos + 65536]
             out.append(unpack.decompress(piece))
             pos += len(piece)
+        return b"".join(out), pos - len(unpack.unused_data), unpack.eof
     except zlib.error:
-        return None
-    return (b"".join(out), pos - len(unpack.unused_data)) if unpack.eof else None
+        pass
+    # again from the start, in smaller pieces near the damage: a failed call gives nothing of its piece
+    unpack, out, pos, step = zlib.decompressobj(31), [], at, 65536
+    while step:
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(data[pos : pos + step]))
+            pos += step
+        except zlib.error:
+            unpack, step = before, step // 16
+    return b"".join(out), pos, False
 
 
 def parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
@@ -144,35 +154,65 @@ def parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     return head, block, end + 4
 
 
+def records_in(data: bytes) -> list[tuple[dict[str, str] | None, bytes, str]]:
+    """(headers, block, reason) of inflated bytes in order; headers None marks a bad range, which the reason names."""
+    rows, at, bad = [], 0, 0
+    while 0 <= at < len(data):
+        if one := parsed(data, at):
+            if bad < at:
+                rows.append((None, b"", f"damaged record, bytes {bad} to {at} of its member"))
+            rows.append((one[0], one[1], ""))
+            at = bad = one[2]
+        else:
+            at = data.find(VERSION, at + 1)
+    if bad < len(data):
+        rows.append((None, b"", f"damaged record, bytes {bad} to {len(data)} of its member"))
+    return rows if any(head is not None for head, _, _ in rows) else []
+
+
 def salvaged(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
-    """(start, length, headers, block, reason) in file order; headers None marks a quarantined gap."""
-    view, at, gap, zipped = memoryview(data), 0, None, MAGIC in data[:1024] or data[:2] == MAGIC[:2] or VERSION not in data
+    """(start, length, headers, block, reason) in file order; headers None marks a quarantined gap.
+
+    The bytes at a place say if a gzip member or a plain record is there; the search after damage is for
+    what the archive was made of so far, at its start for either. Rows from inside a member, gaps too,
+    have its range. Of a member that doesn't inflate to its end, sound records are read up to the damage,
+    but not the record of a member of one.
+    """
+    view, at, made_of = memoryview(data), 0, re.escape(MAGIC) + b"|" + re.escape(VERSION)
+    #: Of what is damaged: start, end of what could be read of it, that, and what it is.
+    bad: tuple[int, int, list[tuple[dict[str, str] | None, bytes, str]], str] | None = None
+
+    def closed(until: int) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
+        if bad:
+            start, stop, rows, what = bad
+            stop = min(stop, until)
+            for head, block, reason in rows:
+                yield start, stop - start, head, block, reason
+            yield stop, until - stop, None, b"", f"damaged {what}"
+
     while at < len(data):
-        found = []
+        rows, whole, zipped = [], False, data[at : at + len(MAGIC)] == MAGIC
         if zipped:
-            got = inflated(view, at) if data[at : at + 3] == MAGIC else None
-            if got:
-                inner, pos = got[0], 0
-                while pos < len(inner) and (one := parsed(inner, pos)):
-                    found.append(one)
-                    pos = one[2]
-                found = found if pos == len(inner) else []
-                end = got[1]
+            inner, end, whole = inflated(view, at)
+            rows = records_in(inner)
+            if rows and not whole and inner.find(VERSION, 1) < 0:
+                rows = []  # one record to a member: it stands and falls with its member's check
         elif one := parsed(data, at):
-            found, end = [one], one[2]
-        if found:
-            if gap is not None:
-                yield gap, at - gap, None, b"", "damaged member" if zipped else "damaged record"
-                gap = None
-            for head, block, _ in found:
-                yield at, end - at, head, block, ""
-            at = end
-            continue
-        gap = at if gap is None else gap
-        nxt = data.find(MAGIC if zipped else VERSION, at + 1)
-        at = len(data) if nxt < 0 else nxt
-    if gap is not None:
-        yield gap, len(data) - gap, None, b"", "damaged member" if zipped else "damaged record"
+            rows, end, whole = [(one[0], one[1], "")], one[2], True
+        if rows:
+            yield from closed(at)
+            bad, made_of = None, re.escape(MAGIC if zipped else VERSION)
+            if whole:
+                for head, block, reason in rows:
+                    yield at, end - at, head, block, reason
+                at = end
+                continue
+            bad = at, end, rows, "member"
+        elif bad is None:
+            bad = at, at, [], "member" if zipped or made_of == re.escape(MAGIC) else "record"
+        nxt = re.compile(made_of).search(data, at + 1)
+        at = nxt.start() if nxt else len(data)
+    yield from closed(len(data))
 
 
 def number(text: str | None) -> int | None:

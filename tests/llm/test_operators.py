@@ -320,6 +320,46 @@ def test_warc_round_trip_and_salvage(spark):
     assert not list(warc.salvaged(b""))
 
 
+def warc_records(n):
+    blocks = [hashlib.sha256(b"%d" % i).hexdigest().encode() * 40 for i in range(n)]
+    return [warc.record(i, "u", b, hashlib.sha256(b).hexdigest(), len(b), None) for i, b in enumerate(blocks)]
+
+
+def warc_ids(data):
+    return [int(h["x-page-id"]) for _, _, h, _, _ in warc.salvaged(data) if h]
+
+
+def test_warc_salvage_inside_a_member():
+    recs = warc_records(6)
+    spoilt = [*recs[:2], recs[2].replace(b"Content-Length", b"Content-Langth"), *recs[3:]]
+    found = list(warc.salvaged(warc.member(b"".join(spoilt)) + warc.member(recs[0])))
+    assert [int(h["x-page-id"]) if h else None for _, _, h, _, _ in found] == [0, 1, None, 3, 4, 5, 0]
+    assert f"bytes {len(recs[0] + recs[1])} to {len(b''.join(spoilt[:3]))} " in found[2][4]
+
+
+def test_warc_salvage_before_the_damage_of_a_member():
+    random.seed(3)
+    bodies = [random.randbytes(3000) for _ in range(6)]
+    one = warc.member(b"".join(warc.record(i, "u", b, hashlib.sha256(b).hexdigest(), len(b), None) for i, b in enumerate(bodies)))
+    cut = one[: len(one) // 2]
+    after = warc.member(warc_records(10)[9])
+    assert warc_ids(cut) == [0, 1] and warc_ids(cut + after) == [0, 1, 9]
+    broken = bytearray(one)
+    broken[-4] ^= 1  # its length field
+    assert warc_ids(bytes(broken) + after) == [0, 1, 2, 3, 4, 5, 9]
+    for data in (cut, cut + after, bytes(broken) + after):
+        gaps = [(s, n) for s, n, h, _, r in warc.salvaged(data) if h is None and r == "damaged member"]
+        assert len(gaps) == 1 and sum(gaps[0]) <= len(data)
+
+
+def test_warc_plain_archive_with_gzip_body():
+    body = zlib.compress(b"x" * 50, wbits=31)
+    first = warc.record(0, "u", body, hashlib.sha256(body).hexdigest(), len(body), None)
+    plain = first + b"".join(warc_records(4)[1:])
+    assert warc_ids(plain) == [0, 1, 2, 3]
+    assert warc_ids(plain.replace(b"WARC/1.1", b"WARK/1.1", 1)) == [1, 2, 3]
+
+
 def test_context_tree(spark):
     texts = ["the cat sat on the mat", "The cat  sat on a mat 7", "", "xyz", "é ü the cat", "aaaaaaaa bbb aaaa"] * 3
     docs = [(i, t) for i, t in enumerate(texts)] + [(None, "the mat"), (40, None)]
