@@ -119,6 +119,21 @@ def anti_join_unlinked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.anti(view(spark, sf_dir, "entities"), linked, ["company_id"]).select("id", "name")
 
 
+# Some queries of this file take a part of a view, as their SQL says; the `_whole` ones beside them take all of it.
+
+
+@query("select id, company_id from instruments i where exists (select 1 from guarantees g where g.instrument_id = i.id)")
+def semi_join_has_guarantor_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guarantees = view(spark, sf_dir, "guarantees").withColumnRenamed("instrument_id", "id")
+    return joins.semi(view(spark, sf_dir, "instruments"), guarantees, ["id"]).select("id", "company_id")
+
+
+@query("select id, name from entities e where not exists (select 1 from guarantees g where g.guarantor_id = e.company_id)")
+def anti_join_unlinked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = view(spark, sf_dir, "guarantees").select(F.col("guarantor_id").alias("company_id"))
+    return joins.anti(view(spark, sf_dir, "entities"), linked, ["company_id"]).select("id", "name")
+
+
 @query("""
     select f.company_id, f.fiscal_year, f.fiscal_quarter, f.revenue from financials f
     join (select company_id, max(fiscal_year) as fiscal_year from financials group by company_id) l on l.company_id = f.company_id and l.fiscal_year = f.fiscal_year""")
@@ -146,7 +161,19 @@ same_sql(
     left join (select yield_date - 9500 as yield_date, yield_bps, benchmark from treasuries where benchmark = 'view') t
       on t.yield_date = (select max(yield_date - 9500) from treasuries x where x.benchmark = 'view' and x.yield_date - 9500 <= p.price_date)""")
 def asof_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = view(spark, sf_dir, "prices").where("price_date >= DATE '1998-06-01'").select("instrument_id", "price_date", F.lit("view").alias("benchmark"))
+    return on_curve(spark, sf_dir, view(spark, sf_dir, "prices").where("price_date >= DATE '1998-06-01'"))
+
+
+@query("""
+    select p.instrument_id, p.price_date, t.yield_date, t.yield_bps from prices p
+    asof left join (select yield_date - 9500 as yield_date, yield_bps from treasuries where benchmark = 'view') t on p.price_date >= t.yield_date""")
+def asof_curve_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return on_curve(spark, sf_dir, view(spark, sf_dir, "prices"))
+
+
+def on_curve(spark: SparkSession, sf_dir: str, prices: DataFrame) -> DataFrame:
+    """Prices with the last curve value at or before their day."""
+    prices = prices.select("instrument_id", "price_date", F.lit("view").alias("benchmark"))
     curve = view(spark, sf_dir, "treasuries").select("benchmark", F.date_sub("yield_date", 9500).alias("yield_date"), "yield_bps")
     # one curve for all prices: bucket by year so that the running window is not one partition
     bucketed = lambda df, c: df.withColumn("bucket", F.year(c))
@@ -186,6 +213,17 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.changes(debt.where(F.col("issue_date") < cut), debt.where(F.col("issue_date") >= cut), ["company_id", "instrument_type"])
 
 
+@query("""
+    with b as (select distinct company_id, instrument_type from instruments where issue_date < DATE '1997-01-01'),
+         a as (select distinct company_id, instrument_type from instruments where issue_date >= DATE '1997-01-01')
+    select coalesce(a.company_id, b.company_id) as company_id, coalesce(a.instrument_type, b.instrument_type) as instrument_type,
+           case when b.company_id is null then 'added' when a.company_id is null then 'removed' else 'kept' end as status
+    from a full outer join b on a.company_id = b.company_id and a.instrument_type = b.instrument_type""")
+def snapshot_diff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    debt, cut = view(spark, sf_dir, "instruments"), F.lit("1997-01-01").cast("date")
+    return joins.changes(debt.where(F.col("issue_date") < cut), debt.where(F.col("issue_date") >= cut), ["company_id", "instrument_type"])
+
+
 # ---- aggregates ----------------------------------------------------------------------------------
 
 
@@ -446,7 +484,16 @@ def upsert_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     select id, coalesce(case when id % 2 = 0 then outstanding end, principal) as amount, (is_active or id % 2 = 0) as flag from instruments where id % 5 = 0""")
 def fill_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    debt = view(spark, sf_dir, "instruments").where("id % 5 = 0")
+    return filled_debt(view(spark, sf_dir, "instruments").where("id % 5 = 0"))
+
+
+@query("select id, coalesce(case when id % 2 = 0 then outstanding end, principal) as amount, (is_active or id % 2 = 0) as flag from instruments")
+def fill_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filled_debt(view(spark, sf_dir, "instruments"))
+
+
+def filled_debt(debt: DataFrame) -> DataFrame:
+    """All debt as the old side; the newer values of every second row fill it."""
     old = debt.select("id", F.col("principal").alias("amount"), F.col("is_active").alias("flag"))
     new = debt.where("id % 2 = 0").select("id", F.col("outstanding").alias("amount"), F.lit(True).alias("flag"))
     return upsert.filled(old, new, ["id"], ["flag"])
