@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from datetime import date, timedelta
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import coupon_bps
@@ -99,19 +99,23 @@ def traverse(book: Book, start: str, depth: int = 3, direction: str = "down", gu
 
 
 def search_financials(book: Book, company: int | None = None, year: int | None = None, period: str | None = None, min_revenue: int | None = None) -> Screen:
-    """`period`: `latest` (ties stay), `TTM`, or like `1997Q2`."""
+    """`period`: `latest` (ties stay), `TTM` (the four newest rows), `LTM` (the newest alone if it is a 10-K,
+    which is annual, else as `TTM`), or like `1997Q2`."""
     rows = book.financials
     if period and (m := re.fullmatch(r"(\d{4})Q([1-4])", period)):
         rows = rows.where((F.col("fiscal_year") == int(m[1])) & (F.col("fiscal_quarter") == int(m[2])))
     elif period == "latest":
         rows = joins.latest_ties(rows, ["company_id"], "period_end")
-    elif period == "TTM":
+    elif period in ("TTM", "LTM"):
         last = aggregates.latest_n(rows, ["company_id"], [F.col("period_end").desc()], 4)
+        if period == "LTM":
+            newest = F.max(F.when(F.col("nth") == 1, F.col("filing_type"))).over(Window.partitionBy("company_id"))
+            last = last.withColumn("newest", newest).where((F.col("nth") == 1) | F.coalesce(F.col("newest") != "10-K", F.lit(True)))
         rows = last.groupBy("company_id").agg(
             *[F.sum(c).alias(c) for c in ("revenue", "ebitda", "interest_expense")], *[F.max_by(c, "period_end").alias(c) for c in ("cash", "total_debt", "fiscal_year", "fiscal_quarter")], F.max("period_end").alias("period_end"), F.count(F.lit(1)).alias("quarters")
         )
     elif period:
-        raise BadRequest("period is latest, TTM or like 1997Q2")
+        raise BadRequest("period is latest, TTM, LTM or like 1997Q2")
     return Screen(rows, ("company_id", "period_end")).equals(company_id=company, fiscal_year=year).between("revenue", min_revenue)
 
 

@@ -603,6 +603,15 @@ def call_ttm_financials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.search_financials(book(spark, sf_dir), period="TTM").df.select("company_id", "revenue", "interest_expense", "cash", "quarters")
 
 
+@query("""
+    with r as (select *, row_number() over (partition by company_id order by period_end desc) as nth from financials),
+         k as (select company_id, filing_type as newest from r where nth = 1)
+    select company_id, cast(sum(revenue) as bigint) as revenue, cast(sum(interest_expense) as bigint) as interest_expense, cast(max(case when nth = 1 then cash end) as bigint) as cash, cast(count(*) as bigint) as quarters
+    from r join k using (company_id) where nth = 1 or (nth <= 4 and newest <> '10-K') group by company_id""")
+def call_ltm_financials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.search_financials(book(spark, sf_dir), period="LTM").df.select("company_id", "revenue", "interest_expense", "cash", "quarters")
+
+
 @query("""
     select test_metric, min_by(threshold, id) filter (where company_id = 1) as "1", min_by(threshold, id) filter (where company_id = 2) as "2", min_by(threshold, id) filter (where company_id = 3) as "3"
     from covenants where company_id in (1, 2, 3) group by test_metric""")
