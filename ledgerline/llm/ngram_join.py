@@ -14,12 +14,12 @@
 4. Components of the feasible edges are families: every link lies inside one. Families are a small
    part of the documents, and only their whole sets are moved, once.
 5. In a family, each document is a query against the smaller ones: T-occurrence search with
-   DivideSkip over inverted lists of the whole sets. Its short lists are merged by counting and its
-   long ones probed by binary search; what reaches the needed overlap is a link. A family returns a
-   spanning forest of its links, never all pairs. (Document numbers in a family are small, so the
-   merge counts in an array where the published form keeps a heap; the lists and skips are the same.)
-   A family of more than FAMILY documents is searched in parts, and then what is outside its largest
-   component against all of it, part by part.
+   DivideSkip over inverted lists of the whole sets. A heap merges its short lists, skipping over
+   documents that too few of them hold; its long ones are probed by binary search; what reaches the
+   needed overlap is a link. A family returns a spanning forest of its links, never all pairs, and a
+   query ends when no other component is left to link with. A family of more than FAMILY documents
+   or FAMILY_HASHES shingles is searched in parts, heads of the parts meet in a chain of bridging
+   blocks, and then what is outside its largest component meets all of it, part by part.
 6. Components of the links are the result.
 
 Broadcasts: the hot shingles (at most 2**20) and a bitmap of fixed size that spares shingling
@@ -28,12 +28,15 @@ documents without any shared list. Lists of very frequent shingles are salted.
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, text_slices, word_codes, written
@@ -41,10 +44,18 @@ from .components import connected
 
 WIDTH = 5
 PIECE = 64
-FAMILY = 2048
+#: Bounds of what one task searches at once: documents, and shingles of their sets.
+FAMILY = 512
+FAMILY_HASHES = 1 << 19
+#: Heads of a part, and parts of a bridging block.
+HEADS, CHAIN = 4, 32
+#: Shingles among which a task looks for those that recur.
+STRETCH = 1 << 21
 HOT_TOKENS = 1 << 20
 LEAST_HOT = 16
 SALT_AT = 4096
+#: Rows of one list that a task holds before it gives them out.
+LONG_RUN = 1 << 16
 BITMAP_BITS = 27
 #: Skip factor of DivideSkip: long lists are T / (SKIP * log2(longest) + 1).
 SKIP = 0.0085
@@ -109,8 +120,13 @@ def document_statistics(rows: DataFrame) -> DataFrame:
         size = 0
 
         def recurring() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            keys, counts = keys[counts > 1], counts[counts > 1]
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            edge = np.flatnonzero(every[1:] != every[:-1])  # the last of each run but one
+            last = np.append(edge, len(every) - 1)
+            counts = np.diff(last, prepend=-1)
+            keys, counts = every[last[counts > 1]], counts[counts > 1]
             none = pa.nulls(len(keys), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int8)), pa.array(keys.view(np.int64)), pa.array(counts), none, none, pa.nulls(len(keys), pa.binary())], schema=schema)
 
@@ -127,9 +143,9 @@ def document_statistics(rows: DataFrame) -> DataFrame:
                         seen.add(sign)
                         held.append(s)
                         size += len(s)
-                if size > 8 << 20:
+                if size > STRETCH:
                     yield recurring()
-                    held, size = [], 0
+                    size = 0
                     seen.clear()
         if held:
             yield recurring()
@@ -248,7 +264,7 @@ def list_blocks(lists: DataFrame) -> DataFrame:
                 forced = False
             if len(seen) > 1 << 20:
                 seen.clear()
-            if not last and len(carry[0]) > 1 << 16:  # a long run: give out what is there but one document
+            if not last and len(carry[0]) > LONG_RUN:  # a long run: give out what is there but one document
                 kept = [c[-1:] for c in carry]
                 whole, carry = carry, None
                 yield from cut(whole, True)
@@ -386,55 +402,83 @@ def find(parent: list[int], i: int) -> int:
     return i
 
 
+def reaching(member: array, lists: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
+    """(number, in how many lists) of what at least `least` of the lists (ranges of `member`, each ascending)
+    hold, in ascending order. When the smallest number at the heap's top is in too few lists, as many heads
+    as can't make up `least` leave the heap and skip to the next top."""
+    heap = [(member[lo], lo, hi) for lo, hi in lists if lo < hi]
+    heapify(heap)
+    while len(heap) >= least:
+        number = heap[0][0]
+        if least == 1:  # nothing to skip: one pass over the heap
+            count = 0
+            while heap and heap[0][0] == number:
+                _, at, hi = heap[0]
+                count += 1
+                if at + 1 < hi:
+                    heapreplace(heap, (member[at + 1], at + 1, hi))
+                else:
+                    heappop(heap)
+            yield number, count
+            continue
+        popped = []
+        while heap and heap[0][0] == number:
+            popped.append(heappop(heap))
+        upto = number + 1
+        if len(popped) >= least:
+            yield number, len(popped)
+        else:
+            while heap and len(popped) < least - 1:
+                popped.append(heappop(heap))
+            if not heap:
+                return
+            upto = heap[0][0]
+        for _, at, hi in popped:
+            at = bisect_left(member, upto, at, hi)
+            if at < hi:
+                heappush(heap, (member[at], at, hi))
+
+
 def block_links(comps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that join the known components; sets come by size. Each is a query against those before it."""
     k = len(sets)
     place: dict[int, int] = {}
     parent = [place.setdefault(c, i) for i, c in enumerate(comps)]
+    links: list[tuple[int, int]] = []
+    if len(place) == 1:
+        return links
     sizes = np.array([len(s) for s in sets])
-    roots = len(place)
-    links = []
-    if k == 2:
-        o = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if roots > 1 and 7 * o >= 3 * int(sizes.sum()) else []
-    tokens = np.concatenate(sets)
-    owner = np.repeat(np.arange(k), sizes)
-    values, of = np.unique(tokens, return_inverse=True)
-    posting = np.sort(of * k + owner)  # inverted lists on end, each ascending
-    length = np.bincount(of, minlength=len(values))
-    start = np.cumsum(length) - length
-    member = posting % k
+    of = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    posting = of * k + np.repeat(np.arange(k), sizes)
+    posting.sort()  # inverted lists on end, each ascending
+    length = np.bincount(of)
+    member = array("i", (posting % k).astype(np.int32).tobytes())
     at = np.cumsum(sizes) - sizes
-    for q in range(1, k):
-        if roots == 1:
-            break
+    apart = 0  # components among the queries so far
+    for q in range(k):
+        apart += parent[q] == q
         first = int(np.searchsorted(sizes, least_overlap(int(sizes[q]))))
-        if first >= q:
+        if apart == 1 or first >= q:
             continue
         mine = of[at[q] : at[q] + sizes[q]]
         mine = mine[np.argsort(length[mine], kind="stable")]
         need = -(-3 * int(sizes[q] + sizes[first]) // 7)
         long = min(need - 1, int(need / (SKIP * np.log2(max(2, length[mine[-1]])) + 1)))
-        short, rest = mine[: len(mine) - long], mine[len(mine) - long :]
-        short = short[length[short] > 1]
-        runs = length[short]
-        gather = np.arange(int(runs.sum())) + np.repeat(start[short] - (np.cumsum(runs) - runs), runs)
-        seen = np.bincount(member[gather], minlength=k)[:q]
-        some = np.flatnonzero(seen[first:] >= max(1, need - long)) + first
-        mine_root = find(parent, q)
-        some = some[[find(parent, e) != mine_root for e in some.tolist()]] if len(some) else some
-        if not len(some):
-            continue
-        probe = (rest[:, None] * k + some[None, :]).ravel()
-        hit = np.searchsorted(posting, probe)
-        found = (posting[np.minimum(hit, len(posting) - 1)] == probe).reshape(len(rest), len(some)).sum(axis=0)
-        overlap = seen[some] + found
-        for e in some[7 * overlap >= 3 * (sizes[q] + sizes[some])].tolist():
+        short, rest = mine[: len(mine) - long], mine[len(mine) - long :] * k
+        short = short[length[short] > 1] * k
+        ranges = zip(np.searchsorted(posting, short + first).tolist(), np.searchsorted(posting, short + q).tolist(), strict=True)
+        for e, seen in reaching(member, list(ranges), need - long):
             a, b = find(parent, e), find(parent, q)
-            if a != b:
+            if a == b:
+                continue
+            probe = rest + e
+            overlap = seen + int((posting[np.searchsorted(posting, probe).clip(max=len(posting) - 1)] == probe).sum())
+            if 7 * overlap >= 3 * int(sizes[q] + sizes[e]):
                 parent[max(a, b)] = min(a, b)
                 links.append((e, q))
-                roots -= 1
+                apart -= 1
+                if apart == 1:
+                    break
     return links
 
 
@@ -444,10 +488,15 @@ def search(members: DataFrame, sets: DataFrame) -> DataFrame:
     return blockwise(rows, ("comp", "hashes"), block_links).distinct()
 
 
-def rest_blocks(groups: DataFrame, root: DataFrame, size: int) -> DataFrame:
+def part_count(share: int = 1) -> Column:
+    """Parts of a group of sets of n shingles, so that a part is about FAMILY / share documents, FAMILY_HASHES / share shingles."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) * share / FAMILY, F.sum("n") * share / FAMILY_HASHES))
+
+
+def rest_blocks(groups: DataFrame, root: DataFrame) -> DataFrame:
     """Blocks (b1, b2, doc_id, comp) that finish large groups (g, n, doc_id): documents outside a group's
     largest component against all of the group, by classes of size (a link's sizes are in the same
-    class or the next) and by hash, about `size` documents a side."""
+    class or the next) and by hash, each side half of what a task searches at once."""
     rows = groups.join(root.select(F.col("u").alias("doc_id"), "root"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
     open_groups = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
     rows = rows.join(open_groups, "g").withColumn("size_class", F.floor(F.log("n") / np.log(4 / 3)))
@@ -456,8 +505,8 @@ def rest_blocks(groups: DataFrame, root: DataFrame, size: int) -> DataFrame:
     kind = ["g", "size_class"]
 
     def in_parts(some: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(part counts, rows with their part), about `size` rows a part."""
-        count = some.groupBy(*kind).agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+        """(part counts, rows with their part)."""
+        count = some.groupBy(*kind).agg(part_count(2).alias("parts"))
         return count, some.join(count, kind).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
 
     all_count, all_rows = in_parts(rows)
@@ -476,17 +525,20 @@ def rest_blocks(groups: DataFrame, root: DataFrame, size: int) -> DataFrame:
 
 def families_searched(families: DataFrame, sets: DataFrame) -> DataFrame:
     """families (g, n, doc_id) -> links (u, v) that connect what is similar in each family."""
-    parts = families.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("parts"))
+    parts = families.groupBy("g").agg(part_count().alias("parts"))
     rows = families.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     own = rows.select(F.col("g").alias("b1"), F.col("part").alias("b2"), "doc_id", F.col("doc_id").alias("comp"))
-    # a sample of every part meets in one more block, which joins the parts of a large family
-    bridge = rows.where("parts > 1").where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts")) == 0)
-    bridge = bridge.select(F.col("g").alias("b1"), F.lit(-1).cast("long").alias("b2"), "doc_id", F.col("doc_id").alias("comp"))
+    # a few heads of every part meet in blocks that share a part with the next, which joins the parts of a large family
+    turn = F.row_number().over(Window.partitionBy("g", "part").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id"))
+    heads = rows.where("parts > 1").withColumn("turn", turn).where(F.col("turn") <= HEADS)
+    block = -1 - F.floor(F.col("part") / CHAIN)
+    blocks = F.when((F.col("part") % CHAIN == 0) & (F.col("part") > 0), F.array(block, block + 1)).otherwise(F.array(block))
+    bridge = heads.select(F.col("g").alias("b1"), F.explode(blocks).alias("b2"), "doc_id", F.col("doc_id").alias("comp"))
     links = written(search(own.unionByName(bridge), sets), "links")
     large = rows.where("parts > 1").select("g", "n", "doc_id")
     if large.isEmpty():
         return links
-    return links.unionByName(written(search(rest_blocks(large, connected(links), FAMILY // 2), sets), "links"))
+    return links.unionByName(written(search(rest_blocks(large, connected(links)), sets), "links"))
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -512,7 +564,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     long = found.where("kind = 1").select(F.col("b1").alias("g"), "doc_id").distinct()
     if not long.isEmpty():
         lists = long.join(some, "doc_id").select("g", "n", F.col("rep").alias("doc_id")).distinct()
-        apart = rest_blocks(lists, roots, FAMILY // 2)
+        apart = rest_blocks(lists, roots)
         more = written(feasible_edges(apart, some.where("doc_id = rep")), "feasible-edges")
         if not more.isEmpty():
             roots = connected(edges.unionByName(more))

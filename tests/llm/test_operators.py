@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import zlib
+from array import array
 
 import numpy as np
 import pytest
@@ -96,6 +97,54 @@ def test_ngram_join_of_families_above_a_piece(spark):
     assert ngram_join.similar_components(table(spark, []).limit(0)).count() == 0
 
 
+def similar_by_brute_force(rows):
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in ((d, words_of(t)) for d, t, _ in rows) if w}
+    root = {d: d for d, _, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in root}
+
+
+@pytest.mark.parametrize("bounds", [{"FAMILY": 16, "CHAIN": 2, "HEADS": 2}, {"FAMILY_HASHES": 300, "HEADS": 1}, {"SALT_AT": 8, "FAMILY": 16}, {"LONG_RUN": 20, "PIECE": 4}])
+def test_ngram_join_in_parts(spark, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(44)]
+    rows = [(1, " ".join(base), "s")]
+    for i in range(120):  # a star: linked to the base, not to each other
+        words = list(base)
+        words[rng.randrange(44)] = f"v{rng.randint(0, 10**9)}"
+        rows.append((i + 10, " ".join(words), "s"))
+    walk = [f"c{i}" for i in range(60)]
+    for i in range(60):  # a chain of small changes: its ends share little
+        walk[i] = f"d{i}"
+        rows.append((300 + i, " ".join(walk), "s"))
+    rows += [(500 + i, " ".join(base[:30] + [f"e{i}.{j}" for j in range(14)]), "s") for i in range(40)]  # share much, linked with none
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_components(table(spark, rows)).collect()}
+    assert got == similar_by_brute_force(rows)
+
+
+def test_reaching_skips_nothing():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        lists = [np.unique(rng.integers(0, 30, rng.integers(0, 20))) for _ in range(rng.integers(1, 9))]
+        ends = np.cumsum([0, *map(len, lists)]).tolist()
+        member = array("i", np.concatenate(lists).astype(np.int32).tobytes())
+        least = int(rng.integers(1, 6))
+        want = [(int(v), int(n)) for v, n in zip(*np.unique(np.concatenate(lists), return_counts=True), strict=True) if n >= least]
+        assert list(ngram_join.reaching(member, list(zip(ends, ends[1:])), least)) == want
+
+
 def test_divide_skip_counts_overlaps():
     rng = np.random.default_rng(0)
     for _ in range(50):
