@@ -305,6 +305,37 @@ def test_mixing_report_is_of_the_dealt_draws(spark, corpus, monkeypatch):
     assert len(report) == len(corpus) and {r.doc_id: r.taken for r in report if r.taken} == dict(words)
 
 
+def test_mixing_by_a_brute_force_draw(spark, corpus, monkeypatch):
+    """Small blocks and shards, the tree in several levels: the mix is what the draws say, each once."""
+    monkeypatch.setattr(mixing, "FANOUT", 3)
+    monkeypatch.setattr(mixing, "STRETCHES", 4)
+    docs, bounds = table(spark, corpus), {"block_bytes": 300, "words_per_shard": 200}
+    plan = mixing.planned(docs, ["doc_id"], mixing.WEIGHTS, 1.5, 2.0, 300, 7)
+    draws = mixing.dealt(plan, 7, 200).collect()
+    blocks = {(r.key, r.block): r for r in plan.blocks.collect()}
+    assert len({r.shard for r in draws}) > 20 and len(blocks) > 40
+    assert len({(r.key, r.block, r.epoch) for r in draws}) == len(draws)
+    for r in blocks.values():  # the run of each source by hand: whole epochs, then leading blocks
+        lead = sum(b.words for b in blocks.values() if b.key == r.key and b.nth < r.nth)
+        want = [r.words] * r.epochs + [x for x in [max(0, min(r.words, r.rest - lead))] if x]
+        assert sorted(d.extra for d in draws if (d.key, d.block) == (r.key, r.block)) == sorted(want if r.words else [])
+    inside = collections.defaultdict(list)
+    for r in plan.placed.collect():
+        inside[r.key, r.block].append((r.place, r.id or "", r.row.doc_id, len((r.text or "").encode().split())))
+    taken = collections.Counter()
+    for d in draws:
+        left = d.extra
+        for _, _, doc, size in sorted(inside[d.key, d.block]):
+            taken[doc] += min(size, left)
+            left -= min(size, left)
+    report = mixing.mixing_report(docs, **bounds).collect()
+    assert {r.doc_id: r.taken for r in report if r.taken} == {d: n for d, n in taken.items() if n}
+    words = collections.Counter()
+    for r in mixing.mix(docs, **bounds).collect():
+        words[r.doc_id] += len(r.text.encode().split())
+    assert words == +taken
+
+
 def test_splitting_tree_is_exact():
     draws = np.array([10, 0, 7, 123])
     parts = mixing.split(draws, 9, np.random.default_rng(1))
