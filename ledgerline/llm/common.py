@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from ..durable import run_dir, shared_dir, written
 
-__all__ = ["ASCII_LOWER", "BLANKS", "run_dir", "shared_dir", "slices", "sums_by_row", "text_slices", "word_codes", "written"]
+__all__ = ["ASCII_LOWER", "BLANKS", "give_back", "run_dir", "shared_dir", "slices", "sums_by_row", "text_slices", "word_codes", "written"]
 
 #: A-Z to a-z and nothing else.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")

@@ -1,20 +1,21 @@
 """Token ids in binary files, coded with static rANS.
 
 Texts are range-partitioned by doc_id and sorted inside the partition; each task tokenizes its
-range and writes one file. A file is a run of segments of bounded size; a segment holds the
-document index, one frequency table made from all its ids, and the coded blocks, each with its
-coder states (a checkpoint to decode from) and checksum. Files come back through Spark's binaryFile
-source. The whole order is (file number, position): file numbers follow the ranges.
+range and writes files of about `roll_bytes`. A file is a run of segments of bounded size; a segment
+holds the document index, one frequency table made from all its ids, and the coded blocks, each with
+its coder states (a checkpoint to decode from) and checksum. Files come back through Spark's binaryFile
+source. The whole order is (file number, position): file numbers follow the ranges. A task holds one
+file at most; rows of one doc_id, or of none, are written by one task, file after file.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import give_back, slices, written
 from .files import make_dir, write_file
 from .rans import Table, decode_blocks, encode_segment
 
 MAGIC = b"RTOK0001"
 SEGMENT = struct.Struct("<QQQQQ")  # documents, ids, bytes of index, of table, of blocks
 SEGMENT_IDS = 2 << 20
+#: File numbers of one task: number = task * FILES + place.
+FILES = 1_000_000
 END_ID = 2
 #: What else than a space counts as blank in byte-level BPE or in Python.
 OTHER_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -112,15 +115,10 @@ class PieceEncoder:
         pieces = [pieces_of(t) if self.splits and splits_at_spaces(t) and not any(s in t for s in self.special) else [t] for t in texts]
         for p in pieces:
             p[0] = HEAD + p[0]
-        flat = list(chain.from_iterable(pieces))
-        coded = list(map(self.known.get, flat))
-        if new := [i for i, x in enumerate(coded) if x is None]:
-            self.learn(list({flat[i] for i in new}))
-            for i in new:
-                coded[i] = self.known[flat[i]]
-        del flat
-        given = iter(coded)
-        whole = [b"".join(islice(given, len(p))) for p in pieces]
+        if new := set().union(*pieces).difference(self.known):
+            self.learn(list(new))
+        given = self.known.__getitem__
+        whole = [b"".join(map(given, p)) for p in pieces]
         return np.frombuffer(b"".join(whole), np.uint32), np.fromiter(map(len, whole), np.int64, len(whole)) // 4
 
 
@@ -179,13 +177,13 @@ def unpacked(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.nda
         yield [None if gone else d for d, gone in zip(numbers, nulls, strict=True)], lengths, ids.astype(np.uint32)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, room: int = 600_000, keep: bool = True) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, room: int = 600_000, keep: bool = True, roll_bytes: int = 64 << 20) -> DataFrame:
     """Write the files; a lazy manifest (file, docs, ids, bytes), whose evaluation writes them.
 
     A null text is empty: its document holds the end id alone. A null doc_id sorts first and stays
     null; repeated ids are written each, in the order of their texts' hashes; other columns are not
     read; an empty table writes no file. `room` bounds the pieces that a worker remembers; without
-    `keep` it forgets them behind each task, for less memory and more work.
+    `keep` it lets them and the tokenizer go behind each task, for less memory and more work.
     """
     make_dir(folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -194,29 +192,41 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         coder = encoder(tokenizer, room)
-        parts, total, count = [MAGIC], 0, 0
+        parts, total, count, number = [MAGIC], 0, 0, part * FILES
         held: list[tuple[np.ndarray, np.ndarray, list[int | None]]] = []
 
         def flush() -> None:
             nonlocal total, count
             ids, sizes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            parts.extend(packed_segment(ids, sizes, [d for h in held for d in h[2]]))
-            total, count = total + len(ids), count + len(sizes)
+            docs = [d for h in held for d in h[2]]
             held.clear()
+            parts.extend(packed_segment(ids, sizes, docs))
+            total, count = total + len(ids), count + len(sizes)
+
+        def rolled() -> pa.RecordBatch:
+            nonlocal parts, total, count, number
+            size = write_file(folder, f"tokens-{number:012d}.rtok", parts)
+            row = {"file": number, "docs": count, "ids": total, "bytes": size}
+            parts, total, count, number = [MAGIC], 0, 0, number + 1
+            return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
-            for piece in slices(batch, limit=4 << 20):
+            for piece in slices(batch, limit=2 << 20):
                 coded = coder.encode(piece.column("text").to_pylist())
                 held.append((*with_ends(*coded, end_id), piece.column("doc_id").to_pylist()))
                 if sum(len(h[0]) for h in held) >= SEGMENT_IDS:
                     flush()
+                if count and sum(map(len, parts)) >= roll_bytes:
+                    yield rolled()
         if held:
             flush()
-        if not keep:
-            coder.known, coder.old = {}, {}
         if count:
-            size = write_file(folder, f"tokens-{part:06d}.rtok", parts)
-            yield pa.RecordBatch.from_pylist([{"file": part, "docs": count, "ids": total, "bytes": size}])
+            yield rolled()
+        if not keep:
+            del coder
+            _encoders.clear()
+            gc.collect()
+        give_back()
 
     return rows.mapInArrow(work, "file long, docs long, ids long, bytes long")
 

@@ -342,7 +342,7 @@ def test_splitting_tree_is_exact():
     assert (parts.sum(axis=1) == draws).all() and (parts >= 0).all() and np.ptp(parts.sum(axis=0)) <= 1
 
 
-def test_token_files(spark, corpus):
+def test_token_files(spark, corpus, monkeypatch):
     path = public.path("byte_bpe_50k.json")
     tok = tokenizers.Tokenizer.from_file(path)
     rows = [*corpus, (-5, "a  b \n\n c.\nD e,\r\n<|endoftext|> it's", "s"), (None, "null id", "s"), corpus[4], (7000, "one two. three\nfour", "s")]
@@ -354,6 +354,13 @@ def test_token_files(spark, corpus):
         ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
         assert (at, doc, n, crc) == (start, d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += n
+    monkeypatch.setattr(token_store, "SEGMENT_IDS", 1000)
+    many = run_dir(spark, "tokens")  # a file rolls with every slice
+    token_store.write_tokens(table(spark, [(0, "x" * 3_000_000, "s"), (1, "a b " * 900_000, "s"), *rows], extra=True), many, path, keep=False, roll_bytes=1).collect()
+    assert token_store.read_tokens(spark, many, ids=False).agg(F.count_distinct("file")).first()[0] > 2
+    again = [(r.doc_id, r.n_tokens, r.ids_crc32, r.start) for r in token_store.token_report(spark, many).orderBy("start").collect()]
+    assert collections.Counter(x[:3] for x in again if x[1] < 100_000) == collections.Counter(x[1:] for x in got)
+    assert all(a[3] + a[1] == b[3] for a, b in zip(again, again[1:]))
     back = {r.position: list(r.ids) for r in token_store.read_tokens(spark, folder).where("file = 0").collect()}
     assert back and all(x[-1] == 2 for x in back.values())
     empty = run_dir(spark, "tokens")
