@@ -5,7 +5,8 @@ through it and track, word by word, the longest suffix that occurs in an item. W
 reaches the window, the last `window` words are an item's window; items shorter than the window
 count when they occur whole. The automaton is the only broadcast and its size is checked: items
 beyond `block_bytes` of text are split by hash into blocks of that size, and the same scan runs
-once per block, one behind the other in a single stage. Rows are independent: no shuffle.
+once per block; what all but the last found is written with the rows, so that a worker holds one
+automaton at a time. Rows are independent: no shuffle.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import ASCII_LOWER, text_slices
+from .common import ASCII_LOWER, text_slices, written
 
 WINDOW = 10
 #: All ASCII but digits and letters separates words; A-Z is lower-cased.
@@ -164,17 +166,23 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[s
         yield sorted((r.item_id, r.text.encode()) for r in part.toLocalIterator())
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, names: tuple[str, str, str], text: str = "text") -> DataFrame:
-    """docs with three more columns: hit spans (flat), number of words, ids of the items that occur."""
+def scanned(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, names: tuple[str, str, str], finish: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch] | None = None, schema: StructType | None = None) -> DataFrame:
+    """docs with three more columns: hit spans (flat), number of words, ids of the items that occur; or what
+    `finish` makes of a batch of them and its texts, in the same pass. A block of items is a pass over the
+    rows: those before the last are written, and their automata leave the executors."""
     spans_at, words_at, items_at = names
     out = docs.withColumns({spans_at: F.expr("cast(array() as array<long>)"), words_at: F.lit(0).cast("long"), items_at: F.expr("cast(array() as array<string>)")})
-    for block in item_blocks(benchmark, block_bytes):
+    blocks = item_blocks(benchmark, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
         shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(block, window))
+        then = finish if following is None else None
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], shared=shared, then=then) -> Iterator[pa.RecordBatch]:
             machine = shared.value
             for batch in batches:
-                for part, texts in text_slices(batch, text):
+                for part, texts in text_slices(batch):
                     spans, counts, items = [], [], []
                     for row, was, had in zip(texts, part.column(spans_at).to_pylist(), part.column(items_at).to_pylist(), strict=True):
                         words = normal_words(row)
@@ -184,9 +192,13 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int
                         items.append(sorted({*had, *(machine.items[i] for i in found)}))
                     for name, values, kind in ((spans_at, spans, pa.list_(pa.int64())), (words_at, counts, pa.int64()), (items_at, items, pa.list_(pa.string()))):
                         part = part.set_column(part.schema.get_field_index(name), name, pa.array(values, kind))
-                    yield part
+                    yield then(part, texts) if then else part
 
-        out = out.mapInArrow(work, out.schema)
+        out = out.mapInArrow(work, schema if then else out.schema)
+        if following is not None:
+            out = written(out, "scanned")
+            shared.destroy()
+        block = following
     return out
 
 
@@ -224,29 +236,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """
     tag = "ledgerline_scan_"
     names = (f"{tag}spans", f"{tag}words", f"{tag}items")
-    seen = scanned(docs, benchmark, window, block_bytes, names)
     counted = "n_chars" in docs.columns
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in text_slices(batch):
-                spans = part.column(names[0]).to_pylist()
-                total = part.column(names[1]).to_pylist()
-                hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-                keep = pa.array([h <= max_coverage * n for h, n in zip(hit, total, strict=True)], pa.bool_())
-                part = part.drop_columns(list(names))
-                if any(spans):
-                    old = part.column("text").to_pylist()
-                    new = [cut(t, s).decode() if s else o for t, s, o in zip(texts, spans, old, strict=True)]
-                    at = part.schema.get_field_index("text")
-                    part = part.set_column(at, part.schema.field("text"), pa.array(new, part.schema.field("text").type))
-                    if counted:
-                        at, field = part.schema.get_field_index("n_chars"), part.schema.field("n_chars")
-                        sizes = [len(t) if s else was for t, s, was in zip(new, spans, part.column("n_chars").to_pylist(), strict=True)]
-                        part = part.set_column(at, field, pa.array(sizes, field.type))
-                yield part.filter(keep)
-
-    return seen.mapInArrow(work, docs.schema)
+    def finish(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        spans = part.column(names[0]).to_pylist()
+        total = part.column(names[1]).to_pylist()
+        hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+        keep = pa.array([h <= max_coverage * n for h, n in zip(hit, total, strict=True)], pa.bool_())
+        part = part.drop_columns(list(names))
+        if any(spans):
+            old = part.column("text").to_pylist()
+            new = [cut(t, s).decode() if s else o for t, s, o in zip(texts, spans, old, strict=True)]
+            at = part.schema.get_field_index("text")
+            part = part.set_column(at, part.schema.field("text"), pa.array(new, part.schema.field("text").type))
+            if counted:
+                at, field = part.schema.get_field_index("n_chars"), part.schema.field("n_chars")
+                sizes = [len(t) if s else was for t, s, was in zip(new, spans, part.column("n_chars").to_pylist(), strict=True)]
+                part = part.set_column(at, field, pa.array(sizes, field.type))
+        return part.filter(keep)
+
+    return scanned(docs, benchmark, window, block_bytes, names, finish, docs.schema)
 
 
 def items_digest(items: list[str]) -> str:
