@@ -45,8 +45,8 @@ from .components import connected
 WIDTH = 5
 PIECE = 64
 #: Bounds of what one task searches at once: documents, and shingles of their sets.
-FAMILY = 512
-FAMILY_HASHES = 1 << 19
+FAMILY = 2048
+FAMILY_HASHES = 1 << 20
 #: Heads of a part, and parts of a bridging block.
 HEADS, CHAIN = 4, 32
 #: Shingles among which a task looks for those that recur.
