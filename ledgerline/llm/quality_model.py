@@ -3,9 +3,10 @@
 Heuristic labellers vote good, bad or nothing on each document. Their votes are counted by pattern,
 at most 3 ** labellers of them whatever the corpus, so expectation-maximisation over the patterns
 is exact over all documents and runs on the driver. It estimates, for each labeller, how often
-it votes each way on good and on bad documents, and gives each pattern its posterior. A linear
-scorer over hashed words and word shapes learns those posteriors on a bounded sample of documents
-(`sample` documents with the smallest hashes) and scores every document. No shuffle but the counts.
+it votes each way, or not at all, on good and on bad documents, and gives each pattern its posterior.
+A linear scorer over hashed words and word shapes learns those posteriors on a bounded sample of
+documents (the `sample` smallest hashes, `sample_bytes` of text at most) and scores every document.
+No shuffle but the counts and the sample.
 """
 
 from __future__ import annotations
@@ -22,14 +23,12 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, BLANKS, sums_by_row, text_slices, word_codes
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
-LABELLERS = ("length", "symbols", "capitals", "word_length", "variety", "repeated_lines", "line_ends", "letters")
+LABELLERS = ("length", "symbols", "capitals", "symbol_words", "variety", "repeated_lines", "line_ends", "letters")
 SYMBOLS = b"#*$%&|<>{}[]=_~^\\"
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
 NO_LETTER = bytes(c for c in range(0x80) if not chr(c).isalpha())
 BUCKETS = 1 << 17
-#: Texts above this size aren't taken into the sample: with its number of rows it bounds the driver's memory.
-SAMPLE_BYTES = 1 << 16
 #: Folds letters, digits and symbols into one sign each, for word shapes.
 SHAPE = bytes(ord("A") if 65 <= c < 91 else ord("a") if 97 <= c < 123 or c >= 0x80 else ord("0") if 48 <= c < 58 else c for c in range(256))
 
@@ -39,7 +38,8 @@ def vote(bad: bool, good: bool) -> int:
 
 
 def votes(text: bytes) -> list[int]:
-    """Each labeller's vote. Most only know what is bad: that a document lacks it says little."""
+    """Each labeller's vote. Most only know what is bad. No two look at the length alone: labellers that
+    abstain together on short documents would make those a class."""
     words = text.split()
     n = len(words)
     if not n:
@@ -49,17 +49,17 @@ def votes(text: bytes) -> list[int]:
     capitals = len(solid) - len(solid.translate(None, UPPER))
     symbols = len(solid) - len(solid.translate(None, SYMBOLS))
     lines = [x for x in (line.strip(BLANKS) for line in text.split(b"\n")) if x]
-    mean = len(solid) / n
+    signed = sum(len(w.translate(None, SYMBOLS)) < len(w) for w in words)
     variety = len(set(words)) / n
     again = 1 - len(set(lines)) / len(lines)
     ended = sum(x[-1:] in b".!?\"')" for x in lines) / len(lines)
     bare = sum(not w.translate(None, NO_LETTER) for w in words) / n
     return [
-        vote(n < 5, n >= 50),
+        vote(n < 5, False),
         vote(symbols > 0.2 * n, False),
         vote(letters > 20 and capitals > 0.4 * letters, False),
-        vote(mean < 2.5 or mean > 14, False),
-        vote(n >= 50 and variety < 0.25, n >= 50 and variety > 0.4),
+        vote(signed > 0.1 * n, False),
+        vote(n >= 50 and variety < 0.25, variety > 0.4),
         vote(again > 0.4, False),
         vote(ended < 0.2, ended > 0.6),
         vote(bare > 0.25, False),
@@ -92,16 +92,15 @@ def unpack(patterns: np.ndarray) -> np.ndarray:
     return patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
-#: What a labeller is believed to do before any data: its votes (none, bad, good) on bad and on good
-#: documents. The belief weighs BELIEF of the documents of the class; it keeps the classes from turning
-#: into another split of the data than good and bad, since few bad documents fail many labellers.
+#: Votes (none, bad, good) on bad and on good documents that stand for no data: PSEUDO documents of each
+#: class, however many there are. They keep estimates off 0.
 EXPECTED = np.array([[0.5, 0.25, 0.25], [0.5, 0.01, 0.49]])
-BELIEF = 1.0
+PSEUDO = 10.0
 
 
-def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
+def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
     """Expectation-maximisation from a start where one bad vote makes a document likely bad; votes are
-    taken as independent given the class."""
+    taken as independent given the class. Good is the class with fewer bad votes."""
     ballot = unpack(patterns)
     q = np.where((ballot == BAD).any(axis=1), 0.1, 0.98)
     table = np.tile(EXPECTED, (len(LABELLERS), 1, 1))
@@ -109,18 +108,19 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> L
     for _ in range(rounds if len(patterns) else 0):
         for c, weight in enumerate((counts * (1 - q), counts * q)):
             for v in range(3):
-                table[:, c, v] = ((ballot == v) * weight[:, None]).sum(axis=0) + (BELIEF * weight.sum() + 1) * EXPECTED[c, v]
+                table[:, c, v] = ((ballot == v) * weight[:, None]).sum(axis=0) + PSEUDO * EXPECTED[c, v]
             table[:, c] /= table[:, c].sum(axis=1, keepdims=True)
         prior = float(np.clip((counts * q).sum() / counts.sum(), 0.01, 0.99))
         q = posterior_of(ballot, prior, table)
+    if table[:, 1, BAD].sum() > table[:, 0, BAD].sum():
+        prior, table = 1 - prior, table[:, ::-1]
     every = np.arange(3 ** len(LABELLERS))
     return LabelModel(prior, table, posterior_of(unpack(every), prior, table))
 
 
 def posterior_of(ballot: np.ndarray, prior: float, table: np.ndarray) -> np.ndarray:
-    """The probability of good; a labeller that gives no vote gives no evidence."""
+    """The probability of good; that a labeller gives no vote is evidence too."""
     ratio = np.log(table[:, 1] / table[:, 0])
-    ratio[:, ABSTAIN] = 0.0
     odds = ratio[np.arange(len(LABELLERS)), ballot].sum(axis=1) + np.log(prior / (1 - prior))
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
@@ -148,7 +148,8 @@ def fit_scorer(texts: list[bytes], target: np.ndarray, rounds: int = 60, rate: f
     if not texts:
         return weights, bias
     buckets, sizes, scale = features(texts)
-    row = np.repeat(np.arange(len(texts)), sizes)
+    buckets = buckets.astype(np.int32)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     value = np.repeat(scale, sizes)
     share = float(np.clip(target.mean(), 0.02, 0.98))
     gain = target / share + (1 - target) / (1 - share)
@@ -164,21 +165,33 @@ def fit_scorer(texts: list[bytes], target: np.ndarray, rounds: int = 60, rate: f
     return weights, bias
 
 
-def quality_scores(docs: DataFrame, sample: int = 4000, threshold: float = 0.5) -> DataFrame:
+def sampled_texts(rows: DataFrame, total: int, sample: int, sample_bytes: int) -> list[bytes]:
+    """Texts of the distinct rows with the `sample` smallest hashes; a text that what is left of
+    `sample_bytes` can't hold is passed over. Sizes come to the driver first, then those texts."""
+    part = min(1.0, 1.2 * sample / max(1, total))  # of the hashes; a few more rows than the sample meet in the sort
+    hashed = rows.withColumns({"h": F.xxhash64("doc_id", "text"), "n": F.octet_length("text")})
+    some = hashed.where((F.col("n") > 0) & (F.col("h") <= int(part * (1 << 63)) * 2 - (1 << 63) - (part == 1.0)))
+    kept, left = [], sample_bytes
+    for h, n in some.groupBy("h").agg(F.max("n").alias("n")).orderBy("h").limit(sample).collect():
+        if n <= left:
+            kept.append(h)
+            left -= n
+    texts = some.where(F.col("h").isin(kept)).groupBy("h").agg(F.max("text").alias("text")).orderBy("h")
+    return [t.encode() for t in texts.toArrow().column("text").to_pylist()]
+
+
+def quality_scores(docs: DataFrame, sample: int = 4000, threshold: float = 0.5, sample_bytes: int = 32 << 20) -> DataFrame:
     """One row per document: doc_id, weak_label (posterior that it is good), score, kept, and the votes.
 
     The scorer's score decides, `kept` is score >= threshold. A text without words scores 0 and is not
-    kept. A null doc_id stays null and is not in the sample; repeated rows are scored each; other
-    columns are not read; an empty table gives no rows. `sample` bounds the rows that fit the scorer.
+    kept. A null doc_id stays null; repeated rows are scored each, count each for the label model and are
+    in the sample once; other columns are not read; an empty table gives no rows. `sample` and
+    `sample_bytes` bound what fits the scorer; the label model sees every document.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = voted(rows).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 3 ** labellers rows
     model = fit_labels(found.column("pattern").to_numpy(), found.column("n").to_numpy())
-    total = max(1, sum(found.column("n").to_pylist()))
-    part = min(1.0, 1.2 * sample / total)  # of the hashes; a few more rows than the sample meet in the sort
-    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text")).where(F.octet_length("text").between(1, SAMPLE_BYTES) & (F.col("h") <= int(part * (1 << 63)) * 2 - (1 << 63) - (part == 1.0)))
-    picked = hashed.select("h", "text").orderBy("h").limit(sample)
-    texts = [(r or "").encode() for r in picked.toArrow().column("text").to_pylist()]
+    texts = sampled_texts(rows, sum(found.column("n").to_pylist()), sample, sample_bytes)
     ballots = np.array([votes(t) for t in texts], np.int64).reshape(len(texts), len(LABELLERS))
     fitted = fit_scorer(texts, model.posterior[ballots @ 3 ** np.arange(len(LABELLERS))])
     shared = docs.sparkSession.sparkContext.broadcast((model.posterior, *fitted))
