@@ -1,24 +1,28 @@
 """Line de-duplication with keep bitmaps, in DataFrame operations only.
 
 Long lines travel as 128-bit hashes of their keys with document and position, never as text. Counts
-combined before each shuffle find the keys of many documents and the document that keeps each; only
-rows of those keys are range-partitioned by hash and sorted by document and position behind it, and the
-rows past the first occurrence's document set bits in a per-document bitmap of 64-bit words (words
-without a dropped line are left out). The text is touched once, when a caller applies the bitmaps.
-
-A hot key is safe: its rows are counted by (key, document) first and combined before they meet by
-key, AQE can split its side of the join, and the range partitioning also splits by document.
+combined before each shuffle find the keys of many documents; the rows of those keys are range-partitioned
+by hash and sorted by document, last first, and position. The first row of a key in that order names the
+document that keeps the line; the rows of other documents that stream by behind it clear bits in
+per-document keep bitmaps of 64-bit words. Words without a dropped line are left out, so a bitmap is as
+large as what is dropped. The text is touched once, when a caller applies the bitmaps.
+
+A hot key is safe: its rows are counted by (key, document) first and combined before they meet by key, and
+its documents fall by hash into parts of about PART rows, each sorted and streamed apart; the few rows of
+each part's first document then meet the first of all parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 #: The characters stripped at both ends of a line.
 STRIP = " \t\n\x0b\x0c\r"
+#: Documents of a key that are sorted and streamed together.
+PART = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,8 +38,9 @@ def row_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("t", F.xxhash64("text"))
 
 
-def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(doc_id, t, bits): for documents that lose lines, 64-bit words by index, a bit for each dropped line.
+def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """(doc_id, t, bits): for documents that lose lines, 64-bit words by index, a bit for each kept line;
+    words that lose nothing are left out.
 
     Rows without a doc_id take no part: no line of theirs is counted or dropped.
     """
@@ -43,17 +48,24 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     lines = rows.select("doc_id", "t", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.length("line") >= min_chars)
     keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     hashed = written(keyed.select("doc_id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "line-hashes")
-    keepers = written(
+    often = written(
         hashed.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"),
-        "line-keepers",
-    )
-    ordered = (
-        hashed.join(keepers, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
-        .repartitionByRange("h1", "h2", F.desc("doc_id"), "pos").sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
+        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+        .select("h1", "h2", F.ceil(F.col("n_docs") / PART).alias("parts")),
+        "line-keys",
     )
-    words = ordered.groupBy("doc_id", "t", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos & 63 as int))")).alias("bits"))
+    run = ["h1", "h2", "part"]
+    shared = hashed.join(often, ["h1", "h2"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    ordered = shared.repartitionByRange(*run).sortWithinPartitions(*run, F.desc("doc_id"), "pos")
+    first = F.first("doc_id").over(Window.partitionBy(*run).orderBy(F.desc("doc_id"), "pos"))
+    # rows behind the first document, and of keys in parts the first document of each part
+    behind = ordered.withColumn("head", F.col("doc_id") == first).where(~F.col("head") | (F.col("parts") > 1))
+    behind = written(behind.select("h1", "h2", "doc_id", "t", "pos", "head"), "line-drops")
+    heads = behind.where("head")
+    keepers = heads.groupBy("h1", "h2").agg(F.max("doc_id").alias("keeper"))
+    gone = behind.where("not head").select("doc_id", "t", "pos")
+    gone = gone.unionByName(heads.join(keepers, ["h1", "h2"]).where("doc_id <> keeper").select("doc_id", "t", "pos"))
+    words = gone.groupBy("doc_id", "t", F.shiftright("pos", 6).alias("word")).agg(F.bitwise_not(F.bit_or(F.expr("shiftleft(1L, cast(pos & 63 as int))"))).alias("bits"))
     return words.groupBy("doc_id", "t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
 
 
@@ -64,15 +76,15 @@ def deduplicate_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     identical rows lose the same lines; other columns are not read; an empty table gives no rows.
     A document that loses all lines keeps an empty text.
     """
-    bits = drop_bitmaps(docs, min_chars, min_docs)
+    bits = keep_bitmaps(docs, min_chars, min_docs)
     # bitmaps are a small part of a partition's text: hashing them spares sorting the texts
     rows = row_key(docs).join(bits.hint("shuffle_hash"), ["doc_id", "t"], "left")
     lines = F.split("text", "\n", -1)
-    kept = F.expr("filter(split(text, '\n', -1), (l, i) -> (shiftright(coalesce(try_element_at(bits, shiftright(i, 6)), 0L), i & 63) & 1L) = 0L)")
+    kept = F.expr("filter(split(text, '\n', -1), (l, i) -> (shiftright(coalesce(try_element_at(bits, shiftright(i, 6)), -1L), i & 63) & 1L) = 1L)")
     return rows.select(
         "doc_id", F.size(lines).cast("long").alias("n_lines"),
         F.when(F.col("bits").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.expr("coalesce(aggregate(map_values(bits), 0L, (n, w) -> n + bit_count(w)), 0L)").cast("long").alias("n_dropped"),
+        F.expr("coalesce(aggregate(map_values(bits), 0L, (n, w) -> n + 64 - bit_count(w)), 0L)").cast("long").alias("n_dropped"),
     )
 
 

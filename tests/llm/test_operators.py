@@ -232,10 +232,26 @@ def test_quality_rules(spark, corpus):
     assert kept == {d for d, r in got.items() if r.kept} and 301 in kept and 300 not in kept
 
 
-def test_line_dedup(spark):
+def test_line_dedup_sorts_and_streams(spark):
+    docs = table(spark, [(i, "a line that is long enough to count as one of many\n" * 3, "s") for i in range(9)])
+    line_dedup.written, kept = lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df, name), line_dedup.written
+    plans = []
+    try:
+        line_dedup.keep_bitmaps(docs).collect()
+    finally:
+        line_dedup.written = kept
+    plan = dict(plans)["line-drops"]
+    assert plan.index("Window") < plan.index("Sort [h1") < plan.index("RepartitionByExpression")
+
+
+@pytest.mark.parametrize("part", [50_000, 2])
+def test_line_dedup(spark, monkeypatch, part):
+    monkeypatch.setattr(line_dedup, "PART", part)  # 2: hot keys in parts
     long, other = "A long line that many of the documents hold, indeed!", "é" * 40
     rows = [(i, f"first {i}\n  {long.upper() if i % 2 else long}\t\nlast\n{long}", "s") for i in range(6)] + [(i, f"{other}\n{other}", "s") for i in range(10, 14)]
     rows += [(20, None, "s"), (21, "", "s"), (None, long, "s"), (22, "\n\n", "s"), (23, long[:39] + "\n" + long, "s")]
+    rows += [(24, "\n".join(f"line {i % 3000}, as long as it must be to have a key at all" for i in range(20_000)) + "\n" + long, "s"), rows[2]]
+    rows += [(30 + i, f"{other}\n" * 200 + "end", "s") for i in range(3)]
     docs = collections.defaultdict(set)
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
     for d, t, _ in rows:
@@ -248,6 +264,7 @@ def test_line_dedup(spark):
         gone = [d is not None and len(docs.get(key(x), ())) >= 5 and d != max(docs[key(x)]) for x in lines]
         assert (got[d].n_lines, got[d].n_dropped) == (len(lines), sum(gone))
         assert got[d].text == "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
+    assert line_dedup.deduplicate_lines(table(spark, rows).limit(0)).count() == 0
 
 
 def test_mixing(spark, corpus):
@@ -508,6 +525,85 @@ def test_quality_model_separates(spark):
     assert quality_model.quality_scores(table(spark, good).limit(0)).count() == 0
 
 
+def plain_em(ballots):
+    """Document by document: (prior, table[labeller][class][vote], posterior of each)."""
+    n = len(ballots[0])
+    q = [0.1 if quality_model.BAD in b else 0.98 for b in ballots]
+    for _ in range(200):
+        table = []
+        for j in range(n):
+            classes = []
+            for c in (0, 1):
+                sums = [quality_model.PSEUDO * quality_model.EXPECTED[c][v] for v in range(3)]
+                for b, x in zip(ballots, q, strict=True):
+                    sums[b[j]] += x if c else 1 - x
+                classes.append([x / sum(sums) for x in sums])
+            table.append(classes)
+        prior = min(0.99, max(0.01, sum(q) / len(q)))
+        q = []
+        for b in ballots:
+            good, bad = prior, 1 - prior
+            for j, v in enumerate(b):
+                good, bad = good * table[j][1][v], bad * table[j][0][v]
+            q.append(good / (good + bad))
+    return prior, table, q
+
+
+def plain_scorer(texts, target, rounds=60, rate=2.0, decay=1e-6):
+    """The same logistic regression on a dense matrix."""
+    x = np.zeros((len(texts), quality_model.BUCKETS))
+    for i, t in enumerate(texts):
+        for pair in quality_model.word_buckets(t.split()):
+            for k in pair:
+                x[i, k] += 1 / len(t.split())
+    used = np.flatnonzero(x.any(axis=0))
+    x, w, b = x[:, used], np.zeros(len(used)), 0.0
+    share = min(0.98, max(0.02, target.mean()))
+    gain = target / share + (1 - target) / (1 - share)
+    g2, b2 = np.full(len(used), 1e-8), 1e-8
+    for _ in range(rounds):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - target) * gain / len(texts)
+        g = x.T @ e + decay * w
+        g2, b2 = g2 + g * g, b2 + e.sum() ** 2
+        w, b = w - rate * g / np.sqrt(g2), b - rate * e.sum() / math.sqrt(b2)
+    return 1 / (1 + np.exp(-(x @ w + b)))
+
+
+def test_quality_model_is_plain_em_and_regression(spark):
+    rng = random.Random(8)
+    junk = lambda n: " ".join(rng.choice(("$$$", "##a", "BUY", "NOW", "&|&", "word")) for _ in range(n))
+    docs = [(i, sentence(rng, rng.randint(6, 90)) + ".", "s") for i in range(40)] + [(50 + i, junk(rng.randint(6, 70)), "s") for i in range(12)]
+    docs += [(70, "one two", "s"), (71, sentence(rng, 30_000), "s")]
+    rows = [*docs, docs[3], docs[45], (80, None, "s"), (None, "", "s")]  # repeats, no text
+    got = [(r.doc_id, r.weak_label, r.score) for r in quality_model.quality_scores(table(spark, rows, extra=True)).collect()]
+    ballots = [quality_model.votes((t or "").encode()) for _, t, _ in rows]
+    posterior = plain_em(ballots)[2]
+    weak = {d: p for (d, _, _), p in zip(rows, posterior, strict=True)}
+    texts = [t.encode() for _, t, _ in docs]
+    score = dict(zip([d for d, _, _ in docs], plain_scorer(texts, np.array([weak[d] for d, _, _ in docs])), strict=True)) | {80: 0.0, None: 0.0}
+    assert len(got) == len(rows)
+    for d, p, s in got:
+        assert p == pytest.approx(weak[d], abs=1e-6) and s == pytest.approx(score[d], abs=1e-4)
+    few = quality_model.sampled_texts(table(spark, rows).select("doc_id", "text"), len(rows), 30, 2000)
+    assert 0 < len(few) <= 30 and sum(map(len, few)) <= 2000
+
+
+def test_label_model_finds_planted_accuracies():
+    rng = np.random.default_rng(6)
+    n, k = 60_000, len(quality_model.LABELLERS)
+    planted = np.stack([np.stack([rng.dirichlet((6, 4, 1)), rng.dirichlet((6, 0.3, 5))]) for _ in range(k)])
+    good = rng.random(n) < 0.8
+    ballot = np.stack([(rng.random((n, 1)) > np.cumsum(planted[j], axis=1)[good.astype(int)]).sum(axis=1).clip(max=2) for j in range(k)], axis=1)
+    patterns, counts = np.unique(ballot @ 3 ** np.arange(k), return_counts=True)
+    model = quality_model.fit_labels(patterns, counts)
+    assert abs(model.prior - good.mean()) < 0.02 and np.abs(model.table - planted).max() < 0.04
+    assert ((model.posterior[ballot @ 3 ** np.arange(k)] > 0.5) == good).mean() > 0.95
+    never = ballot.copy()
+    never[:, 0][never[:, 0] == quality_model.GOOD] = quality_model.ABSTAIN  # a labeller that never votes good
+    patterns, counts = np.unique(never @ 3 ** np.arange(k), return_counts=True)
+    assert quality_model.fit_labels(patterns, counts).table[0, :, quality_model.GOOD].max() < 0.002
+
+
 def test_held_out_quality_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = pytest.importorskip("pandas") is not None and spark.read.parquet(f"{sf}/labels.parquet")
