@@ -5,13 +5,15 @@ revisit records. Only (page_id, digest) pairs are grouped, combined before the s
 that a third of the pages share costs no more than others. Each record is a gzip member of its own.
 
 Reader: Spark's binaryFile source hands whole archives (of bounded size) to tasks. Each member and
-record is checked: inflation and its CRC, version line, lengths, block digest. After a failed check
+record is checked: inflation and its CRC, version line, lengths, and the block digest where it is sha1,
+sha256 or md5, in hexadecimal or Base32 (another algorithm is taken on trust). After a failed check
 the reader searches on for the next valid member (or, in plain archives and inside a member, version
 line), goes on there, and logs the bytes between as a quarantined gap.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -131,6 +133,22 @@ def inflated(data: memoryview, at: int) -> tuple[bytes, int, bool]:
     return b"".join(out), pos, False
 
 
+def number(text: str | None) -> int | None:
+    """A header's 64-bit number; None for what isn't one."""
+    found = int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return found if found is not None and -(1 << 63) <= found < 1 << 63 else None
+
+
+def matches(digest: str, block: bytes) -> bool:
+    """Whether a labelled digest is the block's, or of an algorithm that isn't checked here."""
+    name, _, value = digest.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("sha1", "sha256", "md5"):
+        return True
+    raw, value = hashlib.new(name, block).digest(), value.strip()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
 def parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """(headers, block, end) of the record at `at`, or None if a check fails."""
     if data[at : at + len(VERSION)] != VERSION:
@@ -138,18 +156,26 @@ def parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         return None
-    head = {}
+    head: dict[str, str] = {}
+    last = ""
     for line in data[at:stop].split(b"\r\n")[1:]:
+        if line[:1] in (b" ", b"\t") and last:  # a folded header goes on
+            head[last] += " " + line.strip().decode("utf-8", "replace")
+            continue
         name, sep, value = line.partition(b":")
         if not sep:
             return None
-        head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not head.get("content-length", "").isdigit():
+        last = name.strip().lower().decode("latin-1")
+        head[last] = value.strip().decode("utf-8", "replace")
+    size = number(head.get("content-length"))
+    if size is None or size < 0:
         return None
     begin = stop + 4
-    end = begin + int(head["content-length"])
+    end = begin + size
+    if data[end : end + 4] != b"\r\n\r\n":
+        return None
     block = data[begin:end]
-    if data[end : end + 4] != b"\r\n\r\n" or head.get("warc-block-digest", "sha256:" + hashlib.sha256(block).hexdigest()) != "sha256:" + hashlib.sha256(block).hexdigest():
+    if "warc-block-digest" in head and not matches(head["warc-block-digest"], block):
         return None
     return head, block, end + 4
 
@@ -215,12 +241,13 @@ def salvaged(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byt
     yield from closed(len(data))
 
 
-def number(text: str | None) -> int | None:
-    return int(text) if text else None
-
-
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """A row per record (kind `record`) and per quarantined gap (kind `gap`) of all archives of a folder."""
+    """A row per record (kind `record`) and per quarantined gap (kind `gap`) of all archives of a folder.
+
+    Archives of other writers come too: what a record has no header for, or a header that isn't a number
+    where one belongs, is null; a record without a block digest is taken as it is. An archive is read by one
+    task, so it has to fit in its memory, inflated member by member.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
     schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("reason", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import hashlib
 import math
@@ -228,6 +229,7 @@ def test_quality_rules(spark, corpus):
         assert (r.n_words, r.n_repeat_words, r.n_dup_lines) == (len(w), len(inside), len(lines) - len(set(lines)))
         assert r.word_chars == sum(len(x.decode()) for x in w) and r.n_symbols == sum(c in "#*$%&|<>" for c in t or "")
         assert r.base_failed == (len(w) < 50 or 100 * len(inside) > 50 * len(w)) and not (r.kept and r.base_failed)
+    assert repetition.repetition_report(table(spark, rows).limit(0)).count() == repetition.quality_filter(table(spark, rows).limit(0)).count() == 0
     kept = {r.doc_id for r in repetition.quality_filter(table(spark, rows, extra=True)).collect()}
     assert kept == {d for d, r in got.items() if r.kept} and 301 in kept and 300 not in kept
 
@@ -298,6 +300,7 @@ def test_mixing(spark, corpus):
         words[r.doc_id] += len((r.text or "").encode().split())
         assert r.n_chars == len(r.text)
     assert {d: n for d, n in words.items() if n} == {r.doc_id: r.taken for r in got if r.taken}
+    assert mixing.mixing_report(table(spark, rows).limit(0)).count() == 0
     assert mixing.mix(table(spark, rows).limit(0)).count() == 0
 
 
@@ -464,6 +467,48 @@ def test_warc_plain_archive_with_gzip_body():
     assert warc_ids(plain.replace(b"WARC/1.1", b"WARK/1.1", 1)) == [1, 2, 3]
 
 
+def foreign(body, *headers):
+    head = [b"WARC/1.0", b"WARC-Type: response", *headers, b"Content-Length: %d" % len(body)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    sha1, sha256 = hashlib.sha1(body), hashlib.sha256(body)
+    kind = b"Content-Type: application/http"
+    good = [
+        foreign(body, kind, b"WARC-Block-Digest: sha1:" + base64.b32encode(sha1.digest())),
+        foreign(body, kind, b"WARC-Block-Digest: sha1:" + sha1.hexdigest().encode()),
+        foreign(body, kind, b"WARC-Block-Digest: SHA-256:" + sha256.hexdigest().upper().encode()),
+        foreign(body, kind, b"WARC-Block-Digest: blake3:abc", b"WARC-Target-URI: http://a/\r\n b"),
+        foreign(body, kind, b"X-Page-Id: 12x", b"X-Refers-To-Page-Id: \xc2\xb2"),
+        foreign(body, kind, b"X-Page-Id: 99999999999999999999"),
+    ]
+    bad = [
+        foreign(body, b"WARC-Block-Digest: sha1:" + base64.b32encode(b"x" * 20)),
+        good[0].replace(b"Content-Length: ", b"Content-Length: \xc2\xb2"),
+        good[0].replace(b"Content-Length: ", b"Content-Length: -"),
+    ]
+    (tmp_path / "plain.warc").write_bytes(b"".join([good[0], bad[0], good[1], bad[1], good[2], bad[2], *good[3:]]))
+    (tmp_path / "zipped.warc.gz").write_bytes(b"".join(map(warc.member, [good[0], bad[0], good[4]])))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert collections.Counter((r.path.rsplit("/")[-1], r.kind) for r in rows) == {("plain.warc", "record"): 6, ("plain.warc", "gap"): 3, ("zipped.warc.gz", "record"): 2, ("zipped.warc.gz", "gap"): 1}
+    assert all(bytes(r.payload) == b"hello" and r.page_id is None for r in rows if r.kind == "record")
+
+
+def test_warc_repeats_long_pages_and_no_pages(spark):
+    long = "é" * 3_000_000
+    pages = [(1, "u", long), (1, "u", long), (2, "u", long), (2, "u", long), (3, "v", "x" * 99), (4, "v", "x" * 99)]
+    folder = run_dir(spark, "warc")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), folder, roll_bytes=1000).collect()
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(spark, folder, payloads=False).collect())
+    assert got == [(1, "response", None, 6_000_000)] * 2 + [(2, "revisit", 1, 6_000_000)] * 2 + [(3, "response", None, 99), (4, "response", None, 99)]
+    folder = run_dir(spark, "warc")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder).collect()
+    assert warc.read_archives(spark, folder).count() == 0
+
+
 def test_context_tree(spark):
     texts = ["the cat sat on the mat", "The cat  sat on a mat 7", "", "xyz", "é ü the cat", "aaaaaaaa bbb aaaa"] * 3
     docs = [(i, t) for i, t in enumerate(texts)] + [(None, "the mat"), (40, None)]
@@ -630,3 +675,8 @@ def test_token_counts(spark, corpus):
     for d, t, _ in corpus:
         w = (t or "").encode().split()
         assert got[d] == (len(w), sum(brute(x) for x in w) if d != 98 else got[d][1])
+    path = public.path("piece_bpe_32k.model")
+    rows = [(None, "the cat", "s"), (1, "the " * 200_000, "s"), (1, "the cat", "s")]
+    again = sorted((r.doc_id or 0, r.n_pretokens) for r in token_counts.token_counts(table(spark, rows), path).collect())
+    assert again == [(0, 2), (1, 2), (1, 200_000)]
+    assert token_counts.token_counts(table(spark, rows).limit(0), path).count() == 0
