@@ -550,9 +550,10 @@ def company_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("company_id", F.col("debt").alias("total_debt"), (F.col("debt") - F.col("cash")).alias("net_debt"), "ebitda", ratio("debt", "ebitda").alias("leverage"), ratio("ebitda", "interest").alias("coverage"), F.coalesce(F.col("debt") > 4 * F.col("ebitda"), F.lit(False)).alias("is_leveraged"))
 
 
-QUERIES |= {f"qc_{rule.name}": quality.violations(rule) for rule in quality.RULES}
+QUERIES |= {f"qc_{rule.name}": quality.registered(rule) for rule in quality.RULES}
 ORACLE |= {f"qc_{rule.name}": quality.duck_sql(rule) for rule in quality.RULES}
 QUERIES["quality_report"] = quality.report
+ORACLE["quality_report"] = quality.report_sql()
 
 
 # ---- calls ---------------------------------------------------------------------------------------
@@ -680,9 +681,10 @@ def streamed(df: DataFrame, mode: str) -> DataFrame:
     """The last result of a stream over the files at hand, as a table in the shared folder."""
     spark = df.sparkSession
     out = run_dir(spark, "stream")
-    sink = lambda rows, _: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")
+    # a batch that runs again replaces its own folder, so no row comes twice
+    sink = lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/rows" if mode == "complete" else f"{out}/rows/batch={n}")
     df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return spark.read.parquet(f"{out}/rows").drop("batch")
 
 
 @query("""

@@ -1,14 +1,19 @@
-"""Data-quality rules: each is a query for its violations, in SQL that Spark and DuckDB both read."""
+"""Data-quality rules: each is a query for its violations, in SQL that Spark and DuckDB both read.
+
+The rules speak of domain views by name (see bindings); thresholds are parameters. `violations` runs a
+rule over any frames with those names and columns.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..bindings import AS_OF, both, duck
+from ..bindings import AS_OF, both, duck, over
 
 
 @dataclass(frozen=True)
@@ -19,97 +24,206 @@ class Rule:
     sql: str
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Thresholds: money in cents, rates in basis points, days. The defaults are those of quarterly filings of large companies."""
+
+    revenue: int = 10**14
+    ebitda: int = 10**8
+    debt: int = 10**11
+    rate_bps: int = 5000
+    fiscal_year: int = 2024
+    stale_days: int = 90
+    missing_amounts: int = 3
+    audit_missing_amounts: int = 5
+    quarters: int = 4
+    price: int = 300
+    yield_bps: int = 10_000
+    spread_bps: int = -100
+    confidence_pct: int = 70
+    coverage_pct: int = 70
+    linkage_pct: int = 80
+
+
+#: Thresholds for the small amounts and early dates of the test tables.
+SMALL = Limits(revenue=50_000_000, ebitda=1000, debt=100_000, rate_bps=1150, fiscal_year=1999, missing_amounts=1, audit_missing_amounts=1, quarters=24, confidence_pct=2)
+#: Companies whose figures are right although a rule says otherwise.
+BANKS = ("JPM", "BAC", "C", "WFC", "GS", "MS", "SCHW", "COF")
+DUAL_LISTED = ("ATUS", "CCL")
+#: What covenants and secured debt are called, and which instruments rest on a document.
+COVENANT_TYPES = ("financial", "negative", "incurrence", "protective")
+LEVERAGE_METRICS = ("leverage_ratio", "first_lien_leverage", "secured_leverage", "net_leverage_ratio")
+COVERAGE_METRICS = ("interest_coverage", "fixed_charge_coverage")
+SECURED = ("senior_secured", "first_lien", "second_lien")
+DOCUMENTED = ("senior_notes", "senior_secured_notes", "senior_unsecured_notes", "convertible_notes", "subordinated_notes", "debentures", "revolver", "term_loan_a", "term_loan_b", "term_loan")
+
+
 def missing(child: str, key: str, parent: str, parent_key: str, show: str = "id") -> str:
     return f"select c.{show} as id, c.{key} as missing_key from {child} c left join {parent} p on c.{key} = p.{parent_key} where c.{key} is not null and p.{parent_key} is null"
 
 
-LATEST = "(select company_id, max(fiscal_year * 4 + fiscal_quarter) as last_q from financials group by company_id)"
-
-RULES = [
-    # references
-    Rule("orphan_issuer", "critical", "integrity", missing("instruments", "issuer_id", "entities", "id")),
-    Rule("orphan_debt_guarantee", "critical", "integrity", missing("guarantees", "instrument_id", "instruments", "id", "guarantor_id")),
-    Rule("orphan_guarantor", "critical", "integrity", "select g.instrument_id as id, g.guarantor_id as missing_key from guarantees g left join companies p on g.guarantor_id + 1450 = p.id where p.id is null"),
-    Rule("orphan_parent", "critical", "integrity", missing("entities", "parent_id", "entities", "id")),
-    Rule("orphan_collateral", "critical", "integrity", missing("collateral", "instrument_id", "instruments", "id", "line")),
-    Rule("orphan_pricing", "critical", "integrity", "select distinct c.instrument_id as id, c.instrument_id as missing_key from prices c left join instruments p on c.instrument_id = p.id where p.id is null"),
-    Rule("orphan_covenant_company", "warning", "integrity", "select c.id, c.company_id as missing_key from covenants c left join companies p on c.company_id + 1430 = p.id where p.id is null"),
-    Rule("orphan_covenant_instrument", "warning", "integrity", missing("covenants", "instrument_id", "instruments", "id")),
-    Rule("company_no_entities", "error", "integrity", "select c.id, c.ticker from companies c left join entities e on e.company_id = c.id where e.id is null"),
-    Rule("company_no_root", "warning", "integrity", "select c.id, c.ticker from companies c where exists (select 1 from entities e where e.company_id = c.id) and not exists (select 1 from entities e where e.company_id = c.id and e.is_root)"),
-    Rule("cross_parent", "error", "integrity", "select e.id, e.company_id, p.company_id as parent_company_id from entities e join entities p on e.parent_id = p.id where e.company_id is not null and p.company_id is not null and e.company_id <> p.company_id"),
-    Rule("root_with_parent", "error", "integrity", "select e.id, e.parent_id from entities e where e.is_root and e.parent_id is not null"),
-    Rule("multiple_roots", "warning", "integrity", "select cast(entity_type as string) as id, cast(count(*) as bigint) as n_roots from entities where is_root group by entity_type having count(*) > 1"),
-    Rule("guarantor_flag_missing", "warning", "integrity", "select distinct e.id, e.name from guarantees g join entities e on e.company_id = g.guarantor_id and e.entity_type = 'subsidiary' where e.is_guarantor is distinct from true"),
-    Rule("unflagged_guarantor", "warning", "integrity", "select distinct e.id, e.name from entities e where e.is_guarantor and e.entity_type = 'subsidiary' and not exists (select 1 from guarantees g where g.guarantor_id = e.company_id)"),
-    # amounts
-    Rule("revenue_over_bound", "critical", "financial", "select company_id as id, fiscal_year, fiscal_quarter, revenue from financials where revenue > 50000000"),
-    Rule("ebitda_exceeds_revenue", "error", "financial", "select company_id as id, fiscal_year, fiscal_quarter, ebitda, revenue from financials where ebitda > revenue / 18 and revenue > 0 and ebitda > 0"),
-    Rule("debt_exceeds_10x_assets", "error", "financial", "select company_id as id, fiscal_year, fiscal_quarter, total_debt, cash from financials where total_debt > 10 * cash"),
-    Rule("negative_amounts", "critical", "financial", "select id, 'rate_bps' as field, cast(rate_bps - 100 as bigint) as amount from instruments where rate_bps < 100 union all select c_custkey, 'balance', cast(round(c_acctbal * 100) as bigint) from customer where c_acctbal < 0 union all select s_suppkey, 'supplier_balance', cast(round(s_acctbal * 100) as bigint) from supplier where s_acctbal < 0"),
-    Rule("ebitda_no_revenue", "error", "financial", "select f.company_id as id, f.fiscal_year, f.fiscal_quarter, f.ebitda from financials f where f.ebitda > 1000 and coalesce(nullif(f.revenue % 5, 0), 0) = 0"),
-    Rule("extreme_interest_rate", "error", "debt", "select id, rate_bps from instruments where rate_bps > 1150"),
-    Rule("maturity_before_issue", "critical", "debt", "select id, issue_date, maturity_date from instruments where maturity_date <= issue_date"),
-    Rule("future_issue_date", "error", "debt", f"select id, issue_date from instruments where issue_date > {AS_OF}"),
-    Rule("matured_still_active", "warning", "debt", f"select id, maturity_date from instruments where is_active and maturity_date < {AS_OF}"),
-    Rule("missing_maturity", "warning", "debt", "select id, instrument_type from instruments where maturity_date is null and instrument_type <> 'revolver'"),
-    Rule("floating_no_benchmark", "warning", "debt", "select id, rate_type from instruments where rate_type = 'floating' and rate_bps % 4 = 0"),
-    Rule("fixed_no_rate", "warning", "debt", "select id, rate_bps from instruments where rate_type = 'fixed' and coalesce(rate_bps, 0) = 0"),
-    Rule("missing_amounts", "warning", "debt", "select company_id as id, cast(count(*) as bigint) as n from instruments where outstanding is null and principal is null group by company_id having count(*) >= 1"),
-    Rule("duplicate_instruments", "error", "debt", "select company_id as id, instrument_type, seniority, cast(count(*) as bigint) as n from instruments group by company_id, instrument_type, seniority having count(*) > 2"),
-    Rule("secured_without_collateral", "warning", "debt", "select i.id, i.instrument_type from instruments i left join collateral c on c.instrument_id = i.id and c.value is not null and c.collateral_type = 'A' where i.instrument_type = 'senior_secured_notes' and c.line is null"),
-    Rule("debt_mismatch", "error", "financial", f"select d.company_id as id, d.debt, f.total_debt from (select company_id, cast(sum(coalesce(outstanding, principal, 0)) as bigint) as debt from instruments group by company_id) d join {LATEST} l on l.company_id = d.company_id join financials f on f.company_id = l.company_id and f.fiscal_year * 4 + f.fiscal_quarter = l.last_q where abs(d.debt - f.total_debt) > f.total_debt / 2 and abs(d.debt - f.total_debt) > 100000"),
-    Rule("stale_financials", "warning", "financial", f"select c.id, l.last_q from companies c left join {LATEST} l on l.company_id = c.id where l.last_q is null or l.last_q < 8000"),
-    Rule("few_quarters", "info", "financial", "select company_id as id, cast(count(*) as bigint) as n from financials group by company_id having count(*) < 24"),
-    Rule("leverage_recomputed", "warning", "financial", "select company_id as id, fiscal_year, cast(sum(total_debt) as bigint) as debt, cast(sum(ebitda) as bigint) as ebitda from financials group by company_id, fiscal_year having sum(total_debt) > 2 * sum(ebitda)"),
-    # structure
-    Rule("incomplete_hierarchy", "warning", "structure", "select parent_id as id, cast(count(*) as bigint) as n, cast(count(*) filter (where is_guarantor) as bigint) as n_guarantors from entities where parent_id is not null group by parent_id having count(*) > 5 and count(*) filter (where is_guarantor) * 2 < count(*)"),
-    # prices
-    Rule("price_impossible", "critical", "pricing", "select instrument_id as id, price_date, price_cents from prices where price_cents < 0 or price_cents > 200000"),
-    Rule("price_future_date", "critical", "pricing", f"select instrument_id as id, price_date from prices where price_date > {AS_OF}"),
-    Rule("extreme_yield", "error", "pricing", "select benchmark as id, yield_date, yield_bps from treasuries where yield_bps > 6000"),
-    Rule("negative_spread", "warning", "pricing", "select a.benchmark as id, a.yield_date, a.yield_bps - b.yield_bps as spread from treasuries a join treasuries b on a.yield_date = b.yield_date and b.benchmark = 'view' where a.yield_bps - b.yield_bps < -100"),
-    Rule("price_duplicate_date", "error", "pricing", "select l_partkey as id, cast(l_shipdate as date) as price_date, cast(count(*) as bigint) as n from lineitem group by l_partkey, cast(l_shipdate as date) having count(*) > 1"),
-    Rule("missing_pricing", "warning", "pricing", "select i.company_id as id, cast(count(*) as bigint) as n from instruments i left join (select distinct instrument_id from prices) p on p.instrument_id = i.id where p.instrument_id is null and i.is_active group by i.company_id"),
-    Rule("stale_pricing", "info", "pricing", f"select instrument_id as id, max(price_date) as last_date from prices group by instrument_id having max(price_date) < {AS_OF} + 200"),
-    # covenants
-    Rule("leverage_threshold_outlier", "error", "covenants", "select id, threshold from covenants where test_metric = 'leverage_ratio' and (threshold < 2 or threshold > 48)"),
-    Rule("coverage_threshold_outlier", "error", "covenants", "select id, threshold from covenants where test_metric = 'interest_coverage' and (threshold < 2 or threshold > 49)"),
-    Rule("invalid_covenant_type", "error", "covenants", "select id, covenant_type from covenants where covenant_type not in ('financial', 'negative')"),
-    Rule("financial_no_metric", "warning", "covenants", "select id, covenant_type from covenants where covenant_type = 'financial' and test_metric not ilike '%LEVERAGE%'"),
-    Rule("leverage_wrong_direction", "error", "covenants", "select id, threshold_type from covenants where test_metric = 'leverage_ratio' and threshold_type = 'minimum'"),
-    Rule("coverage_wrong_direction", "error", "covenants", "select id, threshold_type from covenants where test_metric = 'interest_coverage' and threshold_type = 'maximum'"),
-    Rule("duplicate_covenants", "warning", "covenants", "select company_id as id, covenant_type, test_metric, threshold, cast(count(*) - 1 as bigint) as extra from covenants group by company_id, covenant_type, test_metric, threshold having count(*) > 3"),
-    Rule("low_confidence_covenants", "info", "covenants", "select id, confidence_pct from covenants where confidence_pct < 2"),
-    Rule("no_financial_covenants", "warning", "covenants", "select instrument_id as id, cast(count(*) as bigint) as n from covenants where instrument_id is not null group by instrument_id having count(*) >= 3 and count(*) filter (where covenant_type = 'financial') = 0"),
-    Rule("low_instrument_linkage", "warning", "covenants", "select company_id as id, cast(count(*) as bigint) as n, cast(count(*) filter (where instrument_id is not null) as bigint) as linked from covenants group by company_id having count(*) filter (where instrument_id is not null) * 100 < 75 * count(*)"),
-    # formats and documents
-    Rule("cusip_format", "error", "identifiers", "select id, cusip from instruments where length(cusip) <> 9 or regexp_like(cusip, '^0000[0-9]*7$')"),
-    Rule("short_documents", "warning", "documents", "select doc_id as id, source from documents where length(text) < 200"),
-    Rule("mislabelled_documents", "info", "documents", "select doc_id as id, lang from documents where lang <> 'en' and (text ilike '%license%' or text ilike '%copyright%')"),
-    Rule("export_completeness", "warning", "export", "select c.nation_id as id, cast(count(*) as bigint) as n, cast(count(c.sector) as bigint) as with_sector from companies c group by c.nation_id having count(c.sector) * 100 < 95 * count(*)"),
-]
-
-
-def spark_sql(rule: Rule) -> str:
-    return rule.sql
+def without(child: str, key: str) -> str:
+    """Companies that a view knows nothing of."""
+    return f"select c.id, c.ticker from companies c left join (select distinct {key} as k from {child}) x on x.k = c.id where x.k is null"
+
+
+def one_of(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def rules(m: Limits = Limits(), today: str = AS_OF) -> list[Rule]:  # noqa: B008
+    period = "company_id as id, fiscal_year, fiscal_quarter"
+    latest = "(select company_id, max(fiscal_year * 4 + fiscal_quarter) as last_q from financials where total_debt > 0 group by company_id)"
+    debt_gap = (
+        "select d.company_id as id, d.debt, f.total_debt from (select company_id, cast(sum(coalesce(outstanding, principal, 0)) as bigint) as debt from instruments where is_active group by company_id) d "
+        f"join {latest} l on l.company_id = d.company_id join financials f on f.company_id = l.company_id and f.fiscal_year * 4 + f.fiscal_quarter = l.last_q "
+        "join companies c on c.id = d.company_id where abs(d.debt - f.total_debt) * 2 > f.total_debt"
+    )
+    earned = "(select company_id, cast(sum(ebitda) as bigint) as ttm, count(*) as n from financials where ebitda > 0 group by company_id)"
+    no_amount = "select company_id as id, cast(count(*) as bigint) as n from instruments where outstanding is null and principal is null and is_active group by company_id having count(*)"
+    matured = f"select id, maturity_date from instruments where is_active and maturity_date < {today}"
+    no_issuer = missing("instruments", "issuer_id", "entities", "id")
+    no_debt = missing("guarantees", "instrument_id", "instruments", "id", "guarantor_id")
+    same_debt = "select company_id as id, issuer_id, name, maturity_date, cusip, cast(count(*) as bigint) as n from instruments where is_active group by company_id, issuer_id, name, maturity_date, cusip having count(*) > 1"
+    revenue_bound = f"select {period}, revenue from financials where revenue > {m.revenue}"
+    above_revenue = f"select {period}, ebitda, revenue from financials where ebitda > revenue and revenue > 0 and ebitda > 0"
+    above_assets = f"select {period}, total_debt, total_assets from financials where total_debt > total_assets * 10 and total_assets > 0"
+    no_revenue = f"select {period}, f.ebitda from financials f join companies c on c.id = f.company_id where coalesce(f.revenue, 0) = 0 and f.ebitda > {m.ebitda}"
+    mismatch_note = "where abs(m.net_leverage_ratio - cast(m.net_debt as double) / e.ttm) > 2"
+    return [
+        # references
+        Rule("orphan_issuer", "critical", "integrity", no_issuer),
+        Rule("orphan_debt_guarantee", "critical", "integrity", no_debt),
+        Rule("orphan_guarantor", "critical", "integrity", missing("guarantees", "guarantor_entity", "entities", "id", "instrument_id")),
+        Rule("orphan_parent", "critical", "integrity", missing("entities", "parent_id", "entities", "id")),
+        Rule("orphan_collateral", "critical", "integrity", missing("collateral", "instrument_id", "instruments", "id", "line")),
+        Rule("orphan_pricing", "critical", "integrity", "select distinct c.instrument_id as id, c.instrument_id as missing_key from prices c left join instruments p on c.instrument_id = p.id where p.id is null"),
+        Rule("orphan_covenant_company", "warning", "integrity", missing("covenants", "company_id", "companies", "id")),
+        Rule("orphan_covenant_instrument", "warning", "integrity", missing("covenants", "instrument_id", "instruments", "id")),
+        Rule("company_no_entities", "error", "integrity", without("entities", "company_id")),
+        Rule("company_no_root", "warning", "integrity", "select c.id, c.ticker from companies c where exists (select 1 from entities e where e.company_id = c.id) and not exists (select 1 from entities e where e.company_id = c.id and e.is_root)"),
+        Rule("cross_parent", "error", "integrity", "select e.id, e.company_id, p.company_id as parent_company_id from entities e join entities p on e.parent_id = p.id where e.company_id is not null and p.company_id is not null and e.company_id <> p.company_id"),
+        Rule("root_with_parent", "error", "integrity", "select e.id, e.parent_id from entities e join entities p on p.id = e.parent_id where e.is_root"),
+        Rule("multiple_roots", "warning", "integrity", f"select e.company_id as id, cast(count(*) as bigint) as n_roots from entities e join companies c on c.id = e.company_id where e.is_root and c.ticker not in {one_of(DUAL_LISTED)} group by e.company_id having count(*) > 1"),
+        Rule("guarantor_flag_missing", "warning", "integrity", "select distinct e.id, e.name from guarantees g join entities e on e.id = g.guarantor_entity where coalesce(e.is_guarantor, false) = false"),
+        Rule("unflagged_guarantor", "warning", "integrity", "select e.id, e.name from entities e where e.is_guarantor and e.entity_type = 'subsidiary' and not exists (select 1 from guarantees g where g.guarantor_entity = e.id)"),
+        Rule("unrestricted_guarantor", "error", "integrity", "select g.instrument_id as id, e.id as guarantor from guarantees g join entities e on e.id = g.guarantor_entity where e.is_unrestricted"),
+        Rule("limited_no_amount", "warning", "integrity", "select instrument_id as id, guarantor_id from guarantees where guarantee_type = 'limited' and coalesce(limitation_amount, 0) = 0"),
+        Rule("ownership_over_100", "critical", "integrity", "select child_id as id, ownership_pct from ownership_links where ownership_pct > 100"),
+        # amounts
+        Rule("revenue_over_bound", "critical", "financial", revenue_bound),
+        Rule("ebitda_exceeds_revenue", "error", "financial", above_revenue),
+        Rule("debt_exceeds_10x_assets", "error", "financial", above_assets),
+        Rule("negative_amounts", "critical", "financial", " union all ".join(f"select {period}, '{f}' as field, {f} as amount from financials where {f} < 0" for f in ("revenue", "total_debt", "total_assets"))),
+        Rule("ebitda_no_revenue", "error", "financial", f"{no_revenue} and not c.is_financial"),
+        Rule("extreme_interest_rate", "error", "debt", f"select id, rate_bps from instruments where rate_bps > {m.rate_bps}"),
+        Rule("maturity_before_issue", "critical", "debt", "select id, issue_date, maturity_date from instruments where maturity_date < issue_date"),
+        Rule("future_issue_date", "error", "debt", f"select id, issue_date from instruments where issue_date > {today} and not coalesce(issue_date_estimated, false)"),
+        Rule("matured_still_active", "warning", "debt", matured),
+        Rule("missing_maturity", "warning", "debt", "select id, instrument_type from instruments where maturity_date is null and is_active and instrument_type not in ('revolver', 'revolving_credit')"),
+        Rule("floating_no_benchmark", "warning", "debt", "select id, rate_type from instruments where rate_type = 'floating' and coalesce(benchmark, '') = '' and is_active"),
+        Rule("fixed_no_rate", "warning", "debt", "select id, rate_bps from instruments where rate_type = 'fixed' and coalesce(rate_bps, 0) = 0 and is_active"),
+        Rule("missing_amounts", "warning", "debt", f"{no_amount} >= {m.missing_amounts}"),
+        Rule("duplicate_instruments", "error", "debt", same_debt),
+        Rule("secured_without_collateral", "warning", "debt", f"select i.id, i.seniority from instruments i left join (select distinct instrument_id from collateral) c on c.instrument_id = i.id where i.seniority in {one_of(SECURED)} and i.is_active and c.instrument_id is null"),
+        Rule("missing_document_link", "warning", "debt", f"select i.id, i.instrument_type from instruments i left join (select distinct instrument_id from document_links) d on d.instrument_id = i.id where i.is_active and d.instrument_id is null and i.instrument_type in {one_of(DOCUMENTED)}"),
+        Rule("low_document_coverage", "warning", "debt", f"select 'all' as id, cast(sum(case when d.instrument_id is not null then i.principal else 0 end) as bigint) as covered, cast(sum(i.principal) as bigint) as total from instruments i left join (select distinct instrument_id from document_links) d on d.instrument_id = i.id where i.is_active and i.principal is not null having sum(case when d.instrument_id is not null then i.principal else 0 end) * 100 < {m.coverage_pct} * sum(i.principal)"),
+        Rule("debt_mismatch", "error", "financial", f"{debt_gap} and f.total_debt > {m.debt} and c.ticker not in {one_of(BANKS)}"),
+        Rule("stale_financials", "warning", "financial", f"select c.id, max(f.fiscal_year) as last_year from companies c left join financials f on f.company_id = c.id group by c.id having max(f.fiscal_year) is null or max(f.fiscal_year) < {m.fiscal_year}"),
+        Rule("few_quarters", "info", "financial", f"select company_id as id, cast(count(*) as bigint) as n from financials group by company_id having count(*) < {m.quarters}"),
+        Rule("leverage_recomputed", "warning", "financial", f"select m.company_id as id, m.net_leverage_ratio, round(cast(m.net_debt as double) / e.ttm, 6) as recomputed from metrics m join {earned} e on e.company_id = m.company_id and e.n >= {m.quarters} {mismatch_note}"),
+        Rule("extreme_leverage", "error", "financial", f"select m.company_id as id, m.net_leverage_ratio, cast(e.n as bigint) as n from metrics m join {earned} e on e.company_id = m.company_id where m.net_leverage_ratio > 20 and e.n < {m.quarters}"),
+        # structure and snapshots
+        Rule("incomplete_hierarchy", "warning", "structure", "select company_id as id, cast(count(*) as bigint) as n, cast(count(*) filter (where parent_id is not null or is_root) as bigint) as placed from entities where company_id is not null group by company_id having count(*) > 5 and count(*) filter (where parent_id is not null or is_root) * 2 < count(*)"),
+        Rule("snapshot_missing_debt", "warning", "structure", "select company_id as id, debt_snapshot from snapshots where debt_snapshot is null or json_array_length(debt_snapshot) = 0"),
+        Rule("snapshot_missing_entities", "warning", "structure", "select company_id as id, entities_snapshot from snapshots where entities_snapshot is null or json_array_length(entities_snapshot) = 0"),
+        Rule("company_no_snapshots", "info", "structure", without("snapshots", "company_id")),
+        Rule("missing_metrics", "warning", "export", without("metrics", "company_id")),
+        # prices
+        Rule("price_impossible", "critical", "pricing", f"select instrument_id as id, price from quotes where price < 0 or price > {m.price}"),
+        Rule("price_future_date", "critical", "pricing", f"select instrument_id as id, price_date from prices where price_date > {today}"),
+        Rule("extreme_yield", "error", "pricing", f"select instrument_id as id, ytm_bps from quotes where ytm_bps > {m.yield_bps}"),
+        Rule("negative_spread", "warning", "pricing", f"select instrument_id as id, spread_bps from quotes where spread_bps < {m.spread_bps}"),
+        Rule("price_duplicate_date", "error", "pricing", "select instrument_id as id, price_date, cast(count(*) as bigint) as n from price_log group by instrument_id, price_date having count(*) > 1"),
+        Rule("missing_pricing", "warning", "pricing", "select i.company_id as id, cast(count(*) as bigint) as n from instruments i join quotes q on q.instrument_id = i.id left join (select distinct instrument_id from prices) p on p.instrument_id = i.id where p.instrument_id is null group by i.company_id"),
+        Rule("stale_pricing", "info", "pricing", f"select instrument_id as id, fetched from quotes where fetched < {today} - {m.stale_days}"),
+        # covenants
+        Rule("leverage_threshold_outlier", "error", "covenants", f"select id, threshold from covenants where test_metric in {one_of(LEVERAGE_METRICS)} and (threshold < 0.5 or threshold > 20)"),
+        Rule("coverage_threshold_outlier", "error", "covenants", f"select id, threshold from covenants where test_metric in {one_of(COVERAGE_METRICS)} and (threshold < 0.5 or threshold > 10)"),
+        Rule("put_price_outlier", "error", "covenants", "select id, put_price_pct from covenants where put_price_pct < 95 or put_price_pct > 115"),
+        Rule("invalid_covenant_type", "error", "covenants", f"select id, covenant_type from covenants where covenant_type not in {one_of(COVENANT_TYPES)}"),
+        Rule("invalid_threshold_type", "error", "covenants", "select id, threshold_type from covenants where threshold_type not in ('maximum', 'minimum')"),
+        Rule("financial_no_metric", "warning", "covenants", "select id, covenant_name from covenants where covenant_type = 'financial' and coalesce(test_metric, '') = '' and covenant_name not ilike '%covenant-lite%'"),
+        Rule("leverage_wrong_direction", "error", "covenants", f"select id, threshold_type from covenants where test_metric in {one_of(LEVERAGE_METRICS)} and threshold_type = 'minimum'"),
+        Rule("coverage_wrong_direction", "error", "covenants", f"select id, threshold_type from covenants where test_metric in {one_of(COVERAGE_METRICS)} and threshold_type = 'maximum'"),
+        Rule("duplicate_covenants", "warning", "covenants", "select company_id as id, covenant_name, instrument_id, cast(count(*) - 1 as bigint) as extra from covenants group by company_id, covenant_name, instrument_id having count(*) > 1"),
+        Rule("low_confidence_covenants", "info", "covenants", f"select id, confidence_pct from covenants where confidence_pct < {m.confidence_pct}"),
+        Rule("missing_source_document", "info", "covenants", "select company_id as id, cast(count(*) as bigint) as n from covenants where source_document_id is null group by company_id"),
+        Rule("no_financial_covenants", "warning", "covenants", "select company_id as id, cast(count(*) as bigint) as n from covenants group by company_id having count(*) >= 3 and count(*) filter (where covenant_type = 'financial') = 0"),
+        Rule("low_instrument_linkage", "warning", "covenants", f"select 'all' as id, cast(count(*) as bigint) as n, cast(count(*) filter (where instrument_id is not null) as bigint) as linked from covenants having count(*) filter (where instrument_id is not null) * 100 < {m.linkage_pct} * count(*)"),
+        # formats and documents
+        Rule("cusip_format", "error", "identifiers", "select id, cusip from instruments where is_active and cusip is not null and (length(cusip) <> 9 or not regexp_like(cusip, '^[A-Z0-9]+$'))"),
+        Rule("short_documents", "warning", "documents", "select doc_id as id, source from documents where length(text) < 200"),
+        Rule("mislabelled_documents", "info", "documents", "select doc_id as id, lang from documents where lang <> 'en' and (text ilike '%license%' or text ilike '%copyright%')"),
+        Rule("export_completeness", "warning", "export", "select id, ticker from companies where coalesce(sector, '') = ''"),
+        Rule("export_no_cusip", "info", "export", "select company_id as id, cast(count(*) as bigint) as n from instruments where is_active and coalesce(cusip, '') = '' group by company_id having count(*) >= 3"),
+        Rule("export_empty_financials", "warning", "export", f"select {period} from financials where revenue is null and ebitda is null and total_debt is null and total_assets is null"),
+        Rule("export_no_covenant_type", "warning", "export", "select id, covenant_name from covenants where coalesce(covenant_type, '') = ''"),
+        # the same faults as an audit of figures or of the whole book sees them
+        Rule("fin_revenue_scale", "critical", "audit", f"{revenue_bound} order by revenue desc, id, fiscal_year, fiscal_quarter"),
+        Rule("fin_ebitda_gt_revenue", "error", "audit", above_revenue.replace(" from", ", round(cast(ebitda as double) / revenue, 6) as ratio from") + " order by ratio desc, id, fiscal_year, fiscal_quarter"),
+        Rule("fin_debt_10x_assets", "error", "audit", above_assets.replace(" from", ", round(cast(total_debt as double) / total_assets, 6) as ratio from") + " order by ratio desc, id, fiscal_year, fiscal_quarter"),
+        Rule("fin_ebitda_no_revenue", "error", "audit", no_revenue),
+        Rule("audit_entity_count", "error", "audit", "select c.id, cast(count(e.id) as bigint) as n from companies c left join entities e on e.company_id = c.id group by c.id having count(e.id) = 0"),
+        Rule("audit_debt_without_issuer", "critical", "audit", f"select i.id, i.issuer_id from instruments i where i.issuer_id is null or not exists (select 1 from entities e where e.id = i.issuer_id)"),
+        Rule("audit_orphan_guarantees", "critical", "audit", "select g.instrument_id as id, g.guarantor_entity from guarantees g where not exists (select 1 from instruments i where i.id = g.instrument_id) or not exists (select 1 from entities e where e.id = g.guarantor_entity)"),
+        Rule("audit_matured", "warning", "audit", f"select company_id as id, cast(count(*) as bigint) as n from ({matured.replace('id,', 'company_id,', 1)}) x group by company_id"),
+        Rule("audit_duplicate_instruments", "error", "audit", "select company_id as id, name, cast(count(*) as bigint) as n from instruments where is_active group by company_id, name, rate_bps, maturity_date having count(*) > 1"),
+        Rule("audit_debt_mismatch", "error", "audit", debt_gap),
+        Rule("audit_missing_amounts", "warning", "audit", f"{no_amount} > {m.audit_missing_amounts}"),
+        Rule("audit_no_financials", "warning", "audit", without("financials", "company_id")),
+        Rule("audit_invalid_leverage", "warning", "audit", "select company_id as id, leverage_ratio, net_leverage_ratio, interest_coverage from metrics where leverage_ratio < 0 or leverage_ratio > 50 or net_leverage_ratio < -10 or interest_coverage < 0"),
+        Rule("audit_snapshot_age", "info", "audit", f"select company_id as id, max(created) as last_snapshot from snapshots group by company_id having max(created) < {today} - {m.stale_days}"),
+        Rule("audit_unpriced", "info", "audit", "select i.company_id as id, cast(count(*) as bigint) as n, cast(count(q.instrument_id) as bigint) as priced from instruments i left join quotes q on q.instrument_id = i.id where i.is_active and i.cusip is not null group by i.company_id having count(q.instrument_id) = 0"),
+    ]
+
+
+#: The rules as the catalog runs them on the test tables.
+RULES = rules(SMALL)
 
 
 def duck_sql(rule: Rule) -> str:
     return duck(rule.sql.replace("regexp_like(", "regexp_matches("))
 
 
-def violations(rule: Rule):  # noqa: ANN201
-    return lambda spark, sf_dir: both(spark, sf_dir, spark_sql(rule))
+def violations(spark: SparkSession, frames: Mapping[str, DataFrame], rule: Rule) -> DataFrame:
+    return over(spark, frames, rule.sql)
+
+
+def registered(rule: Rule) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: both(spark, sf_dir, rule.sql)
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per rule: severity, number of violations, up to five sample ids."""
-    parts = []
-    for rule in RULES:
-        found = both(spark, sf_dir, spark_sql(rule)).select(F.col("id").cast("string").alias("id"))
-        # each task keeps five ids: samples never gather a rule's violations
-        low = found.orderBy("id").limit(5).agg(F.sort_array(F.collect_list("id")).alias("samples"))
-        n = found.agg(F.count(F.lit(1)).alias("affected"))
-        parts.append(n.crossJoin(low).select(F.lit(rule.name).alias("rule"), F.lit(rule.severity).alias("severity"), F.lit(rule.category).alias("category"), "affected", "samples"))
-    return reduce(DataFrame.unionByName, parts)
+    """One row per rule: severity, number of violations, the five smallest ids among them.
+
+    Violations are counted by (rule, id) before they meet; both the sums and the samples read those counts.
+    """
+    found = [both(spark, sf_dir, rule.sql).select(F.lit(rule.name).alias("rule"), F.col("id").cast("string").alias("id")) for rule in RULES]
+    counts = reduce(DataFrame.unionByName, found).groupBy("rule", "id").agg(F.count(F.lit(1)).alias("n"))
+    affected = counts.groupBy("rule").agg(F.sum("n").alias("affected"))
+    first = counts.withColumn("nth", F.row_number().over(Window.partitionBy("rule").orderBy("id"))).where("nth <= 5")
+    samples = first.groupBy("rule").agg(F.array_join(F.sort_array(F.collect_list("id")), ", ").alias("samples"))
+    known = spark.createDataFrame([(r.name, r.severity, r.category) for r in RULES], "rule string, severity string, category string")
+    rows = known.join(affected, "rule", "left").join(samples, "rule", "left")
+    return rows.select("rule", "severity", "category", F.coalesce("affected", F.lit(0)).alias("affected"), F.coalesce("samples", F.lit("")).alias("samples"))
+
+
+def report_sql() -> str:
+    found = " union all ".join(f"select '{r.name}' as rule, cast(id as varchar) as id from ({r.sql.replace('regexp_like(', 'regexp_matches(')}) x" for r in RULES)
+    known = ", ".join(f"('{r.name}', '{r.severity}', '{r.category}')" for r in RULES)
+    return duck(f"""
+        select k.rule, k.severity, k.category, cast(coalesce(sum(c.n), 0) as bigint) as affected, coalesce(string_agg(c.id, ', ' order by c.id) filter (c.nth <= 5), '') as samples
+        from (values {known}) k(rule, severity, category) left join
+             (select rule, id, count(*) as n, row_number() over (partition by rule order by id) as nth from ({found}) group by rule, id) c on c.rule = k.rule
+        group by k.rule, k.severity, k.category""")
