@@ -22,7 +22,7 @@ from .common import written
 #: The characters stripped at both ends of a line.
 STRIP = " \t\n\x0b\x0c\r"
 #: Documents of a key that are sorted and streamed together.
-PART = 50_000
+PART = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
