@@ -40,7 +40,7 @@ def estimated_issue(maturity: Column, instrument_type: Column, name: Column) ->
 
 def staleness_days(traded: Column, as_of: Column) -> Column:
     """Days since the trade; 999 without one, never negative."""
-    return F.coalesce(F.greatest(F.datediff(as_of, traded), F.lit(0)), F.lit(999))
+    return F.when(traded.isNull(), 999).otherwise(F.greatest(F.datediff(as_of, traded), F.lit(0)))
 
 
 def staleness_label(days: Column) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words without meaning for a search.
@@ -41,13 +42,37 @@ def inverted_index(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return pos.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    """The distinct stems of a query's words."""
+    return spark.range(1).select(F.array_sort(F.array_distinct(terms(F.lit(query)))).alias("t")).first()["t"]
+
+
+def ranked(hits: DataFrame, n: int, key: str) -> DataFrame:
+    """(key, score) of rows (term, key, tf, first) for documents that hold all n terms, by term frequency and
+    the distance between the terms' first places."""
+    found = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.log1p("tf")).alias("tf"), F.min("first").alias("first"), F.max("first").alias("last"))
+    return found.where((F.col("n") == n) & (F.lit(n) > 0)).select(key, F.round(F.col("tf") / (1 + F.log1p(F.col("last") - F.col("first"))), 4).alias("score"))
+
+
 def search(index: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
-    """(key, score): documents that hold all terms, by term frequency and the shortest distance between terms."""
-    wanted = index.sparkSession.range(1).select(F.explode(F.array_distinct(terms(F.lit(query)))).alias("term"))
-    hits = index.join(F.broadcast(wanted), "term")  # the query's own words
-    n = wanted.count()
-    found = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.log1p("tf")).alias("tf"), F.min(F.element_at("positions", 1)).alias("first"), F.max(F.element_at("positions", 1)).alias("last"))
-    return found.where(F.col("n") == n).select(key, F.round(F.col("tf") / (1 + F.log1p(F.col("last") - F.col("first"))), 4).alias("score"))
+    """(key, score) from an inverted index; kept by term, only the lists of the query's terms are read."""
+    wanted = query_terms(index.sparkSession, query)
+    hits = index.where(F.col("term").isin(wanted)).select("term", key, "tf", F.element_at("positions", 1).alias("first"))
+    return ranked(hits, len(wanted), key)
+
+
+def search_texts(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same from the texts. Each row looks for its own hits and only those are stemmed: a stem but its last
+    letter begins each of its words, so other words, and texts that lack one, are out by a plain comparison."""
+    wanted = query_terms(docs.sparkSession, query)
+    begin = [w[:-1] or w for w in wanted]
+    some = docs.select(key, F.lower(text).alias("low"))
+    for b in begin:
+        some = some.where(F.contains("low", F.lit(b)))
+    like = lambda w: reduce(lambda x, y: x | y, [F.startswith(w, F.lit(b)) for b in begin], F.lit(False))
+    words = some.select(key, F.posexplode(F.filter(tokens(F.col("low")), lambda w: ~w.isin(*STOP_WORDS))).alias("pos", "word")).where(like(F.col("word")))
+    found = words.withColumn("term", stem(F.col("word"))).where(F.col("term").isin(wanted))
+    return ranked(found.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first")), len(wanted), key)
 
 
 def snippet(text: Column, query: Column, words: int = 50) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,29 +16,7 @@ from ..operators.screen import Screen, percent_to_bps
 from ..sources import readers
 from ..streaming import counters
 from . import api, quality
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its name; `sql` may name domain views."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = duck(sql)
-        return f
-
-    return register
-
-
-def same_sql(name: str, body: str, duck_body: str | None = None) -> None:
-    """A query that is best said in SQL; both engines run it."""
-    QUERIES[name] = lambda spark, sf_dir: both(spark, sf_dir, body)
-    ORACLE[name] = duck(duck_body or body)
-
+from .registry import ORACLE, QUERIES, query, same_sql
 
 # ---- screens -------------------------------------------------------------------------------------
 
@@ -439,10 +416,14 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- text and vectors ----------------------------------------------------------------------------
 
 
-@query()
+@query("""
+    with words as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w not in ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'were', 'will', 'with')) as ws from documents),
+    hits as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as nth from words),
+    terms as (select doc_id, case when w in ('license', 'licenses', 'licensed', 'licensing', 'licens') then 'licens' when w in ('version', 'versions', 'versioned', 'versioning') then 'version' end as term, nth from hits),
+    per as (select doc_id, term, count(*) as tf, min(nth) as first from terms where term is not null group by doc_id, term)
+    select doc_id, round(sum(ln(1 + tf)) / (1 + ln(1 + max(first) - min(first))), 4) as score from per group by doc_id having count(*) = 2 order by score desc, doc_id limit 100""")
 def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = text.inverted_index(table(spark, sf_dir, "documents"))
-    return text.search(index, "the license of version").orderBy(F.col("score").desc(), "doc_id").limit(100)
+    return text.search_texts(table(spark, sf_dir, "documents"), "the license of version").orderBy(F.col("score").desc(), "doc_id").limit(100)
 
 
 @query("""
@@ -735,3 +716,6 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.table_cells(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+from . import flows, scalars  # noqa: E402, F401  (they register their queries)
