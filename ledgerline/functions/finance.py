@@ -119,7 +119,7 @@ def rating_bucket(rating: Column) -> Column:
 
 def interpolated_spread(bonds: DataFrame, curve: DataFrame) -> DataFrame:
     """bonds (rating, years, ...) with spread_bps from curve (rating, tenor, spread): linear between the two
-    nearest tenors, flat beyond the ends, truncated. Segments are few per rating: an equality join."""
+    nearest tenors, flat beyond the ends, truncated; null without years or rating. Segments are few per rating: an equality join."""
     w = F.expr("lead(struct(tenor, spread)) over (partition by rating order by tenor)")
     first = F.expr("row_number() over (partition by rating order by tenor)")
     seg = curve.select("rating", F.col("tenor").alias("lo"), F.col("spread").alias("lo_spread"), w.alias("nxt"), first.alias("nth"))
@@ -127,5 +127,6 @@ def interpolated_spread(bonds: DataFrame, curve: DataFrame) -> DataFrame:
     inside = ((F.col("years") >= F.col("lo")) | (F.col("nth") == 1)) & ((F.col("years") < F.col("hi")) | F.col("hi").isNull())
     at = F.greatest(F.col("years"), F.col("lo"))
     line = F.col("lo_spread") + (F.col("hi_spread") - F.col("lo_spread")) * (at - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    joined = bonds.join(seg, "rating", "left").where(inside | F.col("lo").isNull())
-    return joined.withColumn("spread_bps", F.floor(F.coalesce(line, F.col("lo_spread"))).cast("int")).drop("lo", "lo_spread", "hi", "hi_spread", "nth")
+    unknown = F.col("years").isNull() & (F.col("nth") == 1)
+    joined = bonds.join(seg, "rating", "left").where(inside | F.col("lo").isNull() | unknown)
+    return joined.withColumn("spread_bps", F.when(F.col("years").isNotNull(), F.floor(F.coalesce(line, F.col("lo_spread"))).cast("int"))).drop("lo", "lo_spread", "hi", "hi_spread", "nth")

@@ -517,8 +517,8 @@ def maturity_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     t as (select company_id, sum(case when nth <= 4 and filing_type = '10-Q' then ebitda end) as e, count(case when nth <= 4 and filing_type = '10-Q' then ebitda end) as n,
                  max(case when nth = 1 then total_debt end) as debt, max(case when nth = 1 then cash end) as cash, sum(case when nth <= 4 then interest_expense end) as interest from q group by company_id),
     m as (select *, cast(floor(cast(e as double) * 4 / nullif(n, 0)) as bigint) as ebitda from t)
-    select company_id, cast(debt as bigint) as total_debt, cast(debt - cash as bigint) as net_debt, ebitda, round(least(cast(debt as double) / nullif(ebitda, 0), 999.99), 4) as leverage,
-           round(least(cast(ebitda as double) / nullif(interest, 0), 999.99), 4) as coverage, coalesce(debt > 4 * ebitda, false) as is_leveraged from m""")
+    select company_id, cast(debt as bigint) as total_debt, cast(debt - cash as bigint) as net_debt, ebitda, case when debt is not null and ebitda <> 0 then round(sign(cast(debt as double) / ebitda) * least(abs(cast(debt as double) / ebitda), 999.99), 4) end as leverage,
+           case when cast(ebitda as double) / nullif(interest, 0) <= 999.99 then round(sign(ebitda) * least(abs(cast(ebitda as double) / nullif(interest, 0)), 999.99), 4) end as coverage, coalesce(debt > 4 * ebitda, false) as is_leveraged from m""")
 def company_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "financials").where(f"period_end < {AS_OF}")
     last = ag.latest_n(rows, ["company_id"], [F.col("fiscal_year").desc(), F.col("fiscal_quarter").desc()], 4)
@@ -527,8 +527,8 @@ def company_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = last.groupBy("company_id").agg(F.sum(quarter).alias("e"), F.count(quarter).alias("k"), newest("total_debt").alias("debt"), newest("cash").alias("cash"), F.sum("interest_expense").alias("interest"))
     ebitda = F.floor(F.col("e").cast("double") * 4 / F.nullif("k", F.lit(0))).cast("long")
     sums = sums.withColumn("ebitda", ebitda)
-    ratio = lambda a, b: F.round(F.least(F.col(a).cast("double") / F.nullif(b, F.lit(0)), F.lit(999.99)), 4)
-    return sums.select("company_id", F.col("debt").alias("total_debt"), (F.col("debt") - F.col("cash")).alias("net_debt"), "ebitda", ratio("debt", "ebitda").alias("leverage"), ratio("ebitda", "interest").alias("coverage"), F.coalesce(F.col("debt") > 4 * F.col("ebitda"), F.lit(False)).alias("is_leveraged"))
+    ratio = lambda a, b: F.col(a).cast("double") / F.nullif(b, F.lit(0))
+    return sums.select("company_id", F.col("debt").alias("total_debt"), (F.col("debt") - F.col("cash")).alias("net_debt"), "ebitda", F.round(finance.capped(ratio("debt", "ebitda")), 4).alias("leverage"), F.when(ratio("ebitda", "interest") <= 999.99, F.round(finance.capped(ratio("ebitda", "interest")), 4)).alias("coverage"), F.coalesce(F.col("debt") > 4 * F.col("ebitda"), F.lit(False)).alias("is_leveraged"))
 
 
 QUERIES |= {f"qc_{rule.name}": quality.registered(rule) for rule in quality.RULES}
@@ -718,4 +718,4 @@ def page_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.table_cells(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-from . import flows, scalars  # noqa: E402, F401  (they register their queries)
+from . import analyses, flows, scalars  # noqa: E402, F401  (they register their queries)
