@@ -97,6 +97,15 @@ VIEWS = {
         select o_orderkey as instrument_id, DATE '1998-01-01' - cast(o_orderkey % 180 as int) as fetched, cast(o_orderkey * 13 % 400 as double) - 20 as price,
                cast(o_orderkey * 31 % 12000 as int) as ytm_bps, cast(o_orderkey % 700 as int) - 150 as spread_bps
         from {orders} where o_orderkey % 2 = 1""",
+    "papers": """
+        select o_orderkey as doc_id, o_custkey as company_id, case when o_orderkey % 3 = 0 then 'indenture' else 'credit_agreement' end as kind,
+               case when o_orderkey % 3 = 1 then case when o_orderkey % 2 = 0 then 'Amended and Restated Credit Agreement' else 'Revolving Loan Agreement' end
+                    when o_orderkey % 2 = 0 then concat(cast(cast(floor((o_orderkey * 37) % 1200 / 100.0) as int) as string), '.', lpad(cast((o_orderkey * 37) % 100 as string), 2, '0'), '% Senior Secured Notes due ', cast(year(cast(o_orderdate as date) + cast((o_orderkey * 53) % 3650 as int)) as string))
+                    else concat('Supplement for ', lower(o_orderpriority), ' ', cast(o_orderdate as date)) end as title,
+               case when o_orderkey % 3 = 1 then concat('a term loan b of $', cast(o_orderkey % 90 + 10 as string), ' million and a revolving facility')
+                    else concat('interest at ', cast(cast(floor((o_orderkey * 37) % 1200 / 100.0) as int) as string), '.', lpad(cast((o_orderkey * 37) % 100 as string), 2, '0'), ' % a year until 2003 or ', cast(year(cast(o_orderdate as date) + cast((o_orderkey * 53) % 3650 as int)) as string)) end as content,
+               cast(o_orderdate as date) + cast(o_orderkey % 50 as int) as filed
+        from {orders} where o_orderkey % 3 <> 2""",
     "price_log": "select l_partkey as instrument_id, cast(l_shipdate as date) as price_date from {lineitem}",
 }
 

@@ -718,4 +718,4 @@ def page_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.table_cells(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-from . import analyses, flows, scalars  # noqa: E402, F401  (they register their queries)
+from . import analyses, flows, links, scalars  # noqa: E402, F401  (they register their queries)
