@@ -65,7 +65,7 @@ def pieces_of(text: str) -> list[str]:
 class PieceEncoder:
     """The library's encoding of whole texts, piece by piece with the pieces seen before kept."""
 
-    def __init__(self, path: str, room: int = 600_000) -> None:
+    def __init__(self, path: str, room: int = 1_200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,18 +86,21 @@ class PieceEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
+    def recalled(self, pieces: set[str]) -> None:
+        """Move what the old generation knows of the pieces to the young one."""
+        if again := self.old.keys() & pieces:
+            self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+
+    def learn(self, new: set[str]) -> None:
         """Encode the pieces. Those behind spaces go many in one text: each begins at its only id with a space."""
-        known, old = self.known, self.old
-        if old:
-            known.update([(w, old[w]) for w in pieces if w in old])
-            pieces = [w for w in pieces if w not in old]
+        known = self.known
+        self.recalled(new)
+        new = new.difference(known)
         # behind a Latin letter a full stop or comma is a pre-token of its own
-        ended = [w for w in pieces if w[-1] in self.ends and len(w) > 2 and w[-2].isalpha() and w[-2] < "\u0250"]
+        ended = [w for w in new if w[-1] in self.ends and len(w) > 2 and w[-2].isalpha() and w[-2] < "\u0250"]
         stems = {w[:-1] for w in ended}
-        if old:
-            known.update([(w, old[w]) for w in stems if w in old])
-        pieces = list((set(pieces) - set(ended) | stems) - known.keys())
+        self.recalled(stems)
+        pieces = list((new.difference(ended) | stems).difference(known))
         plain = [w for w in pieces if w[0] not in HEADS]
         others = [w for w in pieces if w[0] in HEADS]
         known.update(zip(others, self.whole([w.removeprefix(HEAD) for w in others]), strict=True))
@@ -116,7 +119,7 @@ class PieceEncoder:
         for p in pieces:
             p[0] = HEAD + p[0]
         if new := set().union(*pieces).difference(self.known):
-            self.learn(list(new))
+            self.learn(new)
         given = self.known.__getitem__
         whole = [b"".join(map(given, p)) for p in pieces]
         return np.frombuffer(b"".join(whole), np.uint32), np.fromiter(map(len, whole), np.int64, len(whole)) // 4
@@ -177,7 +180,7 @@ def unpacked(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.nda
         yield [None if gone else d for d, gone in zip(numbers, nulls, strict=True)], lengths, ids.astype(np.uint32)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, room: int = 600_000, keep: bool = True, roll_bytes: int = 64 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, room: int = 1_200_000, keep: bool = True, roll_bytes: int = 64 << 20) -> DataFrame:
     """Write the files; a lazy manifest (file, docs, ids, bytes), whose evaluation writes them.
 
     A null text is empty: its document holds the end id alone. A null doc_id sorts first and stays
@@ -211,7 +214,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
-            for piece in slices(batch, limit=2 << 20):
+            for piece in slices(batch, limit=(4 if keep else 2) << 20):
                 coded = coder.encode(piece.column("text").to_pylist())
                 held.append((*with_ends(*coded, end_id), piece.column("doc_id").to_pylist()))
                 if sum(len(h[0]) for h in held) >= SEGMENT_IDS:
