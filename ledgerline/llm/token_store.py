@@ -40,6 +40,8 @@ OTHER_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u
 #: Marks the first piece of a text, which has no space before it; a line break marks itself.
 HEAD = "\0"
 HEADS = "\0\n"
+#: Marks at the end of a word; the apostrophe isn't one, since contractions are pre-tokens.
+MARKS = ".,;:!?$%&*#"
 
 
 def splits_at_spaces(text: str) -> bool:
@@ -77,7 +79,9 @@ class PieceEncoder:
         self.tokenizer.model = model
         size = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # begins with a space
-        self.ends = dict(zip(".,", self.whole([".", ","]), strict=True))
+        self.breaks = np.zeros(size, bool)
+        self.breaks[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
+        self.tails: dict[str, bytes] = {}
         # two generations: what is used moves to the young one, and the old one goes when that is full
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -96,25 +100,35 @@ class PieceEncoder:
         known = self.known
         self.recalled(new)
         new = new.difference(known)
-        # behind a Latin letter a full stop or comma is a pre-token of its own
-        ended = [w for w in new if w[-1] in self.ends and len(w) > 2 and w[-2].isalpha() and w[-2] < "\u0250"]
-        stems = {w[:-1] for w in ended}
+        # behind a Latin letter a run of marks is a pre-token of its own
+        stem_of = {w: stem for w in new if w[-1] in MARKS and len(stem := w.rstrip(MARKS)) > 1 and stem[-1].isalpha() and stem[-1] < "\u0250"}
+        stems = set(stem_of.values())
         self.recalled(stems)
-        pieces = list((new.difference(ended) | stems).difference(known))
-        plain = [w for w in pieces if w[0] not in HEADS]
-        others = [w for w in pieces if w[0] in HEADS]
-        known.update(zip(others, self.whole([w.removeprefix(HEAD) for w in others]), strict=True))
-        runs = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        for run, raw in zip(runs, self.whole([" " + " ".join(run) for run in runs]), strict=True):
-            at = (np.flatnonzero(self.opens[np.frombuffer(raw, np.uint32)]) * 4).tolist()
-            known.update([(w, raw[a:b]) for w, a, b in zip(run, at, [*at[1:], len(raw)], strict=True)])
-        for w in ended:
-            known[w] = known[w[:-1]] + self.ends[w[-1]]
+        pieces = list((new.difference(stem_of) | stems).difference(known))
+        self.together([w for w in pieces if w[0] not in HEADS], " ", self.opens)
+        self.together([w[1:] for w in pieces if w[0] == "\n"], "\n", self.breaks)
+        first = [w for w in pieces if w[0] == HEAD]
+        known.update(zip(first, self.whole([w[1:] for w in first]), strict=True))
+        tails = {w: w[len(stem) :] for w, stem in stem_of.items()}
+        if missing := list(set(tails.values()).difference(self.tails)):
+            self.tails.update(zip(missing, self.whole(missing), strict=True))
+        for w, stem in stem_of.items():
+            known[w] = known[stem] + self.tails[tails[w]]
+
+    def together(self, pieces: list[str], before: str, starts: np.ndarray) -> None:
+        """Encode pieces a thousand in a text, `before` in front of each: each begins at its only id in `starts`."""
+        name = before.strip(" ")
+        runs = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
+        for run, raw in zip(runs, self.whole([before + before.join(run) for run in runs]), strict=True):
+            at = (np.flatnonzero(starts[np.frombuffer(raw, np.uint32)]) * 4).tolist()
+            self.known.update([(name + w, raw[a:b]) for w, a, b in zip(run, at, [*at[1:], len(raw)], strict=True)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts on end, the number of each)."""
         if len(self.known) > self.room:
             self.known, self.old = {}, self.known
+        if len(self.tails) > self.room:
+            self.tails = {}
         pieces = [pieces_of(t) if self.splits and splits_at_spaces(t) and not any(s in t for s in self.special) else [t] for t in texts]
         for p in pieces:
             p[0] = HEAD + p[0]
