@@ -450,6 +450,16 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.fuzzy_join(parts, known, "p_name", "known_name", "p_partkey", 0.85).select("p_partkey", "p_name", "known_name", F.round("score", 4).alias("score"))
 
 
+@query()
+def fuzzy_names_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with a letter gone from the front, the middle or nowhere, against the names of the list."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    gone = F.element_at(F.array(F.lit(2), F.lit(6), F.lit(0)), (F.col("p_partkey") % 3 + 1).cast("int"))
+    changed = parts.withColumn("changed_name", F.when(gone > 0, F.concat(F.substring("p_name", F.lit(1), gone - 1), F.substring("p_name", gone + 1, F.length("p_name")))).otherwise(F.col("p_name")))
+    known = parts.select(F.col("p_name").alias("known_name")).distinct()
+    return matching.fuzzy_join(changed, known, "changed_name", "known_name", "p_partkey", 0.85).select("p_partkey", "changed_name", "known_name", F.round("score", 4).alias("score"))
+
+
 # ---- writes as queries ---------------------------------------------------------------------------
 
 
