@@ -106,6 +106,10 @@ VIEWS = {
                     else concat('interest at ', cast(cast(floor((o_orderkey * 37) % 1200 / 100.0) as int) as string), '.', lpad(cast((o_orderkey * 37) % 100 as string), 2, '0'), ' % a year until 2003 or ', cast(year(cast(o_orderdate as date) + cast((o_orderkey * 53) % 3650 as int)) as string)) end as content,
                cast(o_orderdate as date) + cast(o_orderkey % 50 as int) as filed
         from {orders} where o_orderkey % 3 <> 2""",
+    "marks": """
+        select o_orderkey as instrument_id, case when o_orderkey % 7 = 0 then null else cast(o_orderkey * 13 % 400 as double) - 20 end as last_price,
+               cast(o_orderkey * 31 % 1200 as int) as ytm_bps, cast(o_orderkey % 700 as int) - 150 as spread_bps, case when o_orderkey % 3 = 0 then 'estimate' else 'TRACE' end as source
+        from {orders} where o_orderkey % 2 = 1""",
     "price_log": "select l_partkey as instrument_id, cast(l_shipdate as date) as price_date from {lineitem}",
 }
 

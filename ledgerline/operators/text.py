@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words without meaning for a search.
@@ -75,6 +76,39 @@ def search_texts(docs: DataFrame, query: str, key: str = "doc_id", text: str = "
     return ranked(found.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first")), len(wanted), key)
 
 
+def cover_density(docs: DataFrame, query: str, key: str, weights: Mapping[str, float]) -> DataFrame:
+    """(key, score) of the documents that hold all terms of the query, in any of the weighted columns.
+
+    A cover is a shortest stretch with all terms. It counts the harmonic mean of its hits' weights, divided by one
+    more than the words in it that are no hits; the score is the sum over covers, to 4 places. Words are numbered
+    through the columns in the order given, words without meaning included. Null columns have no words."""
+    wanted = query_terms(docs.sparkSession, query)
+    if not wanted:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    like = lambda w: reduce(lambda x, y: x | y, [F.startswith(w, F.lit(t[:-1] or t)) for t in wanted])
+
+    def places(words: Column, behind: Column, weight: float) -> Column:
+        return F.transform(words, lambda w, i: F.struct((i + behind).alias("pos"), w.alias("word"), F.lit(1 / weight).alias("inverse")))
+
+    behind: Column = F.lit(0)
+    parts = []
+    for column, weight in weights.items():
+        words = F.coalesce(tokens(F.col(column)), F.array().cast("array<string>"))
+        parts.append(places(words, behind, weight))
+        behind = behind + F.size(words)
+    rows = docs.select(key, F.explode(F.filter(F.concat(*parts), lambda x: like(x["word"]) & ~x["word"].isin(*STOP_WORDS))).alias("hit")).select(key, "hit.*")
+    rows = rows.withColumn("term", stem(F.col("word"))).where(F.col("term").isin(wanted))
+    order = Window.partitionBy(key).orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("sum", F.sum("inverse").over(upto))
+    last = [F.last(F.when(F.col("term") == t, F.struct("pos", "nth", (F.col("sum") - F.col("inverse")).alias("before"))), ignorenulls=True).over(upto) for t in wanted]
+    rows = rows.withColumn("ends", F.array(*last)).where(~F.exists("ends", lambda x: x.isNull())).withColumn("start", F.array_min("ends"))
+    covers = rows.withColumn("earlier", F.lag("start.pos").over(order)).where(F.col("earlier").isNull() | (F.col("start.pos") > F.col("earlier")))
+    hits = F.col("nth") - F.col("start.nth") + 1
+    noise = F.col("pos") - F.col("start.pos") - (hits - 1)
+    return covers.groupBy(key).agg(F.round(F.sum(hits / (F.col("sum") - F.col("start.before")) / (1 + noise)), 4).alias("score"))
+
+
 def snippet(text: Column, query: Column, words: int = 50) -> Column:
     """`words` words around the first match, the matching ones in <b>."""
     all_words = F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -13,11 +13,11 @@ from dataclasses import dataclass
 from datetime import date, timedelta
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import coupon_bps
-from ..operators import aggregates, graph, joins
+from ..operators import aggregates, graph, joins, text
 from ..operators.screen import BadRequest, NotFound, Screen, comma_list, key_kind, percent_to_bps
 
 MOST_DAYS = 730
@@ -39,27 +39,105 @@ def bps(value: float | None) -> int | None:
     return None if value is None else percent_to_bps(value)
 
 
-def search_companies(book: Book, ticker: str | None = None, sector: str | None = None, min_debt: int | None = None, max_debt: int | None = None, has_floating: bool | None = None) -> Screen:
+def by_company(book: Book, rows: DataFrame, ticker: str | None, sector: str | None) -> DataFrame:
+    """Rows with a company_id of the companies with one of the tickers and a sector that holds the text; nothing is joined if neither is asked for."""
+    if ticker is None and sector is None:
+        return rows
+    wanted = Screen(book.companies, ("id",)).is_in("ticker", comma_list(ticker) or None).contains("sector", sector)
+    return rows.join(wanted.df.select(F.col("id").alias("company_id")), "company_id", "left_semi")
+
+
+def search_companies(
+    book: Book, ticker: str | None = None, sector: str | None = None, min_debt: int | None = None, max_debt: int | None = None, has_floating: bool | None = None,
+    metrics: DataFrame | None = None, industry: str | None = None, rating_bucket: str | None = None, min_leverage: float | None = None, max_leverage: float | None = None,
+    min_net_leverage: float | None = None, max_net_leverage: float | None = None, **flags: bool | None,
+) -> Screen:
+    """Companies with their debt. `metrics`, one row a company_id, adds its columns: those that a filter names must be
+    there. `flags` are its booleans, such as has_holdco_debt=False; a company without metrics passes no filter on them."""
     debt = book.instruments.groupBy(F.col("company_id").alias("id")).agg(
         F.sum("outstanding").alias("total_debt"), F.count(F.lit(1)).alias("n_bonds"), F.bool_or(F.col("rate_type") == "floating").alias("floating"), F.min("maturity_date").alias("next_maturity")
     )
-    screen = Screen(book.companies.join(debt, "id", "left"), ("id",))
+    rows = book.companies.join(debt, "id", "left")
+    if metrics is not None:
+        more = [c for c in metrics.columns if c not in (*rows.columns, "company_id")]
+        rows = rows.join(metrics.select(F.col("company_id").alias("id"), *more), "id", "left")
+    elif any(v is not None for v in (industry, rating_bucket, min_leverage, max_leverage, min_net_leverage, max_net_leverage, *flags.values())):
+        raise BadRequest("a filter on metrics needs metrics")
+    if unknown := sorted(set(flags) - set(rows.columns)):
+        raise BadRequest(f"unknown filters: {', '.join(unknown)}")
+    screen = Screen(rows, ("id",))
     screen = screen.is_in("ticker", comma_list(ticker, upper=False) or None).contains("sector", sector).between("total_debt", min_debt, max_debt)
+    screen = screen.contains("industry", industry).equals(rating_bucket=rating_bucket, **flags)
+    screen = screen.between("leverage_ratio", min_leverage, max_leverage).between("net_leverage_ratio", min_net_leverage, max_net_leverage)
     return screen.where(None if has_floating is None else F.coalesce("floating", F.lit(False)) == has_floating)
 
 
+#: What `search_bonds(...).sort(...)` calls the columns of a traded price.
+BOND_SORTS = {"maturity_date": "maturity_date", "coupon_rate": "rate_bps", "outstanding": "outstanding", "name": "name", "issuer_type": "issuer_type", "company_ticker": "ticker", "pricing.ytm": "ytm_bps", "pricing.spread": "spread_bps", "pricing.last_price": "last_price"}
+
+
 def search_bonds(
     book: Book, cusip: str | None = None, sector: str | None = None, seniority: str | None = None, instrument_type: str | None = None, rate_type: str | None = None,
     min_coupon: float | None = None, max_coupon: float | None = None, min_outstanding: int | None = None, maturity_after: date | None = None, maturity_before: date | None = None,
-    has_guarantors: bool | None = None, has_pricing: bool | None = None, active: bool | None = True,
+    has_guarantors: bool | None = None, has_pricing: bool | None = None, active: bool | None = True, ticker: str | None = None, security_type: str | None = None, issuer_type: str | None = None,
+    currency: str | None = None, max_outstanding: int | None = None, has_cusip: bool | None = None, marks: DataFrame | None = None,
+    min_ytm: float | None = None, max_ytm: float | None = None, min_spread: int | None = None, max_spread: int | None = None,
 ) -> Screen:
-    """Debt with its company. Filters that are False count, unlike None. The price join is made only if asked for."""
+    """Debt with its company. Filters that are False count, unlike None. The price join is made only if asked for.
+
+    `marks` (instrument_id, last_price, ytm_bps, spread_bps, source), one row an instrument, adds these columns; with it,
+    `has_pricing` asks for a price from trades (see `traded`), without it for any row in the book's prices. Filters on
+    yield and spread look at all marks. `issuer_type` joins the issuers."""
     companies = book.companies.select(F.col("id").alias("company_id"), "ticker", "sector")
-    screen = Screen(book.instruments.join(companies, "company_id"), ("id",))
+    rows = book.instruments.join(companies, "company_id")
+    if issuer_type is not None:
+        rows = rows.join(book.entities.select(F.col("id").alias("issuer_id"), F.col("entity_type").alias("issuer_type")), "issuer_id")
+    if marks is not None:
+        rows = rows.join(marks.select(F.col("instrument_id").alias("id"), "last_price", "ytm_bps", "spread_bps", "source"), "id", "left")
+    elif any(v is not None for v in (min_ytm, max_ytm, min_spread, max_spread)):
+        raise BadRequest("a filter on yield or spread needs marks")
+    screen = Screen(rows, ("id",))
     screen = screen.is_in("cusip", comma_list(cusip, upper=True) or None).contains("sector", sector).is_in("seniority", comma_list(seniority) or None)
-    screen = screen.equals(instrument_type=instrument_type, rate_type=rate_type, is_active=active).between("rate_bps", bps(min_coupon), bps(max_coupon))
-    screen = screen.between("outstanding", min_outstanding).between("maturity_date", maturity_after, maturity_before)
-    return screen.having(book.guarantees, "id", "instrument_id", has_guarantors).having(book.prices, "id", "instrument_id", has_pricing)
+    screen = screen.is_in("ticker", comma_list(ticker) or None).present("cusip", has_cusip)
+    screen = screen.equals(instrument_type=instrument_type, rate_type=rate_type, is_active=active, security_type=security_type, issuer_type=issuer_type, currency=currency and currency.upper())
+    screen = screen.between("rate_bps", bps(min_coupon), bps(max_coupon))
+    screen = screen.between("outstanding", min_outstanding, max_outstanding).between("maturity_date", maturity_after, maturity_before)
+    screen = screen.between("ytm_bps", bps(min_ytm), bps(max_ytm)).between("spread_bps", min_spread, max_spread)
+    screen = screen.having(book.guarantees, "id", "instrument_id", has_guarantors)
+    if marks is None:
+        return screen.having(book.prices, "id", "instrument_id", has_pricing)
+    if has_pricing is None:
+        return screen
+    return screen.where(traded() if has_pricing else F.col("last_price").isNull())
+
+
+def traded(source: str = "TRACE") -> Column:
+    """There is a price and it comes from trades."""
+    return F.col("last_price").isNotNull() & (F.col("source") == source)
+
+
+def with_pricing(page: DataFrame) -> DataFrame:
+    """A page with `pricing`, a struct that is null unless the price comes from trades; a yield of 0 counts as missing."""
+    shown = F.struct(F.col("last_price").alias("last_price"), F.when(F.col("ytm_bps") != 0, F.col("ytm_bps") / 100).alias("ytm"), F.col("spread_bps").alias("spread"))
+    return page.withColumn("pricing", F.when(traded(), shown)).drop("last_price", "ytm_bps", "spread_bps", "source")
+
+
+def search_documents(
+    book: Book, sections: DataFrame, q: str, ticker: str | None = None, doc_type: str | None = None, section_type: str | None = None, filed_after: date | None = None, filed_before: date | None = None,
+    sort: str = "-relevance", types: tuple[str, ...] = (), limit: int = 50, offset: int = 0,
+) -> DataFrame:
+    """A page of the sections (doc_id, company_id, doc_type, section_type, title, content, filed) that hold all words of
+    `q`, with relevance and snippet. `sort` is -relevance, filed or -filed; any other is -relevance; ties by doc_id.
+    `types` are the section types that may be asked for (none: all). Filters come before the search, snippets after the page."""
+    if len(q.strip()) < 2:
+        raise BadRequest("q has at least 2 letters")
+    kinds = comma_list(section_type)
+    if types and (unknown := sorted(set(kinds) - set(types))):
+        raise BadRequest(f"unknown section types: {', '.join(unknown)}")
+    some = Screen(by_company(book, sections, ticker, None), ("doc_id",)).is_in("doc_type", comma_list(doc_type) or None).is_in("section_type", kinds or None).between("filed", filed_after, filed_before)
+    hits = some.df.join(text.cover_density(some.df, q, "doc_id", {"title": 1.0, "content": 0.4}).withColumnRenamed("score", "relevance"), "doc_id")
+    by = sort if sort in ("filed", "-filed") else "-relevance"
+    return Screen(hits, ("doc_id",)).sort(by).page(limit, offset).withColumn("snippet", text.snippet(F.col("content"), F.lit(q)))
 
 
 def with_guarantors(book: Book, page: DataFrame) -> DataFrame:
@@ -98,10 +176,13 @@ def traverse(book: Book, start: str, depth: int = 3, direction: str = "down", gu
     return found.join(book.entities.select("id", "name", "entity_type"), "id").join(debt, "id", "left")
 
 
-def search_financials(book: Book, company: int | None = None, year: int | None = None, period: str | None = None, min_revenue: int | None = None) -> Screen:
+def search_financials(
+    book: Book, company: int | None = None, year: int | None = None, period: str | None = None, min_revenue: int | None = None, ticker: str | None = None, sector: str | None = None,
+    quarter: int | None = None, filing_type: str | None = None, period_after: date | None = None, period_before: date | None = None, min_ebitda: int | None = None, min_cash: int | None = None,
+) -> Screen:
     """`period`: `latest` (ties stay), `TTM` (the four newest rows), `LTM` (the newest alone if it is a 10-K,
     which is annual, else as `TTM`), or like `1997Q2`."""
-    rows = book.financials
+    rows = by_company(book, book.financials, ticker, sector)
     if period and (m := re.fullmatch(r"(\d{4})Q([1-4])", period)):
         rows = rows.where((F.col("fiscal_year") == int(m[1])) & (F.col("fiscal_quarter") == int(m[2])))
     elif period == "latest":
@@ -116,7 +197,8 @@ def search_financials(book: Book, company: int | None = None, year: int | None =
         )
     elif period:
         raise BadRequest("period is latest, TTM, LTM or like 1997Q2")
-    return Screen(rows, ("company_id", "period_end")).equals(company_id=company, fiscal_year=year).between("revenue", min_revenue)
+    screen = Screen(rows, ("company_id", "period_end")).equals(company_id=company, fiscal_year=year, fiscal_quarter=quarter, filing_type=filing_type)
+    return screen.between("period_end", period_after, period_before).between("revenue", min_revenue).between("ebitda", min_ebitda).between("cash", min_cash)
 
 
 def search_collateral(book: Book, instrument: int | None = None, kind: str | None = None, has_valuation: bool | None = None, min_value: int | None = None) -> Screen:
