@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import extraction, text
+from ..functions.names import coupon_bps as coupon_of
+from ..functions.names import maturity_year
+from . import extraction, matching, text
 
 #: Instrument types that are loans, and those that capacity instead of debt may be stated for.
 LOANS = ("revolver", "term_loan_a", "term_loan_b", "term_loan", "abl", "credit_facility")
@@ -16,6 +18,19 @@ CAPACITY = ("revolver", "abl")
 #: Words of a name that say nothing about which instrument it is.
 PLAIN_WORDS = ("the", "and", "or", "of", "to", "for", "in", "a", "an")
 LINKED, SURE = 0.50, 0.70
+#: Instruments that no public document stands behind, by type or by what the name says, in order.
+NO_DOCUMENT = (
+    ("commercial_paper", ("commercial_paper", "commercial_paper_program"), (r"commercial\s*paper", r"\bcp\b\s*program")),
+    ("bilateral_facility", (), ("bilateral", "uncommitted", r"bank\s*credit\s*facilit", r"bank\s*borrowing", r"other\s*bank", r"short.?term\s*loan\s*agreement", r"working\s*capital\s*facilit")),
+    ("intercompany", (), ("intercompany", r"related\s*party", "affiliate")),
+    ("foreign_local_facility", ("credit_line", "line_of_credit"), (r"local\s*(credit|facilit|line)", r"foreign\s*(credit|facilit|line)", r"non.?u\.?s\.?\s*(credit|facilit|borrowing)", r"international\s*(credit|facilit)", "yen.?denominated", "euro.?denominated", r"EUR\s*(fixed|floating)", r"GBP\s*(fixed|floating)")),
+    ("securitization", ("receivables_facility", "abs", "asset_backed"), ("securitization", r"receivable.?\s*facilit", r"receivable.?\s*funding", "asset.?backed", r"floor\s*plan", "conduit")),
+    ("finance_lease", ("finance_lease", "capital_lease"), (r"finance\s*lease", r"capital\s*lease", r"lease\s*obligation", "sale.?leaseback", r"equipment\s*obligation")),
+    ("government_financing", (), (r"export\s*(credit|finance)", r"government\s*(loan|guarantee)", r"payroll\s*support", "FHLB", r"federal\s*home\s*loan")),
+    ("project_finance", (), ("nonrecourse", "non.?recourse", r"project\s*financ", r"wind\s*(farm|project)", r"solar\s*(farm|project)")),
+    ("letters_of_credit", (), ("^letter.?of.?credit", r"^l/?c\s*facilit", r"standby\s*letter")),
+    ("aggregated_other", ("other",), (r"^other\s*(long.?term|short.?term)?\s*(debt|borrowing|financ|note)", r"^other\s*revolv", "^miscellaneous", r"various\s*(maturit|rate)")),
+)
 
 
 def has(condition: Column) -> Column:
@@ -67,6 +82,83 @@ def single_agreement_links(instruments: DataFrame, papers: DataFrame, links: Dat
     return loans.join(only, "company_id").select(F.col("id").alias("instrument_id"), "doc_id", F.lit(0.85).alias("confidence"))
 
 
+def unlinked(instruments: DataFrame, links: DataFrame) -> DataFrame:
+    """Active instruments that no document is linked to."""
+    return instruments.where("is_active").join(links.select(F.col("instrument_id").alias("id")).where("id is not null"), "id", "left_anti")
+
+
+def no_document(kind: Column, name: Column) -> Column:
+    """Why no public document is to be expected, or null: the first entry of NO_DOCUMENT with the type or a pattern."""
+    kind, name = F.lower(F.coalesce(kind, F.lit(""))), F.coalesce(name, F.lit(""))
+    return F.coalesce(*[F.when(kind.isin(*types) | name.rlike("(?i)" + "|".join(patterns)), F.lit(reason)) for reason, types, patterns in NO_DOCUMENT])
+
+
+def indenture_rank(title: Column, content: Column) -> Column:
+    """2 for a base indenture, 1 for any other, null for all else, officers' certificates among it."""
+    t, c = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(content, F.lit("")))
+    head = F.substring(c, 1, 2000)
+    officer = t.rlike("officer|pricing|certificate") | head.rlike("action of authorized pricing officers|officer certificate")
+    base = ~t.contains("supplemental") & (head.rlike("unlimited as to aggregate principal|base indenture|original indenture|may from time to time") | (F.length(c) > 20000))
+    return F.when(~officer & t.contains("indenture"), F.when(base, 2).otherwise(1))
+
+
+def base_indenture_links(instruments: DataFrame, papers: DataFrame, links: DataFrame) -> DataFrame:
+    """(instrument_id, doc_id, confidence): a company's newest base indenture, else its newest other one, for each of its
+    active notes without a document of which one is to be expected. Of indentures filed on one day the smaller doc_id counts."""
+    w = Window.partitionBy("company_id").orderBy(F.col("rank").desc(), F.col("filed").desc_nulls_last(), "doc_id")
+    ranked = papers.where("kind = 'indenture'").withColumn("rank", indenture_rank(F.col("title"), F.col("content"))).where("rank is not null")
+    best = ranked.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("company_id", "doc_id", F.when(F.col("rank") == 2, 0.60).otherwise(0.55).alias("confidence"))
+    notes = unlinked(instruments, links).where("instrument_type is null or instrument_type rlike 'note|bond|debenture'").where(no_document(F.col("instrument_type"), F.col("name")).isNull())
+    return notes.join(best, "company_id").select(F.col("id").alias("instrument_id"), "doc_id", "confidence")
+
+
+def footnote_hit(content: Column, coupon_bps: Column, year: Column) -> Column:
+    """The coupon stands in the text with the year and a word for notes, both within 50 letters before it or 200 behind."""
+    coupon = F.replace(F.regexp_replace(F.format_string("%.2f", coupon_bps / 100), r"\.?0+$", ""), F.lit("."), F.lit("\\."))
+    y = F.concat(F.lit("\\b"), year.cast("string"), F.lit("\\b"))
+    rate = F.concat(coupon, F.lit("\\s*%"))
+
+    def around(word: Column, size: int) -> Column:
+        return F.concat(F.lit("(?:(?<="), word, F.lit(f".{{0,{50 - size}}})|(?="), rate, F.lit(f".{{0,{200 - size}}}"), word, F.lit("))"))
+
+    return F.regexp_like(content, F.concat(F.lit("(?is)"), around(y, 4), around(F.lit("\\b(?:due|notes?|senior|bonds?)\\b"), 3), rate)) & (F.length(content) >= 100) & (coupon_bps != 0)
+
+
+def footnote_links(instruments: DataFrame, notes: DataFrame, most: int = 3) -> DataFrame:
+    """(instrument_id, doc_id, confidence): up to `most` footnotes (company_id, doc_id, content) that tell of each
+    instrument, by doc_id. Coupon and year come from the name where the columns lack them; both are needed."""
+    coupon = F.coalesce(F.nullif("rate_bps", F.lit(0)), coupon_of(F.col("name")))
+    known = instruments.select("company_id", F.col("id").alias("instrument_id"), coupon.alias("coupon"), F.coalesce(F.year("maturity_date"), maturity_year(F.col("name"))).alias("year"))
+    pairs = known.where("coupon is not null and year is not null").join(notes.select("company_id", "doc_id", "content"), "company_id")
+    hits = pairs.where(has(footnote_hit(F.col("content"), F.col("coupon"), F.col("year"))))
+    w = Window.partitionBy("instrument_id").orderBy("doc_id")
+    return hits.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).select("instrument_id", "doc_id", F.lit(0.65).alias("confidence"))
+
+
+def plain_score(kind: Column, name: Column, doc_kind: Column, content: Column, head: int = 5000, name_head: int = 2000) -> Column:
+    """Rate and year of the name in the document's first `head` letters, its type, and the ratio of the name to the first
+    `name_head`. Types are compared as written, so `term loan` needs the blank. The ratio is worked out only where lengths allow 0.3."""
+    low = F.lower(F.substring(content, 1, head))
+    rate, year = F.regexp_extract(name, r"(\d+\.?\d*)\s*%", 1), F.regexp_extract(name, r"(?i)(?:due|maturing?)\s*(\d{4})", 1)
+    kind = F.coalesce(kind, F.lit(""))
+    tidy = F.trim(F.translate(F.lower(name), "-,.", " "))
+    start = F.substring(low, 1, name_head)
+    possible = (F.length(tidy) > 10) & (2 * F.least(F.length(tidy), F.length(start)) > 0.3 * (F.length(tidy) + F.length(start)))
+    ratio = matching.sequence_ratio(F.when(possible, tidy), F.when(possible, start))
+    return (
+        points((rate != "") & F.contains(low, rate), 0.4) + points((year != "") & F.contains(low, year), 0.3)
+        + points(kind.contains("term loan") & low.contains("term loan"), 0.3) + points(kind.contains("revolver") & low.contains("revolv"), 0.3)
+        + points(F.lower(kind).contains("notes") & (doc_kind == "indenture"), 0.2) + F.when(has(ratio > 0.3), ratio * 0.3).otherwise(0.0)
+    )
+
+
+def plain_links(instruments: DataFrame, papers: DataFrame, links: DataFrame) -> DataFrame:
+    """The best document of `plain_score` for each active instrument without one, 0.5 at least."""
+    pairs = unlinked(instruments, links).select("company_id", F.col("id").alias("instrument_id"), "instrument_type", "name").join(papers.where("kind in ('indenture', 'credit_agreement')").select("company_id", "doc_id", "kind", "content"), "company_id")
+    score = plain_score(*[F.col(c) for c in ("instrument_type", "name", "kind", "content")])
+    return best_documents(pairs.select("instrument_id", "doc_id", F.round(score, 6).alias("score")))
+
+
 def covenant_targets(covenants: DataFrame, instruments: DataFrame) -> DataFrame:
     """(id, instrument_id) for covenants without an instrument: a tested financial one goes to the company's first
     loan, a change of control to its first bond, any other to its first loan; else to the other class."""
