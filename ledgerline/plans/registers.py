@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..bindings import table, view
-from ..operators import linking, ownership
+from ..operators import documents, linking, ownership
+from .catalog import book
 from .registry import query
 from .scalars import pick
 
@@ -83,3 +84,27 @@ def parents_without_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "entities").withColumn("json", k % 3).withColumns({"attributes": attributes, "tier": F.lit(3), "is_borrower": F.lit(False)})
     links = rows.select(F.col("id").alias("child_id"), F.when(k % 5 == 1, '{"source": "filing"}').otherwise('{"source": "exhibit_21"}').alias("attributes"))
     return ownership.unsupported_parents(rows, links)
+
+
+@query("""
+    with g as (select instrument_id, count(*) as n, min(e.name) as first from (select distinct instrument_id, guarantor_entity from guarantees) x join entities e on e.id = x.guarantor_entity group by instrument_id),
+    d as (select company_id, cast(sum(outstanding) as bigint) as total, cast(count(*) as bigint) as n, min(maturity_date) as nearest, min(i.id) as first_id, max(i.id) as last_id, cast(arg_min(coalesce(g.n, 0), i.id) as bigint) as givers, cast(sum(coalesce(outstanding, 0)) filter (where seniority = '1-URGENT') as bigint) as urgent
+          from instruments i left join g on g.instrument_id = i.id where i.is_active group by company_id)
+    select c.id as company_id, c.ticker, coalesce(d.total, 0) as total_debt, coalesce(d.n, 0) as n, strftime(d.nearest, '%Y-%m-%d') as nearest, d.first_id, d.last_id, d.givers, case when d.givers > 0 then f.first end as giver, d.urgent
+    from companies c left join d on d.company_id = c.id left join g f on f.instrument_id = d.first_id""")
+def company_debt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = book(spark, sf_dir)
+    d = documents.debt_documents(b.companies, b.instruments, b.entities, b.guarantees)
+    at = lambda path: F.get_json_object("document", path)
+    number = {"total_debt": "$.summary.total_debt", "n": "$.summary.instrument_count", "first_id": "$.instruments[0].id", "givers": "$.instruments[0].guarantor_count", "urgent": "$.summary.debt_by_seniority.1-URGENT"}
+    ids = F.from_json(at("$.instruments"), "array<struct<id: bigint>>").getField("id")
+    return d.select("company_id", at("$.company.ticker").alias("ticker"), *[at(p).cast("long").alias(n) for n, p in number.items()], F.try_element_at(ids, F.lit(-1)).alias("last_id"), at("$.summary.nearest_maturity").alias("nearest"), at("$.instruments[0].guarantors[0]").alias("giver"))
+
+
+@query("""
+    with recursive n as (select id, parent_id, name from entities), roots as (select id from n where parent_id is null)
+    select r.id, cast(1 + (select count(*) from n a where a.parent_id = r.id) + (select count(*) from n a join n b on b.parent_id = a.id where a.parent_id = r.id)
+        + (select count(*) from n a join n b on b.parent_id = a.id join n c on c.parent_id = b.id where a.parent_id = r.id) as bigint) as n_nodes, (select min(a.id) from n a where a.parent_id = r.id) as first_child from roots r""")
+def entity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents.tree_documents(view(spark, sf_dir, "entities"), ["id", "name", "entity_type"], 3)
+    return d.select("id", F.size(F.regexp_extract_all("document", F.lit('("children":)'), F.lit(1))).cast("long").alias("n_nodes"), F.get_json_object("document", "$.children[0].id").alias("first_child"))

@@ -1,10 +1,11 @@
 """Scores of register entries and fallback links on planted rows."""
 
+import json
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import linking, ownership
+from ledgerline.operators import documents, linking, ownership
 
 
 def test_places(spark):
@@ -63,3 +64,17 @@ def test_fallback_links(spark):
     ranks = [("Base Indenture", "unlimited as to aggregate principal", 2), ("Indenture", "x" * 20001, 2), ("Supplemental Indenture", "base indenture", 1), ("Indenture", None, 1), ("Officer Indenture", "x", None), ("Notes", "base indenture", None), (None, None, None)]
     df = spark.createDataFrame(ranks, "t string, c string, want int")
     assert all(r.got == r.want for r in df.withColumn("got", linking.indenture_rank(F.col("t"), F.col("c"))).collect())
+
+
+def test_tree_documents(spark):
+    rows = [("a", None, "A"), ("c", "a", None), ("b", "a", 'B "x"'), ("d", "b", "D"), ("e", "d", "E"), ("r1", "r2", "R"), ("r2", "r1", "R"), ("z", None, "Z")]
+    nodes = spark.createDataFrame(rows, "id string, parent_id string, name string")
+
+    def tree(key, depth):
+        own = {"id": key} | {"name": n for i, _, n in rows if i == key and n is not None}
+        return own | {"children": [tree(i, depth - 1) for i, p, _ in sorted(rows, key=lambda x: x[0]) if p == key and depth > 0]}
+
+    for levels in (0, 2, 4):
+        got = {r.id: json.loads(r.document) for r in documents.tree_documents(nodes, ["name"], levels).collect()}
+        assert got == {k: tree(k, levels) for k in ("a", "z")}
+    assert documents.tree_documents(nodes.limit(0), ["name"], 1).count() == 0
