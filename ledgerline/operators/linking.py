@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import bare_name, maturity_year
 from ..functions.names import coupon_bps as coupon_of
-from ..functions.names import maturity_year
 from . import extraction, matching, text
 
 #: Instrument types that are loans, and those that capacity instead of debt may be stated for.
@@ -159,6 +159,54 @@ def plain_links(instruments: DataFrame, papers: DataFrame, links: DataFrame) ->
     return best_documents(pairs.select("instrument_id", "doc_id", F.round(score, 6).alias("score")))
 
 
+def note_descriptions(text: Column) -> Column:
+    """`5.25% notes 2030` for each note that the text describes by coupon and year."""
+    pattern = F.lit(r"(?i)(\d+\.?\d*)\s*%\s*(?:senior\s+secured\s+|senior\s+unsecured\s+|senior\s+|subordinated\s+)?notes?\s+due\s+(?:\w+\s+)?(?:\d{1,2},?\s+)?(\d{4})")
+    each = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("rate"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("year"))
+    return F.array_distinct(F.transform(each, lambda x: F.concat(F.format_string("%.2f", x["rate"].cast("double")), F.lit("% notes "), x["year"])))
+
+
+def all_links(instruments: DataFrame, papers: DataFrame, today: Column, least: float = matching.KEEP, head: int = 50_000, body: int = 30_000) -> DataFrame:
+    """(instrument_id, doc_id, score, relationship): every document of its company that an instrument meets with
+    `least` or more. Instruments have a cusip and `issuer`, the issuer's name. The strongest signal counts, not their
+    sum; an amount besides coupon and year adds a tenth, to 0.9 at most, which holds for stronger ones too. `head` and `body`
+    are how far identifiers and issuers, and all else, are looked for. Loans without a signal go by `agreement_score`."""
+    issuer = bare_name(F.col("issuer"))
+    two = F.substring_index(issuer, " ", 2)
+    known = instruments.select(
+        "company_id", F.col("id").alias("instrument_id"), F.upper(F.replace("cusip", F.lit(" "), F.lit(""))).alias("cusip"), "instrument_type", "issue_date", issuer.alias("issuer"), F.when(F.length(two) >= 5, two).alias("two"),
+        F.coalesce(F.nullif("rate_bps", F.lit(0)), coupon_of(F.col("name"))).alias("bps"), F.coalesce(F.year("maturity_date"), maturity_year(F.col("name"))).alias("year"),
+        F.coalesce(F.nullif("outstanding", F.lit(0)), F.col("principal")).alias("amount"), F.coalesce("principal", F.lit(0)).alias("commitment"), note_descriptions(F.col("name")).alias("named"),
+    ).withColumn("built", F.concat(F.format_string("%.2f", F.col("bps") / 100), F.lit("% notes "), F.col("year").cast("string")))
+    start, text_body = F.substring("content", 1, head), F.substring("content", 1, body)
+    read = papers.select(
+        "company_id", "doc_id", "kind", "title", "content", "filed", extraction.cusips(F.upper(start)).alias("cusips"), F.lower(F.concat_ws("\n", "title", start)).alias("low"), note_descriptions(F.col("title")).alias("title_notes"),
+        note_descriptions(text_body).alias("body_notes"), note_descriptions(F.col("content")).alias("notes"), F.concat(*[F.coalesce(text.coupons(t), F.array().cast("array<double>")) for t in (F.col("title"), text_body)]).alias("coupons"),
+        text.years(text_body).alias("body_years"), F.coalesce(text.years(F.col("title")), F.array().cast("array<int>")).alias("title_years"), text.amounts_cents(text_body).alias("amounts"),
+    )
+    pairs = known.join(read, "company_id")
+    c = F.col
+    ours = F.filter(F.concat(F.coalesce("named", F.array().cast("array<string>")), F.array("built")), lambda x: x.isNotNull())
+    days = F.abs(F.datediff("filed", "issue_date"))
+    in_body = F.array_contains("body_years", c("year"))
+    both = has(F.exists("coupons", lambda x: F.abs(x - c("bps") / 100) < 0.01)) & (has(in_body) | has(F.array_contains("title_years", c("year"))))
+    rate = lambda x: F.substring_index(x, "%", 1).cast("double")
+    alike = F.exists("notes", lambda x: (F.abs(rate(x) - c("bps") / 100) < 0.02) & (F.substring_index(x, " ", -1) == c("year").cast("string")))
+    tranche = F.when(has(F.array_contains("notes", c("built"))), 0.80).otherwise(points(alike, 0.78))
+    issued = (F.length("issuer") >= 3) & (c("low").contains(c("issuer")) | has(c("low").contains(c("two"))))
+    strongest = F.greatest(
+        points(F.array_contains("cusips", c("cusip")), 0.95), F.when(has(F.arrays_overlap(ours, "title_notes")), 0.90).otherwise(points(F.arrays_overlap(ours, "body_notes"), 0.75)),
+        F.when(has(days == 0), 0.85).otherwise(points(days <= 7, 0.75)), points(issued & in_body, 0.65), points(both, 0.55), tranche,
+    )
+    amount = has((c("amount") > 0) & F.exists("amounts", lambda x: F.abs(x - c("amount")) / c("amount") < 0.05))
+    raised = F.greatest(strongest, F.lit(0.45))
+    score = F.when(amount, F.when(both | (tranche > 0), F.least(raised + 0.10, F.lit(0.90))).otherwise(raised)).otherwise(strongest)
+    loan = has(F.lower("instrument_type").rlike("|".join(LOANS))) & (c("kind") == "credit_agreement")
+    by_terms = agreement_score(*[c(n) for n in ("instrument_type", "commitment", "issue_date", "title", "content", "filed")], today)
+    scored = pairs.withColumn("score", F.round(score, 6)).withColumn("score", F.when(loan & (c("score") < least), F.greatest("score", F.round(by_terms, 6))).otherwise(c("score")))
+    return scored.where(c("score") >= least).select("instrument_id", "doc_id", "score", matching.relationship(c("title")).alias("relationship"))
+
+
 def covenant_targets(covenants: DataFrame, instruments: DataFrame) -> DataFrame:
     """(id, instrument_id) for covenants without an instrument: a tested financial one goes to the company's first
     loan, a change of control to its first bond, any other to its first loan; else to the other class."""

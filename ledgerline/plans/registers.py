@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..bindings import table, view
+from ..bindings import AS_OF, table, view
 from ..operators import documents, linking, ownership
 from .catalog import book
 from .registry import query
@@ -108,3 +108,15 @@ def company_debt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents.tree_documents(view(spark, sf_dir, "entities"), ["id", "name", "entity_type"], 3)
     return d.select("id", F.size(F.regexp_extract_all("document", F.lit('("children":)'), F.lit(1))).cast("long").alias("n_nodes"), F.get_json_object("document", "$.children[0].id").alias("first_child"))
+
+
+@query("""
+    with p as (select i.id, d.doc_id, i.rate_bps, year(i.maturity_date) as maturity, abs(d.filed - i.issue_date) as days, d.title, d.content from instruments i join papers d on d.company_id = i.company_id and d.kind = 'indenture'),
+    n as (select *, regexp_extract(title, '^(\\d+[.]\\d\\d)% Senior Secured Notes due (\\d{4})', 1) as rate, regexp_extract(title, ' Notes due (\\d{4})', 1) as year from p),
+    s as (select id, doc_id, title, greatest(case when rate_bps <> 0 and rate <> '' and round(cast(nullif(rate, '') as double) * 100) = rate_bps and year = cast(maturity as varchar) then 0.9 else 0 end, case when days = 0 then 0.85 when days <= 7 then 0.75 else 0 end,
+        case when rate_bps > 0 and rate_bps < 2500 and maturity > 2000 and (contains(title, cast(maturity as varchar)) or contains(content, cast(maturity as varchar)))
+              and len(list_filter(regexp_extract_all(title || ' ' || content, '(\\d{1,2}[.]\\d{1,4})\\s*%', 1), lambda x: abs(cast(x as double) - rate_bps / 100.0) < 0.01)) > 0 then 0.55 else 0 end) as score from n)
+    select id as instrument_id, doc_id, cast(score as double) as score, case when title ilike '%supplement%' then 'supplements' when title ilike '%amend%' then 'amends' else 'governs' end as relationship from s where score >= 0.4""")
+def all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bonds = view(spark, sf_dir, "instruments").withColumn("issuer", F.lit(None).cast("string"))
+    return linking.all_links(bonds, view(spark, sf_dir, "papers").where("kind = 'indenture'"), F.expr(AS_OF))

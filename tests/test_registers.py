@@ -78,3 +78,21 @@ def test_tree_documents(spark):
         got = {r.id: json.loads(r.document) for r in documents.tree_documents(nodes, ["name"], levels).collect()}
         assert got == {k: tree(k, levels) for k in ("a", "z")}
     assert documents.tree_documents(nodes.limit(0), ["name"], 1).count() == 0
+
+
+def test_all_links_by_the_strongest_signal(spark):
+    bond = (1, 1, "037833EQ9", "senior_notes", "2020-01-10", "Zeta Energy Corp", 525, "2030-05-01", 50_000_000_00, None, "x")
+    loan = (1, 2, None, "term_loan_b", None, None, None, None, None, 10_000_000_00, None)
+    columns = "company_id int, id int, cusip string, instrument_type string, issued string, issuer string, rate_bps int, matures string, outstanding long, principal long, name string"
+    debt = spark.createDataFrame([bond, loan], columns).withColumn("issue_date", F.col("issued").cast("date")).withColumn("maturity_date", F.col("matures").cast("date"))
+    cases = [
+        ("Indenture", "CUSIP 037833EQ9", None, 0.95), ("5.25% Senior Notes due May 1, 2030", "", None, 0.90), ("Indenture", "our 5.250% notes due 2030", None, 0.80), ("Indenture", "5.26% Notes due 2030", None, 0.78),
+        ("Amended Indenture", "", "2020-01-10", 0.85), ("Indenture", "", "2020-01-15", 0.75), ("Supplement", "Zeta Energy pays in 2030", None, 0.65), ("Indenture", "a rate of 5.25% until 2030", None, 0.55),
+        ("Indenture", "about $51 million", None, 0.45), ("Indenture", "5.25% in 2030, $50 million", None, 0.65), ("Indenture", "CUSIP 037833EQ9 5.25% in 2030, $50 million", None, 0.90), ("Indenture", "nothing", "2021-01-01", None), (None, None, None, None),
+    ]
+    papers = spark.createDataFrame([(1, i, "indenture", t, c, f) for i, (t, c, f, _) in enumerate(cases)], "company_id int, doc_id int, kind string, title string, content string, day string").withColumn("filed", F.col("day").cast("date"))
+    got = {r.doc_id: (r.score, r.relationship) for r in linking.all_links(debt, papers, F.lit("2024-01-01").cast("date")).where("instrument_id = 1").collect()}
+    assert {k: v[0] for k, v in got.items()} == {i: s for i, (_, _, _, s) in enumerate(cases) if s}
+    assert (got[4][1], got[6][1], got[0][1]) == ("amends", "supplements", "governs")
+    deal = papers.limit(1).withColumns({"kind": F.lit("credit_agreement"), "title": F.lit("Term Loan Credit Agreement"), "content": F.lit("a term loan"), "filed": F.lit("2023-06-01").cast("date")})
+    assert [r.score for r in linking.all_links(debt, deal, F.lit("2024-01-01").cast("date")).where("instrument_id = 2").collect()] == [0.55]
