@@ -15,12 +15,14 @@ import pyarrow.compute as pc
 
 from ..durable import run_dir, shared_dir, written
 
-__all__ = ["ASCII_LOWER", "BLANKS", "give_back", "run_dir", "shared_dir", "slices", "sums_by_row", "text_slices", "word_codes", "written"]
+__all__ = ["ASCII_LOWER", "BLANKS", "LETTERS", "give_back", "run_dir", "shared_dir", "slices", "sums_by_row", "text_slices", "word_codes", "written"]
 
 #: A-Z to a-z and nothing else.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The separators of words, [\x20\x09-\x0D]; also what bytes.split() splits at.
 BLANKS = b" \t\n\x0b\x0c\r"
+#: A-Z to a-z; what is no letter, [\x00-\x40\x5B-\x60\x7B-\x7F], to a blank.
+LETTERS = bytes(c + 32 if 65 <= c < 91 else c if 97 <= c < 123 or c >= 0x80 else 32 for c in range(256))
 #: glibc's malloc_trim, where there is one.
 TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 

@@ -20,15 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import LETTERS, text_slices, written
 
-#: A-Z to a-z; what is no letter, [\x00-\x40\x5B-\x60\x7B-\x7F], to a blank.
-LETTERS = bytes(c + 32 if 65 <= c < 91 else c if 97 <= c < 123 or c >= 0x80 else 32 for c in range(256))
 DEPTH = 3
 #: Cells of a row of the sketch: a power of two, by the rows of the corpus and within these bounds.
 LEAST_WIDTH, MOST_WIDTH = 1 << 16, 1 << 24
