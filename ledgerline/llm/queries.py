@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable
-from . import context_tree, decontaminate, divergence, line_dedup, mixing, ngram_join, quality_model, repetition, token_counts, token_store, toxicity, warc
+from . import context_tree, decontaminate, divergence, hard_negatives, line_dedup, mixing, ngram_join, quality_model, repetition, token_counts, token_store, toxicity, warc
 from .common import run_dir, written
 
 
@@ -67,6 +67,10 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.scored(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -87,10 +91,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_warc": op9_warc,
         "op10_context_tree": op10_context_tree,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_toxicity": op12_toxicity,
         "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.SQL, "op9_warc": warc.SQL, "op13_source_divergence": divergence.SQL}
+    return {"op7_line_dedup": line_dedup.SQL, "op9_warc": warc.SQL, "op11_hard_negatives": hard_negatives.SQL, "op13_source_divergence": divergence.SQL}
