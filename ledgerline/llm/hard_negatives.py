@@ -358,8 +358,8 @@ def hard_negatives(
     anchors = written(in_parts(anchors, "node", anchor_rows), "anchors")
     whole = anchors.select(F.col("vec_id").alias("anchor_id"), F.col("vec_id").alias("to"), F.lit(0).cast("long").alias("base"), F.lit(NONE).cast("long").alias("low"), F.lit(ALL).cast("long").alias("high"))
     near = search(anchors, whole, blocks, nodes, dim, kind, positives, same=True)
-    # div rounds towards 0, and a window is empty below 0: 0 and 1 there
-    low, high = (F.when(F.col("score") < 0, x).otherwise(F.expr(f"(score * {hundredths} + {more}) div 100")) for x, hundredths, more in ((1, window[0], 99), (0, window[1], 0)))
+    # hundreds and the rest apart, so that nothing overflows; a window below 0 is empty: from 1 to 0
+    low, high = (F.when(F.col("score") < 0, x).otherwise(F.expr(f"score div 100 * {part} + (score % 100 * {part} + {more}) div 100")) for x, part, more in ((1, window[0], 99), (0, window[1], 0)))
     slots = written(near.select("anchor_id", F.col("cand").alias("to"), F.col("score").alias("base"), low.cast("long").alias("low"), high.cast("long").alias("high")), "positives")
     found = search(anchors, slots, blocks, nodes, dim, kind, negatives, same=False)
     return found.select("anchor_id", F.col("to").alias("positive_id"), "rank", F.col("cand").alias("negative_id"), F.col("base").alias("positive_score"), F.col("score").alias("negative_score"))

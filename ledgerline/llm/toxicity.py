@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -145,10 +146,14 @@ def fold_of(folds: int) -> Column:
 
 
 def fitting_sample(rows: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(doc_id, y, text): of each class the documents with the `sample` smallest hashes, near copies once."""
+    """(doc_id, y, text): of each class the documents with the `sample` smallest hashes, near copies once. Where a class
+    has no labels, documents without a label (y is null) stand beside."""
     turn = F.xxhash64("doc_id")
     some = [labels.where("y" if y else "not y").orderBy(turn, "doc_id").limit(sample) for y in (True, False)]
-    ids = F.broadcast(written(some[0].unionByName(some[1]), "tox-ids"))  # at most 2 * sample rows of 9 bytes
+    if any(own.isEmpty() for own in some):
+        free = rows.where("doc_id is not null").select("doc_id", F.lit(None).cast("boolean").alias("y")).distinct().join(labels, "doc_id", "left_anti")
+        some.append(free.orderBy(turn, "doc_id").limit(sample))
+    ids = F.broadcast(written(reduce(DataFrame.unionByName, some), "tox-ids"))  # at most 3 * sample rows of 9 bytes
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,6 +168,7 @@ def fitting_sample(rows: DataFrame, labels: DataFrame, sample: int) -> DataFrame
 
 def telling(sample: DataFrame, least: float, ratio: float) -> list[str]:
     """Words and stems with a likelihood ratio of `least` or more that are `ratio` times as frequent in toxic documents."""
+    sample = sample.where("y is not null")
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return []
@@ -227,7 +233,7 @@ class LabelModel:
         k = bits.shape[1]
         link, all_weight = np.zeros((k, k)), sum(w.sum() for w in weights)
         for w in weights:
-            share = w.sum() / all_weight
+            share = w.sum() / max(all_weight, 1e-12)
             w = w / max(w.sum(), 1e-12)
             one = w @ bits
             both = bits.T @ (w[:, None] * bits)
@@ -318,7 +324,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held: in
     model cover all documents. A null text is empty; a text without words gets the score of a document without entries.
     A null doc_id stays null, is not held out and has no label; repeated rows are scored each and count each for the label
     model; labels of unknown documents and null labels are ignored; without labels of both classes only the given lists
-    vote. Other columns are not read; an empty table gives no rows.
+    vote, and the scorer is fitted on documents without labels too. Other columns are not read; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     context = docs.sparkSession.sparkContext
@@ -343,11 +349,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held: in
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(pattern), lists], names=["doc_id", "y", "pattern", "features"])
 
     found = rows.select("text").mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** voters rows
-    known = some.mapInArrow(look, "doc_id long, y boolean, pattern long, features array<long>").orderBy("doc_id", "pattern").toArrow()  # at most 2 * sample rows
-    y, own_patterns = known.column("y").to_numpy().astype(bool), known.column("pattern").to_numpy()
+    known = some.mapInArrow(look, "doc_id long, y boolean, pattern long, features array<long>").orderBy("doc_id", "pattern").toArrow()  # at most 3 * sample rows
+    y, own_patterns = np.array(known.column("y").to_pylist(), object), known.column("pattern").to_numpy()
     sides = tuple(tally(*np.unique(own_patterns[y == c], return_counts=True)) for c in (False, True))
     model = fit_labels(tally(found.column("pattern").to_numpy(), found.column("n").to_numpy()), sides)
-    target = np.where(y, model.posterior(as_bits(own_patterns), 1), model.posterior(as_bits(own_patterns), 0))
+    target = np.zeros(len(y))
+    for c in (None, False, True):
+        target[y == c] = model.posterior(as_bits(own_patterns[y == c]), None if c is None else int(c))
     lists = known.column("features").to_pylist()
     at = np.repeat(np.arange(len(lists)), list(map(len, lists))).astype(np.int64)
     r, f = with_votes(own_patterns, at, np.fromiter((x for own in lists for x in own), np.int64))

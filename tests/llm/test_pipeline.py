@@ -26,5 +26,5 @@ def test_pipeline_is_repeatable(spark):
 
 
 def test_queries_are_named_by_number():
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
