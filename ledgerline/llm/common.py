@@ -12,10 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 from ..durable import run_dir, shared_dir, written
 
-__all__ = ["ASCII_LOWER", "BLANKS", "LETTERS", "give_back", "run_dir", "shared_dir", "slices", "sums_by_row", "text_slices", "word_codes", "written"]
+__all__ = ["ASCII_LOWER", "BLANKS", "LETTERS", "give_back", "plain_names", "run_dir", "shared_dir", "slices", "sums_by_row", "text_slices", "word_codes", "written"]
 
 #: A-Z to a-z and nothing else.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -27,6 +28,13 @@ LETTERS = bytes(c + 32 if 65 <= c < 91 else c if 97 <= c < 123 or c >= 0x80 else
 TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def plain_names(docs: DataFrame) -> DataFrame:
+    """The same rows with names that any pass can resolve: what is not doc_id, text or n_chars is named by its
+    place, so dots, repeats and clashes don't matter; toDF(*docs.columns) gives the names back."""
+    own = ("doc_id", "text", "n_chars")
+    return docs.toDF(*[c if c in own else f"column_{i}" for i, c in enumerate(docs.columns)])
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on between tasks, beside the executor's JVM."""
     pa.default_memory_pool().release_unused()

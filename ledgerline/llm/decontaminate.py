@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ASCII_LOWER, text_slices, written
+from .common import ASCII_LOWER, plain_names, text_slices, written
 
 WINDOW = 10
 #: All ASCII but digits and letters separates words; A-Z is lower-cased.
@@ -232,8 +232,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """documents without benchmark passages, the same columns: hit spans are cut out of the text and
     n_chars follows; a document with more than `max_coverage` of its words hit goes.
 
-    Documents without a hit, null texts included, stay as they are.
+    Documents without a hit, null texts included, stay as they are; repeated rows are cut alike; other columns go
+    along whatever their names; an empty table stays empty, and an empty benchmark cuts nothing.
     """
+    plain = plain_names(docs)
     tag = "ledgerline_scan_"
     names = (f"{tag}spans", f"{tag}words", f"{tag}items")
     counted = "n_chars" in docs.columns
@@ -255,7 +257,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 part = part.set_column(at, field, pa.array(sizes, field.type))
         return part.filter(keep)
 
-    return scanned(docs, benchmark, window, block_bytes, names, finish, docs.schema)
+    return scanned(plain, benchmark, window, block_bytes, names, finish, plain.schema).toDF(*docs.columns)
 
 
 def items_digest(items: list[str]) -> str:

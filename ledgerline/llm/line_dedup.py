@@ -7,9 +7,10 @@ document that keeps the line; the rows of other documents that stream by behind
 per-document keep bitmaps of 64-bit words. Words without a dropped line are left out, so a bitmap is as
 large as what is dropped. The text is touched once, when a caller applies the bitmaps.
 
-A hot key is safe: its rows are counted by (key, document) first and combined before they meet by key, and
-its documents fall by hash into parts of about PART rows, each sorted and streamed apart; the few rows of
-each part's first document then meet the first of all parts.
+A hot key is safe: its rows are counted by (key, document) first and combined before they meet by key. Keys with
+more than PART rows and 1 / HOT_KEYS of all rows, HOT_KEYS of them at most by that very bound, are broadcast to where their rows
+lie; the rows of all other keys are joined by key. A key's documents fall by hash into parts of about PART rows,
+each sorted and streamed apart; the few rows of each part's first document then meet the first of all parts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from .common import written
 #: The characters stripped at both ends of a line.
 STRIP = " \t\n\x0b\x0c\r"
 #: Documents of a key that are sorted and streamed together.
-PART = 4096
+PART = 1024
+#: Keys that are hot at most, so that a broadcast of them is bounded.
+HOT_KEYS = 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,6 +41,16 @@ def row_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("t", F.xxhash64("text"))
 
 
+def joined_by_key(hashed: DataFrame, often: DataFrame, most: int) -> DataFrame:
+    """hashed with the columns of its key in often. Keys of more than `most` lines don't go through the shuffle of the rest."""
+    key = ["h1", "h2"]
+    hot, cold = often.where(F.col("n_lines") > most), often.where(F.col("n_lines") <= most)
+    if hot.isEmpty():
+        return hashed.join(often, key)
+    rest = hashed.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return hashed.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, t, bits): for documents that lose lines, 64-bit words by index, a bit for each kept line;
     words that lose nothing are left out.
@@ -49,13 +62,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     hashed = written(keyed.select("doc_id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "line-hashes")
     often = written(
-        hashed.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", F.ceil(F.col("n_docs") / PART).alias("parts")),
+        hashed.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("lines"))
+        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("lines").alias("n_lines")).where(F.col("n_docs") >= min_docs)
+        .select("h1", "h2", "n_lines", F.ceil(F.col("n_docs") / PART).alias("parts")),
         "line-keys",
     )
     run = ["h1", "h2", "part"]
-    shared = hashed.join(often, ["h1", "h2"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    shared = joined_by_key(hashed, often, max(PART, hashed.count() // HOT_KEYS)).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
     ordered = shared.repartitionByRange(*run).sortWithinPartitions(*run, F.desc("doc_id"), "pos")
     first = F.first("doc_id").over(Window.partitionBy(*run).orderBy(F.desc("doc_id"), "pos"))
     # rows behind the first document, and of keys in parts the first document of each part

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLANKS, sums_by_row, text_slices, word_codes
+from .common import BLANKS, plain_names, sums_by_row, text_slices, word_codes
 
 SYMBOLS = b"#*$%&|<>"
 SEED = 3
@@ -147,12 +147,13 @@ def repetition_report(docs: DataFrame, **limits: float) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, **limits: float) -> DataFrame:
-    """The documents that pass, all their columns unchanged."""
-    limits = DEFAULTS | limits
+    """The documents that pass, all their columns unchanged, whatever their names; null and empty texts go, repeated
+    rows stay or go together, an empty table stays empty."""
+    limits, plain = DEFAULTS | limits, plain_names(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch):
                 yield part.filter(pa.array(judge(texts, **limits)["kept"]))
 
-    return docs.mapInArrow(work, docs.schema)
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)

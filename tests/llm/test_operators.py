@@ -29,7 +29,7 @@ def table(spark, rows, extra=False):
     """documents rows, with columns whose names operators might use themselves."""
     df = spark.createDataFrame([(d, t, "en", s, None if t is None else len(t)) for d, t, s in rows], DOCS)
     if extra:
-        for name in ("n", "spans", "items", "size", "block", "key", "kind", "chunk", "value", "rep", "comp", "t", "bits", "row"):
+        for name in ("n", "spans", "items", "size", "block", "key", "kind", "chunk", "value", "rep", "comp", "t", "bits", "row", "x.y"):
             df = df.withColumn(name, F.lit("x"))
     return df.repartition(3)
 
@@ -246,9 +246,10 @@ def test_line_dedup_sorts_and_streams(spark):
     assert plan.index("Window") < plan.index("Sort [h1") < plan.index("RepartitionByExpression")
 
 
-@pytest.mark.parametrize("part", [50_000, 2])
+@pytest.mark.parametrize("part", [50_000, 2, 300])
 def test_line_dedup(spark, monkeypatch, part):
-    monkeypatch.setattr(line_dedup, "PART", part)  # 2: hot keys in parts
+    monkeypatch.setattr(line_dedup, "PART", part)  # 2: all keys are hot, 300: some are
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if part == 300 else "10485760")
     long, other = "A long line that many of the documents hold, indeed!", "é" * 40
     rows = [(i, f"first {i}\n  {long.upper() if i % 2 else long}\t\nlast\n{long}", "s") for i in range(6)] + [(i, f"{other}\n{other}", "s") for i in range(10, 14)]
     rows += [(20, None, "s"), (21, "", "s"), (None, long, "s"), (22, "\n\n", "s"), (23, long[:39] + "\n" + long, "s")]
@@ -266,6 +267,7 @@ def test_line_dedup(spark, monkeypatch, part):
         gone = [d is not None and len(docs.get(key(x), ())) >= 5 and d != max(docs[key(x)]) for x in lines]
         assert (got[d].n_lines, got[d].n_dropped) == (len(lines), sum(gone))
         assert got[d].text == "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert line_dedup.deduplicate_lines(table(spark, rows).limit(0)).count() == 0
 
 
