@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import written
+from .filings import parents_of_indents
 
 MAX_DEPTH = 10
 
@@ -58,9 +59,10 @@ def subtree_sums(nodes: DataFrame, values: DataFrame, depth: int) -> DataFrame:
 
 
 def hierarchy_from_indents(lines: DataFrame) -> DataFrame:
-    """(doc, pos, indent, name) -> with parent_pos: the nearest line above with a smaller indent. Lines of
-    one document are paired; documents are small and never meet."""
-    a = lines.alias("a")
-    b = lines.select("doc", F.col("pos").alias("up_pos"), F.col("indent").alias("up_indent")).alias("b")
-    joined = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("up_pos") < F.col("pos")) & (F.col("up_indent") < F.col("indent")), "left")
-    return joined.groupBy("a.doc", "pos", "indent", "name").agg(F.max("up_pos").alias("parent_pos"))
+    """(doc, pos, indent, name) -> with parent_pos: the nearest line above with a smaller indent. The lines of a document
+    meet once, in order, and a stack of open parents is run over them."""
+    whole = lines.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "indent", "name"))).alias("lines"))
+    whole = whole.withColumn("up", parents_of_indents(F.transform("lines", lambda x: x["indent"].cast("int"))))
+    rows = whole.select("doc", "lines", F.explode(F.arrays_zip("lines", "up")).alias("x"))
+    parent = F.when(F.col("x.up") >= 0, F.get("lines", F.col("x.up"))["pos"])
+    return rows.select("doc", "x.lines.pos", "x.lines.indent", "x.lines.name", parent.alias("parent_pos"))
