@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+
 #: What an instrument shows in its company's document, by the column it comes from.
 SHOWN = {
     "id": "id", "name": "name", "instrument_type": "type", "seniority": "seniority", "issuer": "issuer", "principal": "principal", "outstanding": "outstanding",
@@ -36,18 +39,38 @@ def debt_documents(companies: DataFrame, instruments: DataFrame, entities: DataF
     return whole.select("company_id", F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"instruments":'), listed, F.lit("}")).alias("document"))
 
 
-def tree_documents(nodes: DataFrame, fields: list[str], levels: int = 10) -> DataFrame:
-    """(id, document) of each node without a parent: its fields, `id` among them, and its `children` in turn, by id. The
-    documents are built from the leaves up, one join a level; nodes more than `levels` below a root are left out, and
-    so are rings, which hang on no root. Ids are unique and not null."""
-    own = nodes.select("id", "parent_id", F.to_json(F.struct("id", *[f for f in fields if f != "id"])).alias("body"))
+def nested(rows: list[dict], levels: int | None) -> str:
+    """One tree's JSON from its nodes (id, parent_id, body, own), from the leaves up, without recursion: bodies get their children, by id, and,
+    where there are sums, the sum over the node and all below."""
+    below: dict[str | None, list[dict]] = {}
+    for r in sorted(rows, key=lambda r: r["id"]):
+        below.setdefault(r["parent_id"], []).append(r)
+    order, depth = [(below[None][0], 0)], 0
+    for r, depth in order:  # grows while it is read: parents come before children
+        if levels is None or depth < levels:
+            order += [(x, depth + 1) for x in below.get(r["id"], [])]
+    done: dict[str, tuple[str, list]] = {}
+    for r, depth in reversed(order):
+        kids = [done.pop(x["id"]) for x in below.get(r["id"], [])] if levels is None or depth < levels else []
+        sums = [sum(v) for v in zip(r["own"], *(k[1] for k in kids), strict=True)]
+        extra = "".join(f',"{n}":{v}' for n, v in zip(r["names"], sums, strict=True))
+        done[r["id"]] = f'{r["body"][:-1]}{extra},"children":[{",".join(k[0] for k in kids)}]}}', sums
+    return done[order[0][0]["id"]][0]
+
+
+def tree_documents(nodes: DataFrame, fields: list[str], levels: int | None = None, sums: tuple[str, ...] = ()) -> DataFrame:
+    """(id, document) of each node without a parent: its fields, `id` among them, `subtree_<name>` for each of the whole numbers in `sums`,
+    null as 0, and its `children` in turn, by id. Trees of any depth; `levels` cuts what is further below a root, out of sums too. What
+    hangs on a ring or an unknown parent has no root and is left out. Ids are unique and not null; a tree meets in one task, as its
+    document does."""
+    body = F.to_json(F.struct("id", *[f for f in fields if f != "id"]))
+    own = F.array(*[F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in sums]).cast("array<bigint>")
+    names = F.array(*[F.lit(f"subtree_{c}") for c in sums]).cast("array<string>")
+    rows = nodes.select(F.col("id").cast("string").alias("id"), F.col("parent_id").cast("string").alias("parent_id"), body.alias("body"), own.alias("own"), names.alias("names"), F.col("id").alias("key"))
 
-    def closed(rows: DataFrame) -> DataFrame:
-        kids = F.coalesce(F.array_join(F.transform("kids", lambda x: x["document"]), ","), F.lit(""))
-        return rows.select("id", "parent_id", F.concat(F.substring("body", F.lit(1), F.length("body") - 1), F.lit(',"children":['), kids, F.lit("]}")).alias("document"))
+    @F.pandas_udf("string")
+    def document(trees: pd.Series) -> pd.Series:
+        return trees.map(lambda tree: nested(list(tree), levels))
 
-    done = closed(own.withColumn("kids", F.expr("cast(null as array<struct<id: string, document: string>>)")))
-    for _ in range(levels):
-        below = done.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "document"))).alias("kids"))
-        done = closed(own.join(below, "id", "left"))
-    return done.where("parent_id is null").select("id", "document")
+    grouped = rows.join(graph.tops(nodes).withColumnRenamed("id", "key"), "key").groupBy("top").agg(F.collect_list(F.struct("id", "parent_id", "body", "own", "names")).alias("tree"))
+    return grouped.select(F.col("top").alias("id"), document("tree").alias("document"))

@@ -728,4 +728,4 @@ def page_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.table_cells(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-from . import analyses, deeds, filings, flows, links, registers, scalars, screens  # noqa: E402, F401  (they register their queries)
+from . import analyses, cascades, deeds, filings, flows, links, registers, scalars, screens  # noqa: E402, F401  (they register their queries)
