@@ -1,14 +1,10 @@
-"""Keyed writes on Parquet: merge into a new version, then point readers at it.
-
-Parquet files don't change, so each write makes a folder `v<N>` under the table and commits it with a
-marker; readers take the newest committed one. A write that fails leaves the old version in place.
-"""
+"""Keyed writes as DataFrames: each gives the whole new table, which the caller writes to a new place or over its partitions."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,33 +51,3 @@ def removed(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
     """(what stays, what goes): a delete with its returned rows."""
     hit = F.coalesce(condition, F.lit(False))
     return df.where(~hit), df.where(hit)
-
-
-class Versions:
-    """Committed versions of a Parquet table in a folder, through Hadoop's file system."""
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self.path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self.fs = self.path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def newest(self) -> int | None:
-        if not self.fs.exists(self.path(self.folder)):
-            return None
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.path(self.folder))]
-        found = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self.fs.exists(self.path(f"{self.folder}/{n}/_SUCCESS"))]
-        return max(found, default=None)
-
-    def read(self) -> DataFrame | None:
-        n = self.newest()
-        return None if n is None else self.spark.read.parquet(f"{self.folder}/v{n}")
-
-    def write(self, df: DataFrame) -> int:
-        n = (self.newest() or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{n}")
-        return n
-
-    def upsert(self, new: DataFrame, on: Sequence[str], order: Sequence[str] = ()) -> int:
-        old = self.read()
-        return self.write(new.dropDuplicates(list(on)) if old is None and not order else merged(old if old is not None else new.limit(0), new, on, order))

@@ -697,7 +697,11 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(counters.once(counters.events(spark, sf_dir, pattern="events.parquet")).select("event_id", "user_id"), "append")
 
 
-@query()
+@query("""
+    with recursive e as (select user_id, event_id, epoch_ms(ts) as ms, row_number() over (partition by user_id order by epoch_ms(ts), event_id) as nth from events),
+    r as (select user_id, event_id, nth, ms as opened, 1 as used from e where nth = 1
+        union all select e.user_id, e.event_id, e.nth, case when e.ms >= r.opened + 3600000 then e.ms else r.opened end, case when e.ms >= r.opened + 3600000 then 1 else r.used + 1 end from r join e on e.user_id = r.user_id and e.nth = r.nth + 1)
+    select user_id, event_id, used <= 2 as allowed from r""")
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(counters.limited(counters.events(spark, sf_dir, pattern="events.parquet"), 2, 3600), "append")
 

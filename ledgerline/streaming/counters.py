@@ -53,24 +53,41 @@ def once(df: DataFrame, key: str = "event_id") -> DataFrame:
     return df.dropDuplicatesWithinWatermark([key])
 
 
-def limited(df: DataFrame, most: int, seconds: int = 60) -> DataFrame:
-    """(user_id, event_id, allowed): a fixed window per user, opened by its first event."""
+def limited(df: DataFrame, most: int, seconds: int = 60, ordered: bool = False) -> DataFrame:
+    """(user_id, event_id, allowed): a fixed window per user, opened by its first event, of `most` events.
+
+    Events of a batch are taken by time and id. Across batches they count as they arrive; `ordered` holds each back until
+    the watermark has passed it, so that late rows within the watermark take their place, and decides nothing before. A user's state
+    goes when the watermark passes the end of its window and nothing waits. The stream needs a watermark on `ts`.
+    """
 
     def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, used = state.get if state.exists else (None, 0)
-        for frame in frames:
-            out = []
-            for at, event in sorted(zip(frame["at"], frame["event_id"], strict=True)):
-                if opened is None or at >= opened + seconds:
-                    opened, used = int(at), 0
-                used += 1
-                out.append((key[0], event, used <= most))
+        opened, used, held = state.get if state.exists else (None, 0, [])
+        waiting = list(zip(held[::2], held[1::2], strict=True))  # times in milliseconds, and ids
+        for frame in [] if state.hasTimedOut else frames:
+            waiting += zip(frame["at"], frame["event_id"], strict=True)
+        reached = state.getCurrentWatermarkMs()
+        waiting.sort()
+        due = [w for w in waiting if not ordered or w[0] < reached]
+        out = []
+        for at, event in due:
+            if opened is None or at >= opened + seconds * 1000:
+                opened, used = int(at), 0
+            used += 1
+            out.append((key[0], event, used <= most))
+        waiting = waiting[len(due) :]
+        if out:
             yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])
-        if opened is not None:
-            state.update((opened, used))
-
-    keyed = df.select("user_id", "event_id", F.unix_timestamp("ts").alias("at"))
-    return keyed.groupBy("user_id").applyInPandasWithState(work, "user_id long, event_id long, allowed boolean", "opened long, used long", "append", GroupStateTimeout.NoTimeout)
+        closes = opened + seconds * 1000 if opened is not None else 0
+        if waiting or closes > reached:
+            state.update((opened, used, [int(x) for w in waiting for x in w]))
+            state.setTimeoutTimestamp(max(reached + 1, int(min([w[0] + 1 for w in waiting] or [closes]))))
+        elif state.exists:
+            state.remove()
+
+    keyed = df.select("user_id", "event_id", F.unix_millis("ts").alias("at"), "ts")
+    kinds = "user_id long, event_id long, allowed boolean", "opened long, used long, waiting array<long>"
+    return keyed.groupBy("user_id").applyInPandasWithState(work, *kinds, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def poll(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
