@@ -201,12 +201,44 @@ def search_financials(
     return screen.between("period_end", period_after, period_before).between("revenue", min_revenue).between("ebitda", min_ebitda).between("cash", min_cash)
 
 
-def search_collateral(book: Book, instrument: int | None = None, kind: str | None = None, has_valuation: bool | None = None, min_value: int | None = None) -> Screen:
-    return Screen(book.collateral, ("instrument_id", "line")).equals(instrument_id=instrument, collateral_type=kind).present("value", has_valuation).between("value", min_value)
+def of_instruments(book: Book, rows: DataFrame, key: str, ticker: str | None, instruments: str | None, cusip: str | None, seniority: str | None = None) -> DataFrame:
+    """Rows whose instrument, by `key`, is one of the ids or CUSIPs (lists with commas), of one of the tickers, and of the seniority; nothing
+    is joined if none is asked for."""
+    if ticker is None and instruments is None and cusip is None and seniority is None:
+        return rows
+    wanted = Screen(by_company(book, book.instruments, ticker, None), ("id",)).is_in("id", comma_list(instruments) or None).is_in("cusip", comma_list(cusip, upper=True) or None).equals(seniority=seniority)
+    return rows.join(wanted.df.select(F.col("id").alias(key)), key, "left_semi")
+
+
+def search_collateral(
+    book: Book, instrument: int | None = None, kind: str | None = None, has_valuation: bool | None = None, min_value: int | None = None, ticker: str | None = None,
+    instruments: str | None = None, cusip: str | None = None, priority: str | None = None, seniority: str | None = None,
+) -> Screen:
+    """Collateral by its instrument (one, or lists with commas of ids, CUSIPs, tickers of its company; its seniority), kind, priority and value."""
+    rows = of_instruments(book, book.collateral, "instrument_id", ticker, instruments, cusip, seniority)
+    return Screen(rows, ("instrument_id", "line")).equals(instrument_id=instrument, collateral_type=kind, priority=priority).present("value", has_valuation).between("value", min_value)
 
 
-def search_covenants(book: Book, company: int | None = None, kind: str | None = None, metric: str | None = None, low: int | None = None, high: int | None = None) -> Screen:
-    return Screen(book.covenants, ("id",)).equals(company_id=company, covenant_type=kind, test_metric=metric).between("threshold", low, high)
+def search_covenants(
+    book: Book, company: int | None = None, kind: str | None = None, metric: str | None = None, low: int | None = None, high: int | None = None, ticker: str | None = None,
+    instruments: str | None = None, cusip: str | None = None, name: str | None = None, threshold_type: str | None = None, min_confidence: float | None = None,
+) -> Screen:
+    """Covenants by company (id or tickers), instrument (ids, CUSIPs), type, name in part, metric, threshold and confidence (0 to 1)."""
+    rows = of_instruments(book, by_company(book, book.covenants, ticker, None), "instrument_id", None, instruments, cusip)
+    screen = Screen(rows, ("id",)).equals(company_id=company, covenant_type=kind, test_metric=metric, threshold_type=threshold_type).contains("covenant_name", name).between("threshold", low, high)
+    return screen.between("confidence_pct", None if min_confidence is None else min_confidence * 100)
+
+
+def search_pricing(
+    book: Book, marks: DataFrame, ticker: str | None = None, instruments: str | None = None, cusip: str | None = None, min_ytm: float | None = None, max_ytm: float | None = None, min_spread: int | None = None,
+    max_spread: int | None = None, seniority: str | None = None, traded_only: bool = False,
+) -> Screen:
+    """Marks of active instruments with their instrument and ticker; yields in percent, spreads in basis points. `traded_only` leaves estimates out."""
+    rows = of_instruments(book, marks, "instrument_id", ticker, instruments, cusip, seniority)
+    known = book.instruments.where("is_active").select(F.col("id").alias("instrument_id"), "company_id", "name", "cusip", "seniority", "maturity_date")
+    rows = rows.where("last_price is not null").join(known, "instrument_id").join(book.companies.select(F.col("id").alias("company_id"), "ticker"), "company_id")
+    screen = Screen(rows, ("instrument_id",)).between("ytm_bps", bps(min_ytm), bps(max_ytm)).between("spread_bps", min_spread, max_spread)
+    return screen.where(F.col("source") != "estimate" if traded_only else None)
 
 
 def compare_covenants(book: Book, companies: list[int]) -> DataFrame:

@@ -84,19 +84,19 @@ def covenant_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- joins ---------------------------------------------------------------------------------------
 
 
-@query("select id, company_id from instruments i where exists (select 1 from guarantees g where g.instrument_id = i.id and g.guarantor_id % 5 = 0)")
+@query("select id, company_id from instruments i where exists (select 1 from guarantees g where g.instrument_id = i.id)")
 def semi_join_has_guarantor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    guarantees = view(spark, sf_dir, "guarantees").where("guarantor_id % 5 = 0").withColumnRenamed("instrument_id", "id")
+    guarantees = view(spark, sf_dir, "guarantees").withColumnRenamed("instrument_id", "id")
     return joins.semi(view(spark, sf_dir, "instruments"), guarantees, ["id"]).select("id", "company_id")
 
 
-@query("select id, name from entities e where not exists (select 1 from guarantees g where g.guarantor_id = e.company_id and g.instrument_id % 50 = 1)")
+@query("select id, name from entities e where not exists (select 1 from guarantees g where g.guarantor_id = e.company_id)")
 def anti_join_unlinked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = view(spark, sf_dir, "guarantees").where("instrument_id % 50 = 1").select(F.col("guarantor_id").alias("company_id"))
+    linked = view(spark, sf_dir, "guarantees").select(F.col("guarantor_id").alias("company_id"))
     return joins.anti(view(spark, sf_dir, "entities"), linked, ["company_id"]).select("id", "name")
 
 
-# Some queries of this file take a part of a view, as their SQL says; the `_whole` ones beside them take all of it.
+# The `_whole` queries say the same as those they are named after, whose earlier forms took a part of their views.
 
 
 @query("select id, company_id from instruments i where exists (select 1 from guarantees g where g.instrument_id = i.id)")
@@ -134,11 +134,10 @@ same_sql(
 
 
 @query("""
-    select p.instrument_id, p.price_date, t.yield_date, t.yield_bps from (select instrument_id, price_date from prices where price_date >= DATE '1998-06-01') p
-    left join (select yield_date - 9500 as yield_date, yield_bps, benchmark from treasuries where benchmark = 'view') t
-      on t.yield_date = (select max(yield_date - 9500) from treasuries x where x.benchmark = 'view' and x.yield_date - 9500 <= p.price_date)""")
+    select p.instrument_id, p.price_date, t.yield_date, t.yield_bps from prices p
+    asof left join (select yield_date - 9500 as yield_date, yield_bps from treasuries where benchmark = 'view') t on p.price_date >= t.yield_date""")
 def asof_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return on_curve(spark, sf_dir, view(spark, sf_dir, "prices").where("price_date >= DATE '1998-06-01'"))
+    return on_curve(spark, sf_dir, view(spark, sf_dir, "prices"))
 
 
 @query("""
@@ -179,13 +178,13 @@ def or_join_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with b as (select distinct company_id, instrument_type from instruments where issue_date < DATE '1997-01-01' and company_id < 300),
-         a as (select distinct company_id, instrument_type from instruments where issue_date >= DATE '1997-01-01' and company_id < 300)
+    with b as (select distinct company_id, instrument_type from instruments where issue_date < DATE '1997-01-01'),
+         a as (select distinct company_id, instrument_type from instruments where issue_date >= DATE '1997-01-01')
     select coalesce(a.company_id, b.company_id) as company_id, coalesce(a.instrument_type, b.instrument_type) as instrument_type,
            case when b.company_id is null then 'added' when a.company_id is null then 'removed' else 'kept' end as status
     from a full outer join b on a.company_id = b.company_id and a.instrument_type = b.instrument_type""")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    debt = view(spark, sf_dir, "instruments").where("company_id < 300")
+    debt = view(spark, sf_dir, "instruments")
     cut = F.lit("1997-01-01").cast("date")
     return joins.changes(debt.where(F.col("issue_date") < cut), debt.where(F.col("issue_date") >= cut), ["company_id", "instrument_type"])
 
@@ -473,9 +472,9 @@ def upsert_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    select id, coalesce(case when id % 2 = 0 then outstanding end, principal) as amount, (is_active or id % 2 = 0) as flag from instruments where id % 5 = 0""")
+    select id, coalesce(case when id % 2 = 0 then outstanding end, principal) as amount, (is_active or id % 2 = 0) as flag from instruments""")
 def fill_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filled_debt(view(spark, sf_dir, "instruments").where("id % 5 = 0"))
+    return filled_debt(view(spark, sf_dir, "instruments"))
 
 
 @query("select id, coalesce(case when id % 2 = 0 then outstanding end, principal) as amount, (is_active or id % 2 = 0) as flag from instruments")

@@ -140,8 +140,9 @@ def null_safe_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouping takes nulls as equal, which the row-value IN over stand-ins for nulls does by hand."""
     rows = view(spark, sf_dir, "instruments")
     key = ["company_id", "benchmark", "instrument_type"]
-    twice = rows.groupBy(*key).agg(F.collect_list("id").alias("ids"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.select(F.explode("ids").alias("id"))
+    twice = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").alias("b")
+    met = rows.alias("a").join(twice, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key], "left_semi")
+    return met.where("company_id is not null and instrument_type is not null").select("id")
 
 
 @query("select id from instruments where outstanding not in (select value from collateral where value is not null and line = 1) and outstanding is not null")

@@ -63,3 +63,35 @@ def call_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = view(spark, sf_dir, "papers").withColumns({"doc_type": F.lit("8-K"), "section_type": F.col("kind")})
     page = api.search_documents(book(spark, sf_dir), sections, "the revolving loans", doc_type="8-K", section_type="credit_agreement", filed_after=date(1995, 1, 1), types=("credit_agreement", "indenture"), limit=100)
     return page.select("doc_id", "company_id", "filed", "relevance")
+
+
+@query("""
+    select l.instrument_id, l.line, l.collateral_type, l.value from collateral l join instruments i on i.id = l.instrument_id join companies c on c.id = i.company_id
+    where c.ticker in ('Customer#000000007', 'Customer#000000010', 'Customer#000000020', 'Customer#000000100') and i.seniority = '1-URGENT' and l.priority = 'F' and l.value >= 100000
+    order by l.value desc nulls last, l.instrument_id, l.line limit 100""")
+def call_search_collateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tickers = "Customer#000000007, Customer#000000010,Customer#000000020,,Customer#000000100"
+    screen = api.search_collateral(book(spark, sf_dir), ticker=tickers, seniority="1-URGENT", priority="F", min_value=100_000, has_valuation=True)
+    return screen.sort("-value").fields("instrument_id,line,collateral_type,value").page(100)
+
+
+@query("""
+    select id, company_id, covenant_name, threshold from covenants where covenant_name ilike '%rage n%' and threshold_type = 'maximum' and confidence_pct >= 5 and threshold between 10 and 40 and covenant_type = 'negative'
+    order by threshold desc nulls last, id limit 100""")
+def call_search_covenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    screen = api.search_covenants(book(spark, sf_dir), kind="negative", name="RAGE n", threshold_type="maximum", min_confidence=0.05, low=10, high=40)
+    return screen.sort("-threshold").fields("id,company_id,covenant_name,threshold").page(100)
+
+
+@query("""
+    select v.id, v.company_id, v.test_metric from covenants v join instruments i on i.id = v.instrument_id where i.cusip in ('000000033', '000000064', '000000099') order by v.id limit 100""")
+def call_covenants_of_bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.search_covenants(book(spark, sf_dir), cusip="000000033,000000064, 000000099").sort("id").fields("id,company_id,test_metric").page(100)
+
+
+@query("""
+    select m.instrument_id, c.ticker, m.last_price, m.ytm_bps, m.spread_bps, m.source from marks m join instruments i on i.id = m.instrument_id join companies c on c.id = i.company_id
+    where i.is_active and m.last_price is not null and m.ytm_bps between 300 and 800 and m.spread_bps <= 400 and m.source <> 'estimate' and i.seniority = '5-LOW' order by m.ytm_bps desc nulls last, m.instrument_id limit 100""")
+def call_search_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    screen = api.search_pricing(book(spark, sf_dir), view(spark, sf_dir, "marks"), min_ytm=3, max_ytm=8, max_spread=400, seniority="5-LOW", traded_only=True)
+    return screen.sort("-ytm_bps").fields("instrument_id,ticker,last_price,ytm_bps,spread_bps,source").page(100)
