@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import over, table, view
 from ..functions import sql
-from ..operators import documents, refresh
+from ..operators import consistency, documents, refresh
 from ..sources import results
 from .registry import query
 
@@ -89,3 +89,38 @@ def sql_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sql.register(spark).sql("select d.doc_id, k.pos, k.part from {docs} d, lateral keyword_windows(d.text, 'license', 20, 30) k", docs=docs)
+
+
+def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result for each instrument: a top company, the issuer below it and a guarantor, with one of ten faults or none."""
+    k = F.col("id") % 11
+    top = F.when(k == 1, '{"name": "Top Inc", "entity_type": "opco"}').otherwise('{"name": "Top Inc", "entity_type": "holdco"}')
+    owner = F.when(k == 2, "Nobody").when(k == 3, "the TOP, Inc.").otherwise("Top Inc")
+    issuer = F.when(k == 4, "Other Co").when(k == 5, "Issuer Incorporated").otherwise("Issuer, Inc.")
+    givers = F.when(k == 6, '["Giver LLC", "Stranger", "Stranger"]').when(k == 7, "[]").otherwise('["Giver LLC"]')
+    amount = F.when(k == 8, "-5").when(k == 9, "1000000000000001").when(k == 10, '0, "principal": -7').otherwise("5000")
+    text = F.concat(
+        F.lit('{"entities": ['), top, F.lit(', {"name": "Issuer, Inc.", "owners": [{"parent_name": "'), owner, F.lit('"}, {"pct": 5}]}, {"name": "Giver LLC", "parent_name": "Top Inc"}], "debt_instruments": [{"name": "N", "issuer_name": "'),
+        issuer, F.lit('", "guarantor_names": '), givers, F.lit(', "outstanding": '), amount, F.lit("}]}"),
+    )
+    return view(spark, sf_dir, "instruments").select("id", F.when(F.col("id") % 97 == 0, "{").otherwise(text).alias("text"))
+
+
+@query("""
+    select id, case id % 11 when 1 then 'no_holdco' when 2 then 'parent' when 4 then 'issuer' when 6 then 'guarantor' when 9 then 'large_amount' else 'negative_amount' end as issue,
+        case id % 11 when 1 then null when 2 then 'Issuer, Inc.' else 'N' end as subject, case id % 11 when 2 then 'Nobody' when 4 then 'Other Co' when 6 then 'Stranger' when 8 then '-5.00' when 9 then '1000000000000001.00' when 10 then '-7.00' end as named
+    from instruments where id % 97 <> 0 and id % 11 in (1, 2, 4, 6, 8, 9, 10)""")
+def result_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistency.issues(results.parsed_results(structures(spark, sf_dir), "id", "text"), "id")
+
+
+@query("""
+    with c as (select id, case when id % 97 = 0 then 'skip' when id % 11 in (1, 2, 4, 6, 8, 9, 10) then 'fail' else 'pass' end as own, case id % 3 when 0 then 'pass' when 1 then 'warn' end as a, case id % 5 when 0 then 'warn' else 'pass' end as b from instruments),
+    s as (select *, list_filter([own, a, b], lambda x: x in ('pass', 'warn', 'fail')) as l from c),
+    p as (select *, list_sum(list_transform(l, lambda x: case x when 'pass' then 100.0::double when 'warn' then 70 else 0 end)) / len(l) as score, len(list_filter(l, lambda x: x = 'warn')) as w from s)
+    select id, own, round(score, 4) as score, case when own = 'fail' then 'fail' when w > 1 or score < 80 then 'needs_review' else 'pass' end as status, cast(w + case when own = 'fail' then 1 else 0 end as int) as review from p""")
+def result_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = consistency.consistency(results.parsed_results(structures(spark, sf_dir), "id", "text"), "id")
+    a, b = F.when(F.col("id") % 3 == 0, "pass").when(F.col("id") % 3 == 1, "warn"), F.when(F.col("id") % 5 == 0, "warn").otherwise("pass")
+    rows = own.select("id", F.col("status").alias("own"), consistency.verdict([F.col("status"), a, b]).alias("v"))
+    return rows.select("id", "own", F.round("v.score", 4).alias("score"), "v.status", "v.review")
