@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import written
+
 
 def upper_median(value: Column) -> Column:
     """sorted[n // 2]: the upper of two middle values. The group's values are held together, so this is
@@ -21,6 +23,24 @@ def weighted_average(value: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(F.when(both, value * weight)), F.sum(F.when(both, weight)))
 
 
+def weighted_maturity(outstanding: Column, maturity: Column, today: Column, most: float = 999.9) -> Column:
+    """Years to maturity by amount, over the whole debt, that without a date in it: past dates count as 0, `most` years at most;
+    null without debt."""
+    years = F.greatest(F.datediff(maturity, today), F.lit(0)) / F.lit(365.0)
+    total = F.coalesce(F.sum(outstanding), F.lit(0))
+    return F.when(total > 0, F.least(F.coalesce(F.sum(outstanding * years), F.lit(0.0)) / total, F.lit(most)))
+
+
+def numbered(rows: DataFrame, *order: Column | str, name: str = "nth") -> DataFrame:
+    """Rows numbered from 1 in one order over all of them, without bringing them to one task: sorted by range and kept, numbered in
+    each range, and moved by the counts of the ranges before, of which there are as many as partitions. The order should have no ties."""
+    placed = written(rows.orderBy(*order).withColumn("ledgerline_part", F.spark_partition_id()), "numbered")
+    parts = placed.groupBy("ledgerline_part").agg(F.count(F.lit(1)).alias("n"))
+    before = parts.select("ledgerline_part", (F.sum("n").over(Window.orderBy("ledgerline_part")) - F.col("n")).alias("ledgerline_before"))
+    own = F.row_number().over(Window.partitionBy("ledgerline_part").orderBy(*order))
+    return placed.withColumn(name, own.cast("long")).join(F.broadcast(before), "ledgerline_part").withColumn(name, F.col(name) + F.col("ledgerline_before")).drop("ledgerline_part", "ledgerline_before")
+
+
 def ordered_ids(key: Column, *order: Column) -> Column:
     """Ids in the order of `order` ascending (negate for descending), ties by id."""
     return F.transform(F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], key.alias("id")))), lambda x: x["id"])

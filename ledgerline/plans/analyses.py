@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import AS_OF, table, view
 from ..functions import finance
-from ..operators import book
+from ..operators import aggregates, book
 from .registry import query
 
 TREASURY = (("3M", 5.1), ("6M", 5.0), ("1Y", 4.9), ("2Y", 4.6), ("3Y", 4.4), ("5Y", 4.2), ("7Y", 4.25), ("10Y", 4.3), ("20Y", 4.6), ("30Y", 4.5))
@@ -171,9 +171,8 @@ def run_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select id, name, row_number() over (order by case when entity_type = 'holdco' then 0 else 1 end, name, id) as nth from entities where entity_type in ('holdco', 'finco')")
 def roots_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = view(spark, sf_dir, "entities").where("entity_type in ('holdco', 'finco')").select("id", "name", "entity_type")  # tens of rows: regions and nations
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("entity_type") != "holdco", "name", "id")
-    return few.select("id", "name", F.row_number().over(order).cast("long").alias("nth"))
+    rows = view(spark, sf_dir, "entities").where("entity_type in ('holdco', 'finco')").select("id", "name", (F.col("entity_type") != "holdco").alias("later"))
+    return aggregates.numbered(rows, "later", "name", "id").drop("later")
 
 
 @query("""

@@ -731,4 +731,4 @@ def page_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.table_cells(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-from . import analyses, cascades, deeds, filings, flows, links, loads, registers, scalars, screens, searches  # noqa: E402, F401  (they register their queries)
+from . import analyses, cascades, deeds, exports, filings, flows, links, loads, registers, scalars, screens, searches  # noqa: E402, F401  (they register their queries)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import flattened
-from ..operators.screen import BadRequest
+from ..operators.screen import BadRequest, Screen
 
 MOST = 50_000
 
@@ -28,6 +28,25 @@ def bulk(df: DataFrame, keys: tuple[str, ...], limit: int, path: str, form: str
     write_csv(rows, path) if form == "csv" else rows.write.mode("overwrite").json(path)
 
 
+def export_frame(book: dict[str, DataFrame], what: str, tickers: list[str] | None = None, sector: str | None = None) -> tuple[DataFrame, tuple[str, ...]]:
+    """One of four projections and its keys: companies with their debt and metrics, bonds with their marks, financials, or covenants, of
+    the given tickers and of sectors that hold the text (companies and bonds only). `book` has the frames companies, instruments, metrics,
+    marks, financials and covenants."""
+    known = Screen(book["companies"], ("id",)).is_in("ticker", tickers).contains("sector", sector if what in ("companies", "bonds") else None).df.select(F.col("id").alias("company_id"), "ticker", "sector", "country")
+    if what == "companies":
+        debt = book["instruments"].where("is_active").groupBy("company_id").agg(F.sum("outstanding").alias("total_debt"), F.count(F.lit(1)).alias("instruments"))
+        return known.join(debt, "company_id", "left").join(book["metrics"], "company_id", "left"), ("company_id",)
+    if what == "bonds":
+        marks = book["marks"].select(F.col("instrument_id").alias("id"), "last_price", "ytm_bps", "spread_bps", "source")
+        rows = book["instruments"].where("is_active").join(known.select("company_id", "ticker"), "company_id").join(marks, "id", "left")
+        return rows.select("id", "ticker", "name", "cusip", "instrument_type", "seniority", "outstanding", "rate_bps", "maturity_date", "last_price", "ytm_bps", "spread_bps", "source"), ("id",)
+    if what == "financials":
+        return book["financials"].join(known.select("company_id", "ticker"), "company_id"), ("company_id", "fiscal_year", "fiscal_quarter")
+    if what == "covenants":
+        return book["covenants"].join(known.select("company_id", "ticker"), "company_id"), ("id",)
+    raise BadRequest("companies, bonds, financials or covenants")
+
+
 def row_tag(*columns: str) -> Column:
     """A tag of one row: the digest of its JSON with sorted keys."""
     return F.md5(F.to_json(F.struct(*sorted(columns))))
