@@ -406,7 +406,15 @@ def spread_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finance.interpolated_spread(bonds, curve).select("id", "rating", "years", "spread_bps")
 
 
-@query()
+#: clean_html in SQL: the head, then scripts and styles outside it, each by itself.
+CLEANED = r"""
+    c1 as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>', ' ', 'g'), '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g') as t from pages),
+    c2 as (select page_id, regexp_replace(regexp_replace(t, '(?i)<(?:br|/p|/div|/tr|/li|/h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') as t from c1),
+    c3 as (select page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as t from c2),
+    cleaned as (select page_id, trim(regexp_replace(regexp_replace(t, '[ \t\x{00A0}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), concat(' ', chr(10))) as t from c3)"""
+
+
+@query(f"with {CLEANED} select page_id, cast(length(t) as bigint) as n_chars, cast(len(string_split(t, chr(10))) as bigint) as n_lines from cleaned")
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = names.clean_html(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", F.length(cleaned).cast("long").alias("n_chars"), F.size(F.split(cleaned, "\n")).cast("long").alias("n_lines"))
@@ -715,12 +723,19 @@ def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") <= 300, F.length("text")).cast("long").alias("whole"), F.size(found).cast("long").alias("n_words"))
 
 
-@query()
+@query(rf"""
+    with c as (select doc_id, text, regexp_extract(substr(text, 1, 300), '(?s)^(.{{240,}}[.!?])(?:\s|$)', 1) as e from documents)
+    select doc_id, cast(case when length(text) <= 300 then length(text) when e <> '' then length(e) else 300 end as bigint) as n_chars,
+        case {" ".join(f"when regexp_matches(text, '{p}') then '{n}'" for n, p in extraction.SECTIONS)} end as section from c""")
 def text_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(extraction.cut_at_sentence(F.col("text"), 300)).cast("long").alias("n_chars"), extraction.section_type(F.col("text")).alias("section"))
 
 
-@query()
+@query(f"""
+    with {CLEANED}, m as (select page_id, string_split(concat(chr(10), 'text', chr(10), t), concat(chr(10), '## ')) as parts, t from cleaned),
+    p as (select page_id, i as pos, case when i = 1 then concat('text', chr(10), substr(parts[1], 7)) else parts[i] end as part from (select *, unnest(range(1, len(parts) + 1)) as i from m)),
+    h as (select page_id, pos, trim(string_split(part, chr(10))[1]) as heading, concat('page', chr(10), trim(part)) as chunk from p)
+    select page_id, cast(pos as int) as pos, heading, cast(floor(length(chunk) / 4) as bigint) as tokens from h where heading <> ''""")
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("# page\n## text\n"), names.clean_html(F.col("html"))).alias("md"))
     return text.markdown_chunks(pages, "page_id", "md").select("page_id", "pos", "heading", "tokens")
