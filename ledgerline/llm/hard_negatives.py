@@ -9,7 +9,8 @@ A leaf has a box and a ball around its rows; those of the nodes above follow fro
 A search has three steps. Anchors meet the blocks of their own leaf, which gives each a first threshold. Then each
 group of anchors walks down both trees at once: the inner product of two nodes lies in an interval that follows from their boxes
 and balls, and the pair is dropped, with all anchors below, if that interval holds nothing that any of them still
-looks for. What is left are pairs of leaves; blocks of those leaves are scored exactly for the anchors whose pair survived.
+looks for. Pairs of leaves that are left are tried once more for each anchor by itself, and the blocks of what then
+remains are scored exactly for those anchors.
 Two searches run: the nearest rows of the same label, then for each of them the highest rows of other labels in the
 window that its score sets. Only pairs of a group and a block travel, and the few best of each pair come back.
 """
@@ -47,6 +48,14 @@ class Tree:
             at = 2 * at + 1 + ((rows * self.lines[at]).sum(axis=1) > self.cuts[at])
         return at - (2**self.depth - 1)
 
+    def above(self, leaf: np.ndarray) -> np.ndarray:
+        """The nodes on the way from the root to each leaf, one a level."""
+        return ((np.asarray(leaf) + 2**self.depth)[:, None] >> np.arange(self.depth, 0, -1)) - 1
+
+    def along(self, rows: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """How far rows go along the lines above their leaf."""
+        return np.stack([(rows * self.lines[at]).sum(axis=1) for at in self.above(leaf).T], axis=1) if self.depth else np.zeros((len(rows), 0))
+
 
 def fit_tree(sample: np.ndarray, depth: int, dim: int) -> Tree:
     tree = Tree(depth, np.zeros((2**depth - 1, dim)), np.zeros(2**depth - 1), np.zeros((2**depth, dim)))
@@ -71,12 +80,32 @@ def fit_tree(sample: np.ndarray, depth: int, dim: int) -> Tree:
 
 @dataclass
 class Nodes:
-    """Boxes and balls of a tree's nodes, a level after the other from the root; empty nodes have lo > hi."""
+    """Boxes and balls of a tree's nodes, a level after the other from the root; empty nodes have lo > hi. Of candidates' leaves
+    also the longest row, and how far rows go along the lines above."""
 
     lo: list[np.ndarray]
     hi: list[np.ndarray]
     centre: list[np.ndarray]
     radius: list[np.ndarray]
+    tree: Tree | None = None
+    norm: np.ndarray | None = None
+    along_lo: np.ndarray | None = None
+    along_hi: np.ndarray | None = None
+
+    def reach(self, rows: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the inner products of rows with a leaf's rows from their length and their way along each line above: at its
+        most, a row of the leaf points where the other does, unless that leads out of what the leaf has along a line."""
+        size = np.linalg.norm(rows, axis=1)
+        low, high = -size * self.norm[leaf], size * self.norm[leaf]
+        for at, a, b in zip(self.tree.above(np.array([leaf]))[0], self.along_lo[leaf], self.along_hi[leaf], strict=True):
+            part = rows @ self.tree.lines[at]
+            across = np.sqrt(np.maximum(size**2 - part**2, 0))
+            for sign, out in ((1, high), (-1, low)):
+                best = np.clip(sign * part * self.norm[leaf] / np.maximum(size, 1e-12), a, b)
+                bound = part * best + sign * across * np.sqrt(np.maximum(self.norm[leaf] ** 2 - best**2, 0))
+                (np.minimum if sign > 0 else np.maximum)(out, bound, out=out)
+        slack = 1 + 1e-9 * size * self.norm[leaf]
+        return low - slack, high + slack
 
     def at(self, level: int, which: np.ndarray) -> tuple[np.ndarray, ...]:
         return tuple(x[level][which] for x in (self.lo, self.hi, self.centre, self.radius))
@@ -181,9 +210,18 @@ def walked(group: Anchors, nodes: Nodes) -> Iterator[tuple[int, np.ndarray]]:
         a, c = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (a[:0], c[:0])
     order = np.argsort(c, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(c[order])) + 1) if len(c) else []:
-        keep = np.isin(group.leaf, a[part]) & (group.leaf != c[part[0]])
+        leaf = int(c[part[0]])
+        at = np.flatnonzero(np.isin(group.leaf, a[part]) & (group.leaf != leaf))
+        # last, each anchor by itself against the leaf: a node without width
+        rows = group.rows[at].astype(float)
+        bottom, top = interval((rows, rows, rows, np.zeros(len(at))), nodes.at(-1, np.full(len(at), leaf)))
+        if nodes.tree:
+            shortest, longest = nodes.reach(rows, leaf)
+            bottom, top = np.maximum(bottom, shortest), np.minimum(top, longest)
+        keep = np.zeros(len(group.leaf), bool)
+        keep[at] = (top >= group.low[at].min(axis=1)) & (bottom <= group.high[at].max(axis=1))
         if keep.any():
-            yield int(c[part[0]]), keep
+            yield leaf, keep
 
 
 def tasks(anchors: DataFrame, nodes: Broadcast[Nodes], dim: int, kind: str, own: bool) -> DataFrame:
@@ -289,25 +327,30 @@ def placed(rows: DataFrame, tree: Broadcast[Tree], dim: int, kind: str) -> DataF
 
 
 def leaf_nodes(rows: DataFrame, tree: Broadcast[Tree], dim: int, kind: str) -> Nodes:
-    """Boxes and balls of the leaves that have rows, and of what is above them: minima and maxima by leaf and component."""
+    """Boxes and balls of the leaves that have rows, and of what is above them: minima and maxima by leaf and measure, which are the
+    components, the distance from the centre, the length, and the ways along the lines above."""
+    width = dim + 2 + tree.value.depth
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves = len(tree.value.centres)
-        lo, hi = np.full((leaves, dim + 1), np.inf), np.full((leaves, dim + 1), -np.inf)
+        lo, hi = np.full((leaves, width), np.inf), np.full((leaves, width), -np.inf)
         for batch in batches:
             leaf = batch.column("leaf").to_numpy()
             found = np.frombuffer(b"".join(batch.column("vec").to_pylist()), kind).reshape(-1, dim).astype(float)
-            found = np.column_stack([found, np.linalg.norm(found - tree.value.centres[leaf], axis=1)])  # last, the distance from the centre
+            sizes = [np.linalg.norm(x, axis=1) for x in (found - tree.value.centres[leaf], found)]
+            found = np.column_stack([found, *sizes, tree.value.along(found, leaf)])
             np.minimum.at(lo, leaf, found)
             np.maximum.at(hi, leaf, found)
         leaf, at = np.nonzero(lo <= hi)
         yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(at), pa.array(lo[leaf, at]), pa.array(hi[leaf, at])], names=["leaf", "at", "lo", "hi"])
 
     found = rows.select("leaf", "vec").mapInArrow(work, "leaf long, at long, lo double, hi double").groupBy("leaf", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow()
-    leaf, at = (found.column(c).to_numpy() for c in ("leaf", "at"))  # at most 2 ** max_depth * (dim + 1) rows
-    lo, hi = np.full((len(tree.value.centres), dim + 1), np.inf), np.full((len(tree.value.centres), dim + 1), -np.inf)
+    leaf, at = (found.column(c).to_numpy() for c in ("leaf", "at"))  # at most 2 ** max_depth * (dim + 2 + max_depth) rows
+    lo, hi = np.full((len(tree.value.centres), width), np.inf), np.full((len(tree.value.centres), width), -np.inf)
     lo[leaf, at], hi[leaf, at] = found.column("lo").to_numpy(), found.column("hi").to_numpy()
-    return Nodes.above(lo[:, :dim], hi[:, :dim], tree.value.centres, np.maximum(hi[:, dim], 0))
+    out = Nodes.above(lo[:, :dim], hi[:, :dim], tree.value.centres, np.maximum(hi[:, dim], 0))
+    out.tree, out.norm, out.along_lo, out.along_hi = tree.value, hi[:, dim + 1], lo[:, dim + 2 :], hi[:, dim + 2 :]
+    return out
 
 
 def in_parts(rows: DataFrame, by: str, size: int) -> DataFrame:

@@ -85,6 +85,29 @@ def test_hard_negatives_drops_node_pairs():
     assert sum(int(m.sum()) for m in found.values()) < 0.5 * 7 * len(own)
 
 
+def test_anchors_alone_are_bounded_along_the_lines():
+    """What a leaf can reach, by length and along the lines above it, holds all its rows and rules out far anchors."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(600, 12))
+    rows = (256 * rows / np.linalg.norm(rows, axis=1, keepdims=True)).round()
+    tree = hard_negatives.fit_tree(rows, 4, 12)
+    leaf = tree.leaf_of(rows)
+    along = tree.along(rows, leaf)
+    norm, lo, hi = np.zeros(16), np.full((16, 4), np.inf), np.full((16, 4), -np.inf)
+    np.maximum.at(norm, leaf, np.linalg.norm(rows, axis=1))
+    np.minimum.at(lo, leaf, along)
+    np.maximum.at(hi, leaf, along)
+    nodes = hard_negatives.Nodes([], [], [], [], tree, norm, lo, hi)
+    scores, ruled_out = rows @ rows.T, 0
+    for c in range(16):
+        low, high = nodes.reach(rows, c)
+        own = scores[:, leaf == c]
+        assert (own.min(axis=1) >= low).all()
+        assert (own.max(axis=1) <= high).all()
+        ruled_out += int((high < 0.98 * 65536).sum())
+    assert ruled_out > 0.6 * 16 * 600  # no copies of the row can be there
+
+
 def test_hard_negatives_of_nothing(spark):
     assert hard_negatives.hard_negatives(spark.createDataFrame([], VECTORS)).count() == 0
     assert hard_negatives.hard_negatives(spark.createDataFrame([(1, [0.5], 1), (2, [0.25], 2)], VECTORS)).count() == 0
