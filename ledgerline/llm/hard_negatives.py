@@ -275,7 +275,8 @@ def scored(work: DataFrame, blocks: DataFrame, dim: int, kind: str, most: int, s
                     if len(i):
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], to[i, k], base[i, k], cand_ids[j], scores[i, j])], schema=schema)
 
-    return work.join(blocks, "leaf").drop("leaf", "part").mapInArrow(rows, "anchor_id long, to long, base long, cand long, score long")
+    # the size that Spark guesses for packed tasks is that of their anchors: without the hint they would go through the driver
+    return work.hint("merge").join(blocks, "leaf").drop("leaf", "part").mapInArrow(rows, "anchor_id long, to long, base long, cand long, score long")
 
 
 def ranked(found: DataFrame, most: int) -> DataFrame:
@@ -288,11 +289,11 @@ def search(anchors: DataFrame, slots: DataFrame, blocks: DataFrame, nodes: Broad
 
     def with_slots(own: DataFrame) -> DataFrame:
         lists = own.groupBy("anchor_id").agg(F.collect_list(F.struct("to", "base", "low", "high")).alias("slots"))
-        return anchors.join(lists.withColumnRenamed("anchor_id", "vec_id"), "vec_id")
+        return anchors.join(lists.withColumnRenamed("anchor_id", "vec_id").hint("merge"), "vec_id")
 
     first = written(scored(tasks(with_slots(slots), nodes, dim, kind, own=True), blocks, dim, kind, most, same), "first-scores")
     least = ranked(first, most).where(F.col("rank") == most).select("anchor_id", "to", F.col("score").alias("least"))
-    narrowed = slots.join(least, ["anchor_id", "to"], "left").withColumn("low", F.greatest("low", F.coalesce("least", "low"))).drop("least")
+    narrowed = slots.join(least.hint("merge"), ["anchor_id", "to"], "left").withColumn("low", F.greatest("low", F.coalesce("least", "low"))).drop("least")
     rest = scored(tasks(with_slots(narrowed), nodes, dim, kind, own=False), blocks, dim, kind, most, same)
     return ranked(first.unionByName(rest), most)
 

@@ -108,6 +108,12 @@ def test_anchors_alone_are_bounded_along_the_lines():
     assert ruled_out > 0.6 * 16 * 600  # no copies of the row can be there
 
 
+def test_hard_negatives_send_no_tasks_to_the_driver(spark):
+    rows = [(i, [float(i % 7), float(i % 11)], i % 3) for i in range(400)]
+    found = hard_negatives.hard_negatives(spark.createDataFrame(rows, VECTORS), leaf_rows=20, anchor_rows=4)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hard_negatives_of_nothing(spark):
     assert hard_negatives.hard_negatives(spark.createDataFrame([], VECTORS)).count() == 0
     assert hard_negatives.hard_negatives(spark.createDataFrame([(1, [0.5], 1), (2, [0.25], 2)], VECTORS)).count() == 0
