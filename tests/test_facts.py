@@ -71,3 +71,23 @@ def test_company_links_fall_back_to_footnotes(spark):
     high = sum(best.get(i, 0) >= linking.SURE for i in active)
     assert report[1] == (len(active), high, sum(i in best for i in active) - high, sum(i not in best for i in active))
     assert report[None] == (1, 0, 0, 1)
+
+
+def test_numbers_of_issuers_are_no_years(spark):
+    said = "Indenture between Acme Holdings 2015, as Issuer, and the Bank. Final payment in 2019. " + "It is so agreed. " * 8
+    papers = spark.createDataFrame([(1, 10, "indenture", "Deed", said, DAY(2001, 1, 1))], PAPERS)
+    rows = [(1, i, "senior_notes", 500, DAY(1999, 1, 1), DAY(y, 5, 1), True, 5, 5, "Paper", "x", None, "Acme Holdings 2015 Inc.") for i, y in ((1, 2015), (2, 2019))]
+    debt = spark.createDataFrame(rows, DEBT)
+    assert [r.instrument_id for r in facts.company_links(debt, papers, papers, F.lit(DAY(2024, 1, 1))).collect()] == [2]
+    assert [r.instrument_id for r in facts.reverse_links(papers, debt, papers.limit(0)).collect()] == [2]
+
+
+def test_rates_of_links_stand_alone_and_two_points_are_too_many(spark):
+    notes = "The senior notes due 2036 bear 15.25% interest. " + "More. " * 20
+    papers = spark.createDataFrame([(1, 10, "indenture", "6.57% Notes due 2036", "x", DAY(2001, 1, 1))], PAPERS)
+    rows = [(1, i, "senior_notes", bps, DAY(1999, 1, 1), DAY(2036, 5, 1), True, 5, 5, "Paper", "x", None, "Zeta") for i, bps in ((1, 525), (2, 659), (3, 658))]
+    debt = spark.createDataFrame(rows, DEBT)
+    papers = papers.withColumn("content", F.lit("6.57% notes due 2036"))
+    footnotes = spark.createDataFrame([(1, 50, notes)], "company_id int, doc_id int, content string")
+    links = facts.company_links(debt, papers, footnotes, F.lit(DAY(2024, 1, 1)))
+    assert [(r.instrument_id, r.score) for r in links.collect()] == [(3, 0.78)]
