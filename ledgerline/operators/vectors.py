@@ -21,6 +21,8 @@ from .text import cosine
 
 #: Centroids at most: they go to every task.
 MOST_LISTS = 4096
+#: Rows, and queries, that meet in one block, and queries scored at once.
+BLOCK, DECK = 8192, 512
 
 
 @dataclass(frozen=True)
@@ -104,21 +106,65 @@ def search_one(spark: SparkSession, index: VectorIndex, query: list[float], k: i
     return rows.select("key", score.alias("score")).orderBy(F.col("score").desc(), "key").limit(k)
 
 
+def best_of(asked: np.ndarray, rows: np.ndarray, probed: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows that each query probes, ties by place. A product of matrices finds candidates; their scores are
+    then worked out row by row, so that equal vectors have equal scores."""
+    long = [np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (asked, rows)]
+    near = np.where(probed, (asked / long[0][:, None]) @ (rows / long[1][:, None]).T, -np.inf)
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.full(len(near), -2.0)
+    q, r = np.nonzero(probed & (near >= least[:, None] - 1e-9))
+    score = np.einsum("ij,ij->i", asked[q], rows[r]) / (long[0][q] * long[1][r])
+    order = np.lexsort((place[r], -score, q))
+    q, r, score = q[order], r[order], score[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], r[keep], score[keep]
+
+
 def search_each(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = 8, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query, key, score, rank) of the k most similar rows for each query (a table of any size), ties by key. Queries meet the rows of the
-    lists they probe; a query with an unusable vector has no rows. Each task keeps k a query before they meet."""
+    lists they probe in blocks: neighbouring lists share one, a large list is several, and so are many queries. Each block keeps k a query.
+    A query with an unusable vector has no rows."""
     spark = queries.sparkSession
     dim, shared = index.centroids.shape[1], spark.sparkContext.broadcast(index)
     most = len(index.centroids) if probes is None else probes
+    rows = index.rows(spark)
+    asked = usable(queries, key, column)
+    together = max(1, len(index.centroids) * BLOCK // max(1, rows.count()))
+    decks = max(1, ceil(asked.count() / BLOCK))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = shared.value.nearest_lists(unit_rows(batch.column("vector"), dim), most)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["query", "probe", "lists"])
-
-    asked = usable(queries, key, column)
-    kind = dict(asked.dtypes)["key"]
-    asked = asked.mapInArrow(probe, f"query {kind}, probe array<double>, lists array<int>").select("query", "probe", F.explode("lists").alias("list"))
+            near = np.sort(shared.value.nearest_lists(unit_rows(batch.column("vector"), dim), most), axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=["query", "probe", "lists"])
+
+    types = dict(asked.dtypes)["key"], dict(rows.dtypes)["key"]
+    bin_of = lambda c: F.floor(c / together).cast("int")
+    # a bin is a number of a list at most: few rows
+    parts = rows.groupBy(bin_of(F.col("list")).alias("bin")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    placed = rows.withColumn("bin", bin_of(F.col("list"))).join(F.broadcast(parts), "bin").withColumn("part", F.pmod(F.xxhash64("key"), "parts")).drop("parts")
+    placed = placed.withColumn("deck", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(decks - 1).cast("long"))))
+    asked = asked.mapInArrow(probe, f"query {types[0]}, probe array<double>, lists array<int>").withColumn("deck", F.pmod(F.xxhash64("query"), F.lit(decks)).cast("long"))
+    asked = asked.withColumn("bin", F.explode(F.array_distinct(F.transform("lists", bin_of)))).withColumn("lists", F.filter("lists", lambda x: bin_of(x) == F.col("bin")))
+    asked = asked.join(F.broadcast(parts), "bin").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+
+    def meet(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        found = []
+        if len(ours) and len(theirs):
+            vectors = np.array(theirs.column("vector").to_pylist(), float).reshape(-1, dim)
+            lists, keys = theirs.column("list").to_numpy(), theirs.column("key").to_pylist()
+            place = np.empty(len(keys), np.int64)
+            place[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
+            for start in range(0, len(ours), DECK):
+                few = ours.slice(start, DECK)
+                probed = np.zeros((len(few), len(index_lists)), bool)
+                for i, some in enumerate(few.column("lists").to_pylist()):
+                    probed[i, some] = True
+                q, r, score = best_of(np.array(few.column("probe").to_pylist(), float).reshape(-1, dim), vectors, probed[:, lists], place, k)
+                found.append(pa.Table.from_arrays([few.column("query").take(pa.array(q)), theirs.column("key").take(pa.array(r)), pa.array(score)], names=["query", "key", "score"]))
+        return pa.concat_tables(found) if found else pa.Table.from_arrays([ours.column("query").slice(0, 0), theirs.column("key").slice(0, 0), pa.array([], pa.float64())], names=["query", "key", "score"])
+
+    index_lists = range(len(index.centroids))
+    by = ["bin", "part", "deck"]
+    best = asked.groupBy(*by).cogroup(placed.groupBy(*by)).applyInArrow(meet, f"query {types[0]}, key {types[1]}, score double")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
-    pairs = asked.join(index.rows(spark), "list").select("query", "key", cosine(F.col("vector"), F.col("probe")).alias("score"))
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

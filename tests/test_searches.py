@@ -94,3 +94,15 @@ def test_recall_on_vectors_without_clusters(spark):
     queries = rows.where("vec_id % 25 = 0")
     exact, near = ({(r.query, r.key) for r in vectors.search_each(index, queries, 10, p).collect()} for p in (None, len(index.centroids) * 2 // 3))
     assert len(exact & near) / len(exact) >= 0.9
+
+
+def test_blocks_keep_ties_by_key():
+    """Copies of a vector have one score, in one block or several, and only rows of probed lists count."""
+    rows = np.random.default_rng(5).normal(size=(40, 8))
+    rows[[3, 17, 30]] = rows[9]
+    place, lists = np.arange(40)[::-1].copy(), np.arange(40) % 4
+    probed = np.array([[True] * 4, [True, False, True, False]])[:, lists]
+    q, r, score = vectors.best_of(rows[[9, 3]], rows, probed, place, 4)
+    assert list(r[q == 0][:4]) == [30, 17, 9, 3]
+    assert len(set(score[q == 0][:4])) == 1
+    assert list(r[q == 1][:1]) == [30] and all(lists[r[q == 1]] % 2 == 0)
