@@ -10,6 +10,7 @@ import html as entities
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -317,21 +318,46 @@ GREEN_FLAGS = (
 
 def is_subsidiary_list(content: Column) -> Column:
     """Long enough, no red flag near the start, two green flags or one beside the word itself."""
-    text = F.lower(content)
-    red = F.exists(F.array(*map(F.lit, RED_FLAGS)), lambda f: F.contains(F.substring(text, 1, 500), f))
-    green = F.size(F.filter(F.array(*map(F.lit, GREEN_FLAGS)), lambda f: F.contains(text, f)))
-    return F.coalesce((F.length(content) >= 200) & ~red & (green >= F.when(F.contains(text, F.lit("subsidiaries")), 1).otherwise(2)), F.lit(False))
+    def told(text: Column) -> Column:
+        red = F.exists(F.array(*map(F.lit, RED_FLAGS)), lambda f: F.contains(F.substring(text, 1, 500), f))
+        green = F.size(F.filter(F.array(*map(F.lit, GREEN_FLAGS)), lambda f: F.contains(text, f)))
+        return ~red & (green >= F.when(F.contains(text, F.lit("subsidiaries")), 1).otherwise(2))
 
+    return F.coalesce((F.length(content) >= 200) & let(F.lower(content), told), F.lit(False))
 
-def section_of(text: Column, opening: str, least: int, end: str) -> Column:
+
+#: Blanks as patterns know them.
+BLANKS = " \t\n\x0b\f\r"
+
+
+def words_of(pattern: str) -> list[str]:
+    """Words and phrases in lower case, with single blanks, that every match of a title's pattern holds, the longest first: none of a
+    group or of what may be missing."""
+    plain, before = pattern, ""
+    while plain != before:
+        plain, before = re.sub(r"\((?:\?:)?[^()]*\)[?*+]?", "|", plain), plain
+    plain = re.sub(r"\[[^\]]*\][?*+]?|\w[?*]", "|", plain).replace(r"\s+", " ")
+    parts = re.findall(r"[a-z]+(?: [a-z]+)*", re.sub(r"\\.[?*+]?", "|", plain))
+    return sorted({w for w in parts if len(w) > 2}, key=lambda w: (-len(w), w))
+
+
+def section_of(text: Column, low: Column, opening: str, least: int, end: str) -> Column:
     """struct(title, content) from the first opening; null where less than `least` characters follow. The section goes on to the
-    first end behind those, or to the end of the text. Linear in the text: nothing is tried twice."""
+    first end behind those, or to the end of the text. Linear in the text: nothing is tried twice, and the pattern only where `low`, the
+    text in lower case with single blanks, has the words of the opening."""
+
+    def body(title: Column, after: Column) -> Column:
+        head, tail = F.substring(after, 1, least), F.substring(after, least + 1, (1 << 31) - 1)
+        return F.when(F.length(head) == least, F.struct(title.alias("title"), F.btrim(F.concat(head, F.get(F.split(tail, f"(?i){end}", 2), 0))).alias("content")))
 
-    def body(after: Column) -> Column:
-        rest = F.get(F.split(F.substring(after, F.lit(least + 1), F.length(after)), f"(?i){end}", 2), 0)
-        return F.when(F.length(after) >= least, F.struct(F.regexp_extract(text, f"(?i)({opening})", 1).alias("title"), F.btrim(F.concat(F.substring(after, 1, least), rest)).alias("content")))
+    def cut(parts: Column) -> Column:
+        before, after = F.get(parts, 0), F.get(parts, 1)
+        size = F.octet_length(text) - F.octet_length(before) - F.octet_length(after)
+        title = F.substring(text.cast("binary"), F.octet_length(before) + 1, size).cast("string")
+        return F.when(after.isNotNull(), let(F.ltrim(after, F.lit(BLANKS)), lambda rest: body(title, rest)))
 
-    return let(F.regexp_replace(F.get(F.split(text, f"(?i){opening}", 2), 1), r"^\s+", ""), body)
+    held = reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in words_of(opening)], F.lit(True))
+    return F.when(held, let(F.split(text, f"(?i){opening}", 2), cut))
 
 
 def filing_sections(docs: DataFrame, key: str, form: str, text: str, most: int | None = None, kinds: tuple[Section, ...] = SECTIONS) -> DataFrame:
@@ -340,10 +366,11 @@ def filing_sections(docs: DataFrame, key: str, form: str, text: str, most: int |
     a null text has no sections."""
 
     def found(s: Section) -> Column:
-        hit = F.when(F.col(form).isin(*s.forms), F.coalesce(*[section_of(F.col(text), t, s.least, end) for t, end in s.openings()]))
-        return F.struct(F.lit(s.kind).alias("section_type"), hit["title"].alias("section_title"), hit["content"].alias("content"))
+        hit = F.when(F.col("form").isin(*s.forms), F.coalesce(*[section_of(F.col("text"), F.col("low"), t, s.least, end) for t, end in s.openings()]))
+        return let(hit, lambda h: F.when(h.isNotNull(), F.struct(F.lit(s.kind).alias("section_type"), h["title"].alias("section_title"), h["content"].alias("content"))))
 
-    rows = docs.select(key, F.explode(F.array(*map(found, kinds))).alias("s")).select(key, "s.*").where("content is not null")
+    read = docs.select(key, F.col(form).alias("form"), F.col(text).alias("text")).select("*", F.regexp_replace(F.lower("text"), r"\s\s+|[\t\n\x0B\f\r]", " ").alias("low"))
+    rows = read.select(key, F.explode(F.array_compact(F.array(*map(found, kinds)))).alias("s")).select(key, "s.*")
     fine = F.when(F.col("section_type") == "exhibit_21", is_subsidiary_list(F.col("content"))).when(F.col("section_type") == "exhibit_22", F.length("content") > 200).otherwise(True)
     whole = F.col("content") if most is None else F.when(F.length("content") > most, F.concat(F.substring("content", 1, most), F.lit("\n\n[TRUNCATED]"))).otherwise(F.col("content"))
     head = F.when(F.length("section_title") > 250, F.concat(F.substring("section_title", 1, 250), F.lit("..."))).otherwise(F.col("section_title"))

@@ -123,3 +123,13 @@ def test_stated_figures(spark):
     statements = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {(r.id, r.field): r.verdict for r in filings.checked_figures(stored, statements, ["id"], "text").collect()}
     assert got == {(0, "revenue"): "match", (1, "revenue"): "scale_error", (2, "total_debt"): "mismatch", (5, "revenue"): "not_stated", (5, "total_debt"): "not_stated", (6, "total_debt"): "match", (9, "revenue"): "no_source"}
+
+
+def test_openings_are_tried_only_where_their_words_are(spark):
+    assert filings.words_of(filings.title("debt and [credit] facilities")) == ["facilities", "debt and"]
+    assert filings.words_of(r"indenture\s+(?:dated|by\s+and\s+(?:between|among))") == ["indenture"]
+    rows = [(i, f, f"x{gap}{t}  " + "word " * 1100 + "Note 9: ends") for i, (f, t, gap) in enumerate((f, t, g) for g in ("\n", " \t ") for f, t in (("8-K", f"CREDIT{g}{g}Agreement"), ("10-Q", f"debt\x0b{g}COVENANTS"), ("10-Q", f"Note 3.{g}Long{g}Term{g}Debt"), ("10-K", f"Subsidiary{g}Guarantor")))]
+    found = filings.filing_sections(spark.createDataFrame(rows, "id int, form string, body string"), "id", "form", "body").collect()
+    assert {(r.id, r.section_type, r.section_title) for r in found} == {
+        (i, kind, body[1 + len(g) :].split("  word")[0]) for (i, _, body), kind, g in zip(rows, ("credit_agreement", "covenants", "debt_footnote", "guarantor_list") * 2, ["\n"] * 4 + [" \t "] * 4)
+    }
