@@ -21,18 +21,24 @@ def read_field(v: Column, names: tuple[str, ...], kind: str) -> Column:
 
 def parsed_results(df: DataFrame, key: str, json: str) -> DataFrame:
     """(key, result, fault): the text as VARIANT; `fault` says why a row has no lists: empty, not_json or not_object."""
-    v = F.try_parse_json(json)
-    kind = F.schema_of_variant(v)
-    fault = F.when(F.col(json).isNull() | (F.trim(json) == ""), "empty").when(v.isNull(), "not_json").when(~kind.startswith("OBJECT"), "not_object")
-    return df.select(key, v.alias("result"), fault.alias("fault"))
+    text, v = F.col("text"), F.col("result")
+    # a text is parsed in a step of its own, once for all that is read of it
+    read = df.select(key, F.col(json).alias("text")).select(key, "text", F.explode(F.array(F.try_parse_json("text"))).alias("result"))
+    fault = F.when(text.isNull() | (F.trim(text) == ""), "empty").when(v.isNull(), "not_json").when(~F.ltrim(text, F.lit(" \t\r\n")).startswith("{"), "not_object")
+    return read.select(key, "result", fault.alias("fault"))
+
+
+def items(what: str, fields: dict[str, tuple[tuple[str, ...], str]]) -> Column:
+    """array<struct<pos, fields>> of a list of the row's `result`. A list that is missing or no list has no items; an item that is no
+    object, or without a name, is left out; a field that is missing or of a wrong type is null. Rows with a fault have an empty list."""
+    there = F.when(F.col("fault").isNull(), read_field(F.col("result"), LISTS[what], "array<variant>"))
+    item = lambda v, i: F.struct(i.alias("pos"), *[read_field(v, names, kind).alias(c) for c, (names, kind) in fields.items()])
+    return F.filter(F.transform(F.coalesce(there, F.array().cast("array<variant>")), item), lambda x: x["name"].isNotNull())
 
 
 def listed(results: DataFrame, key: str, what: str, fields: dict[str, tuple[tuple[str, ...], str]]) -> DataFrame:
-    """(key, pos, fields): a row for each item of a list. A list that is missing or no list has no items; an item that is no object, or
-    without a name, is left out; a field that is missing or of a wrong type is null."""
-    items = read_field(F.col("result"), LISTS[what], "array<variant>")
-    rows = results.where("fault is null").select(key, F.posexplode(items).alias("pos", "item"))
-    return rows.select(key, "pos", *[read_field(F.col("item"), names, kind).alias(c) for c, (names, kind) in fields.items()]).where("name is not null")
+    """(key, pos, fields): a row for each item of a list, as in `items`."""
+    return results.select(key, F.explode(items(what, fields)).alias("x")).select(key, "x.*")
 
 
 def entities(results: DataFrame, key: str) -> DataFrame:
@@ -44,8 +50,9 @@ def instruments(results: DataFrame, key: str) -> DataFrame:
 
 
 def load_summary(results: DataFrame, key: str) -> DataFrame:
-    """(key, status, entities, instruments): loaded where anything was read, else the fault, else nothing_found."""
-    counts = [rows.groupBy(key).agg(F.count(F.lit(1)).alias(n)) for n, rows in (("entities", entities(results, key)), ("instruments", instruments(results, key)))]
-    rows = results.select(key, "fault").join(counts[0], key, "left").join(counts[1], key, "left").na.fill(0, ["entities", "instruments"])
+    """(key, status, entities, instruments) of each row: loaded where anything was read, else the fault, else nothing_found."""
+    # a count of names needs no other field
+    named = lambda what, fields: F.size(items(what, {"name": fields["name"]})).cast("long")
+    rows = results.select(key, "fault", named("entities", ENTITY).alias("entities"), named("instruments", INSTRUMENT).alias("instruments"))
     status = F.coalesce("fault", F.when(F.col("entities") + F.col("instruments") > 0, "loaded").otherwise("nothing_found"))
     return rows.select(key, status.alias("status"), "entities", "instruments")

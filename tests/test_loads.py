@@ -62,3 +62,15 @@ def test_functions_in_sql(spark):
     assert {(r.doc, r.pos, r.parent_pos) for r in tree.collect()} == {(r.doc, r.pos, r.parent_pos) for r in graph.hierarchy_from_indents(lines).collect()}
     found = spark.sql("select k.* from values ('a note, a Note and notes'), (null) t(x), lateral keyword_windows(x, 'note', 2, 3) k").collect()
     assert [(r.pos, r.part) for r in found] == [(0, "a note, a"), (1, " Note an")]
+
+
+def test_results_are_read_once_and_looked_up_in_their_row(spark):
+    from ledgerline.operators import consistency
+
+    good = '{"entities": [{"name": "Top, Inc.", "entity_type": "holdco"}], "debt": [{"name": "N", "issuer": "the TOP  Incorporated", "amount": 3}]}'
+    read = results.parsed_results(spark.createDataFrame([(1, good), (1, good.replace("TOP", "Other")), (None, good), (2, "{")], "id int, text string"), "id", "text")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (consistency.consistency(read, "id"), consistency.issues(read, "id"), results.load_summary(read, "id"))]
+    assert [(p.lower().count("parsejson"), "Join" in p, "Aggregate" in p) for p in plans] == [(1, False, False)] * 3
+    assert sorted((r.id or 0, r.status, r.n) for r in consistency.consistency(read, "id").collect()) == [(0, "pass", 0), (1, "fail", 1), (1, "pass", 0), (2, "skip", 0)]
+    assert [(r.id, r.issue, r.subject, r.named) for r in consistency.issues(read, "id").collect()] == [(1, "issuer", "N", "the Other  Incorporated")]
+    assert sorted((r.id or 0, r.status, r.entities, r.instruments) for r in results.load_summary(read, "id").collect()) == [(0, "loaded", 1, 1), (1, "loaded", 1, 1), (1, "loaded", 1, 1), (2, "not_json", 0, 0)]
