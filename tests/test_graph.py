@@ -91,3 +91,23 @@ def test_defaults_spread(spark):
     assert {(r.id, r.reached, r.steps) for r in defaults.default_reach(links, debt).collect()} == {(2, 1, 1), (2, 3, 2), (2, 6, 3), (1, 3, 1), (1, 6, 2), (3, 1, 1), (3, 6, 1)}
     assert {r.id: (r.n, r.amount, r.steps) for r in defaults.default_exposure(links, debt).collect()} == {1: (2, 5, 2), 2: (3, 15, 3), 3: (2, 10, 1), 5: (0, 0, 0), 6: (0, 0, 0), 7: (0, 0, 0)}
     assert defaults.default_reach(links.limit(0), debt).count() == 0
+
+
+def test_only_linked_or_large_companies_take_the_closure(spark, monkeypatch):
+    debt = spark.createDataFrame([(i, i // 10, 10 * i, i % 9 != 4) for i in range(60)] + [(99, None, 5, True)], "id int, company_id int, outstanding long, is_active boolean")
+    columns = "source_id int, target_id int, relationship string, threshold long, is_bilateral boolean"
+    near = [(i, i + 1 if i % 10 < 9 and i % 3 else None, "cross_default", 200 if i % 2 else None, i % 5 == 0) for i in range(60)]
+    links = spark.createDataFrame([*near, (15, 27, "cross_acceleration", None, False), (99, 32, "cross_default", None, False)], columns)
+    taken, closure = [], graph.closure
+
+    def seen(edges):
+        taken.append({r.src for r in edges.collect()} | {r.dst for r in edges.collect()})
+        return closure(edges)
+
+    monkeypatch.setattr(defaults, "closure", seen)
+    got = {(r.id, r.reached): r.steps for r in defaults.default_reach(links, debt).collect()}
+    assert {int(n[2:]) // 10 for n in taken[0] if n.startswith("i:")} == {1, 2, 3, 9}  # those of the two links between companies
+    monkeypatch.setattr(defaults, "ROW", 0)
+    assert got == {(r.id, r.reached): r.steps for r in defaults.default_reach(links, debt).collect()}
+    edges = [(r.src, r.dst, r.weight) for r in defaults.default_edges(links, debt).collect()]
+    assert got == {(int(a[2:]), int(b[2:])): n for (a, b), n in ways(edges).items() if a[0] == b[0] == "i"}
