@@ -106,3 +106,21 @@ def test_blocks_keep_ties_by_key():
     assert list(r[q == 0][:4]) == [30, 17, 9, 3]
     assert len(set(score[q == 0][:4])) == 1
     assert list(r[q == 1][:1]) == [30] and all(lists[r[q == 1]] % 2 == 0)
+
+
+def test_an_index_is_built_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(term_index, "PART_WORDS", 7)
+    docs = spark.createDataFrame([(str(i % 50), f"bond {'issuer ' * (i % 4)}note") for i in range(60)] + [("the", "of the"), ("none", None)], "id string, body string").repartition(3)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+    docs = docs.localCheckpoint()
+    before = stages().size()
+    index = term_index.build_index(docs, "id", "body", folders=5)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    after = stages()
+    assert sum(after.apply(i).shuffleWriteBytes() for i in range(after.size() - before)) == 0
+    assert index.documents(spark) == 50
+    # rows of one key are parts of one document
+    want = {str(k): sorted([p for i in range(k, 60, 50) for p in range(1, 1 + i % 4)]) for k in range(50)}
+    got = {r.key: (r.tf, r.positions, r.words) for r in index.whole_postings(spark, ["issuer"]).collect()}
+    assert got == {k: (len(p), p, max(2 + i % 4 for i in range(int(k), 60, 50))) for k, p in want.items() if p}
