@@ -52,8 +52,8 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
     folder = run_dir(spark, "tokens")
     path = public_tokenizers.path("byte_bpe_50k.json")
-    # workers serve all stages: this one leaves no remembered pieces in them
-    written(token_store.write_tokens(docs, folder, path, room=200_000, keep=False), "token-manifest")
+    # workers serve all stages beside a JVM that others have filled: this one remembers little and leaves nothing in them
+    written(token_store.write_tokens(docs, folder, path, room=60_000, keep=False, roll_bytes=16 << 20, segment_ids=1 << 19), "token-manifest")
     return token_store.token_report(spark, folder)
 
 

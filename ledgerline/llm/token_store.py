@@ -194,15 +194,17 @@ def unpacked(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.nda
         yield [None if gone else d for d, gone in zip(numbers, nulls, strict=True)], lengths, ids.astype(np.uint32)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, room: int = 1_200_000, keep: bool = True, roll_bytes: int = 64 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, room: int = 1_200_000, keep: bool = True, roll_bytes: int = 64 << 20, segment_ids: int | None = None) -> DataFrame:
     """Write the files; a lazy manifest (file, docs, ids, bytes), whose evaluation writes them.
 
     A null text is empty: its document holds the end id alone. A null doc_id sorts first and stays
     null; repeated ids are written each, in the order of their texts' hashes; other columns are not
-    read; an empty table writes no file. `room` bounds the pieces that a worker remembers; without
-    `keep` it lets them and the tokenizer go behind each task, for less memory and more work.
+    read; an empty table writes no file. `room` bounds the pieces that a worker remembers and `segment_ids`
+    the ids that it codes together; without `keep` it takes texts in smaller slices and lets pieces and
+    tokenizer go behind each task, for less memory and more work.
     """
     make_dir(folder)
+    segment_ids = segment_ids or SEGMENT_IDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
@@ -228,13 +230,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
-            for piece in slices(batch, limit=(4 if keep else 2) << 20):
+            for piece in slices(batch, limit=(4 if keep else 1) << 20):
                 coded = coder.encode(piece.column("text").to_pylist())
                 held.append((*with_ends(*coded, end_id), piece.column("doc_id").to_pylist()))
-                if sum(len(h[0]) for h in held) >= SEGMENT_IDS:
+                if sum(len(h[0]) for h in held) >= segment_ids:
                     flush()
                 if count and sum(map(len, parts)) >= roll_bytes:
                     yield rolled()
+            batch = piece = coded = None  # nothing of it stays while the next one comes
         if held:
             flush()
         if count:

@@ -682,3 +682,12 @@ def test_token_counts(spark, corpus):
     again = sorted((r.doc_id or 0, r.n_pretokens) for r in token_counts.token_counts(table(spark, rows), path).collect())
     assert again == [(0, 2), (1, 2), (1, 200_000)]
     assert token_counts.token_counts(table(spark, rows).limit(0), path).count() == 0
+
+
+def test_segments_of_token_files_are_bounded(spark):
+    folder = run_dir(spark, "tokens")
+    rows = [(i, f"{i} " + "some words of a text " * 5000, "s") for i in range(40)]
+    token_store.write_tokens(table(spark, rows).coalesce(1), folder, public.path("byte_bpe_50k.json"), keep=False, segment_ids=1).collect()
+    segments = [docs for r in spark.read.format("binaryFile").load(folder).collect() for docs, _, _ in token_store.unpacked(bytes(r.content))]
+    assert sum(map(len, segments)) == 40 and max(map(len, segments)) <= 10  # of 105,000 bytes a text, a slice of 1 MB at most
+    assert token_store.token_report(spark, folder).count() == 40
