@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import graph
 
+#: Nodes of a tree that are Python objects at once.
+PIECE = 1 << 14
+
 #: What an instrument shows in its company's document, by the column it comes from.
 SHOWN = {
     "id": "id", "name": "name", "instrument_type": "type", "seniority": "seniority", "issuer": "issuer", "principal": "principal", "outstanding": "outstanding",
@@ -39,23 +48,43 @@ def debt_documents(companies: DataFrame, instruments: DataFrame, entities: DataF
     return whole.select("company_id", F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"instruments":'), listed, F.lit("}")).alias("document"))
 
 
-def nested(rows: list[dict], levels: int | None) -> str:
-    """One tree's JSON from its nodes (id, parent_id, body, own), from the leaves up, without recursion: bodies get their children, by id, and,
-    where there are sums, the sum over the node and all below."""
-    below: dict[str | None, list[dict]] = {}
-    for r in sorted(rows, key=lambda r: r["id"]):
-        below.setdefault(r["parent_id"], []).append(r)
-    order, depth = [(below[None][0], 0)], 0
-    for r, depth in order:  # grows while it is read: parents come before children
-        if levels is None or depth < levels:
-            order += [(x, depth + 1) for x in below.get(r["id"], [])]
-    done: dict[str, tuple[str, list]] = {}
-    for r, depth in reversed(order):
-        kids = [done.pop(x["id"]) for x in below.get(r["id"], [])] if levels is None or depth < levels else []
-        sums = [sum(v) for v in zip(r["own"], *(k[1] for k in kids), strict=True)]
-        extra = "".join(f',"{n}":{v}' for n, v in zip(r["names"], sums, strict=True))
-        done[r["id"]] = f'{r["body"][:-1]}{extra},"children":[{",".join(k[0] for k in kids)}]}}', sums
-    return done[order[0][0]["id"]][0]
+def nested(ids: pa.Array, parents: pa.Array, bodies: pa.Array, own: np.ndarray, names: tuple[str, ...], levels: int | None) -> str:
+    """One tree's JSON from its nodes: parents before children, children by id, and, where there are sums (a column of `own` each), the sum over
+    the node and all below. Nodes are numbers here and take their places level by level, so a tree costs its text and a few numbers a node."""
+    up = pc.fill_null(pc.index_in(parents, ids), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    by_parent = pc.sort_indices(pa.table({"up": up, "id": ids}), [("up", "ascending"), ("id", "ascending")]).to_numpy().astype(np.int64)
+    starts = np.searchsorted(up[by_parent], np.arange(len(up) + 1))
+    root = int(pc.index(pc.is_null(parents), True).as_py())
+    depth, rows = np.zeros(len(up), np.int64), [np.array([root])]
+    while len(rows[-1]) and (levels is None or len(rows) <= levels):
+        above = rows[-1]
+        sizes = starts[above + 1] - starts[above]
+        below = by_parent[np.repeat(starts[above] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        depth[below] = len(rows)
+        rows.append(below)
+    size, sums = np.ones(len(up), np.int64), own.copy()
+    for row in rows[:0:-1]:
+        np.add.at(size, up[row], size[row])
+        np.add.at(sums, up[row], sums[row])
+    place = np.zeros(len(up), np.int64)
+    for row in rows[1:]:
+        before = np.cumsum(size[row]) - size[row]
+        first = np.flatnonzero(np.diff(up[row], prepend=-1))
+        place[row] = place[up[row]] + 1 + before - np.repeat(before[first], np.diff(first, append=len(row)))
+    kept = np.concatenate(rows)
+    order = np.empty(len(kept), np.int64)
+    order[place[kept]] = kept
+    deep = np.append(depth[order], 0)
+    closed = deep[:-1] - deep[1:] + 1
+    out = io.StringIO()
+    for i in range(0, len(order), PIECE):
+        part = order[i : i + PIECE]
+        for body, values, shut in zip(bodies.take(pa.array(part)).to_pylist(), sums[part].tolist(), closed[i : i + PIECE].tolist(), strict=True):
+            extra = "".join(f',"subtree_{n}":{v}' for n, v in zip(names, values, strict=True))
+            out.write(f'{body[:-1]}{extra},"children":[{"]}" * shut}')
+            if shut:
+                out.write(",")
+    return out.getvalue()[:-1]
 
 
 def tree_documents(nodes: DataFrame, fields: list[str], levels: int | None = None, sums: tuple[str, ...] = ()) -> DataFrame:
@@ -65,12 +94,19 @@ def tree_documents(nodes: DataFrame, fields: list[str], levels: int | None = Non
     document does."""
     body = F.to_json(F.struct("id", *[f for f in fields if f != "id"]))
     own = F.array(*[F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in sums]).cast("array<bigint>")
-    names = F.array(*[F.lit(f"subtree_{c}") for c in sums]).cast("array<string>")
-    rows = nodes.select(F.col("id").cast("string").alias("id"), F.col("parent_id").cast("string").alias("parent_id"), body.alias("body"), own.alias("own"), names.alias("names"), F.col("id").alias("key"))
+    rows = nodes.select(F.col("id").cast("string").alias("id"), F.col("parent_id").cast("string").alias("parent_id"), body.alias("body"), own.alias("own"), F.col("id").alias("key"))
 
-    @F.pandas_udf("string")
-    def document(trees: pd.Series) -> pd.Series:
-        return trees.map(lambda tree: nested(list(tree), levels))
+    def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tree = batch.column("tree")[i].values
+                ids, parents, bodies, values = (tree.field(c) for c in ("id", "parent_id", "body", "own"))
+                table = values.flatten().to_numpy(zero_copy_only=False).reshape(len(tree), len(sums))
+                # sums that whole numbers of 64 bits might not hold are Python's
+                table = table.astype(object if np.abs(table.astype(float)).sum() > 2.0**62 else np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("top").slice(i, 1), pa.array([nested(ids, parents, bodies, table, sums, levels)], pa.string())], ["id", "document"])
+            tree = ids = parents = bodies = values = batch = None  # nothing of it stays while the next ones come
 
-    grouped = rows.join(graph.tops(nodes).withColumnRenamed("id", "key"), "key").groupBy("top").agg(F.collect_list(F.struct("id", "parent_id", "body", "own", "names")).alias("tree"))
-    return grouped.select(F.col("top").alias("id"), document("tree").alias("document"))
+    grouped = rows.join(graph.tops(nodes).withColumnRenamed("id", "key"), "key").groupBy("top").agg(F.collect_list(F.struct("id", "parent_id", "body", "own")).alias("tree"))
+    top = grouped.schema["top"].dataType
+    return grouped.mapInArrow(document, T.StructType([T.StructField("id", top), T.StructField("document", T.StringType())]))

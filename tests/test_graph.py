@@ -1,7 +1,10 @@
 """Closures, tops, trees and sums of any depth: a chain of 200 levels, rings, several ways, unknown parents."""
 
 import json
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +84,30 @@ def test_trees_of_any_depth(spark, nodes):
     assert (tree["subtree_v"], tree["children"][7]["subtree_v"]) == (1 + sum(range(30)) + 5, 12)
 
 
+def test_a_wide_tree_is_nested_in_little_memory(monkeypatch):
+    n = 60_000
+    ids = pa.array([f"n{i}" for i in range(n)])
+    parents = pa.array([None] + [f"n{(i - 1) // 9}" for i in range(1, n)])
+    bodies = pa.array([f'{{"id":"n{i}"}}' for i in range(n)])
+    own = np.array([[2**61]] * n, object)
+    tracemalloc.start()
+    monkeypatch.setattr(documents, "PIECE", 1000)
+    text = documents.nested(ids, parents, bodies, own[:, :0].astype("int64"), (), None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 * n
+    monkeypatch.setattr(documents, "PIECE", 7)
+    tree = json.loads(documents.nested(ids, parents, bodies, own, ("v",), None))
+    todo, seen = [tree], 0
+    assert tree["subtree_v"] == n * 2**61
+    while todo:
+        at, seen = todo.pop(), seen + 1
+        below = sorted(f"n{k}" for k in range(9 * int(at["id"][1:]) + 1, 9 * int(at["id"][1:]) + 10) if k < n)
+        assert [k["id"] for k in at["children"]] == below
+        todo += at["children"]
+    assert seen == n == text.count('"children"')
+
+
 def test_defaults_spread(spark):
     debt = spark.createDataFrame([(1, 1, 10, True), (2, 1, 50, True), (3, 1, 5, True), (4, 1, 99, False), (5, 2, 70, True), (6, 1, None, True), (7, None, 80, True)], "id int, company_id int, outstanding long, is_active boolean")
     columns = "source_id int, target_id int, relationship string, threshold long, is_bilateral boolean"
