@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def merged(old: DataFrame, new: DataFrame, on: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """New rows replace old ones of their key; of new rows with one key the last by `order` counts."""
-    if order:
-        w = Window.partitionBy(*on).orderBy(*[F.col(c).desc() for c in order])
-        new = new.withColumn("ledgerline_n", F.row_number().over(w)).where("ledgerline_n = 1").drop("ledgerline_n")
-    else:
-        new = new.dropDuplicates(list(on))
-    return old.join(new.select(*on), list(on), "left_anti").unionByName(new)
+    """New rows replace old ones of their key; of new rows with one key the last by `order` counts. Keys with a null replace nothing."""
+    key = [F.col(c) for c in on]
+    tagged = old.withColumn("ledgerline_new", F.lit(0)).unionByName(new.withColumn("ledgerline_new", F.lit(1)))
+    w = Window.partitionBy(*on).orderBy(F.col("ledgerline_new").desc(), *[F.col(c).desc() for c in order])
+    # old and new rows are sorted together once: a task holds neither of them in a table by key
+    ranked = tagged.withColumns({"ledgerline_n": F.row_number().over(w), "ledgerline_met": F.first("ledgerline_new").over(w)})
+    kept = F.when(F.col("ledgerline_new") == 1, F.col("ledgerline_n") == 1).otherwise((F.col("ledgerline_met") == 0) | reduce(or_, [c.isNull() for c in key]))
+    return ranked.where(kept).select(*on, *[c for c in old.columns if c not in on])
 
 
 def filled(old: DataFrame, new: DataFrame, on: Sequence[str], flags: Sequence[str] = ()) -> DataFrame:

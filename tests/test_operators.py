@@ -75,6 +75,19 @@ def test_writes_are_idempotent(spark, tmp_path):
     assert (got[0].on, got[1].on) == (False, True) and '"why":"matured"' in got[0].j
 
 
+def test_a_merge_holds_no_table_by_key(spark):
+    columns = "v string, k int, j int, at int"
+    old = spark.createDataFrame([("a", 1, 1, 0), ("a", 1, 1, 0), ("b", 2, 1, 9), ("c", None, 1, 0), ("d", 3, None, 0), ("b", 2, 1, 8)], columns)
+    new = spark.createDataFrame([("x", 2, 1, 1), ("y", 2, 1, 3), ("z", None, 1, 1), ("z", None, 1, 0), ("w", 4, 4, None)], columns)
+    got = upsert.merged(old, new, ["k", "j"], ["at"])
+    assert got.columns == ["k", "j", "v", "at"]
+    want = [(1, 1, "a", 0), (1, 1, "a", 0), (None, 1, "c", 0), (3, None, "d", 0), (2, 1, "y", 3), (None, 1, "z", 1), (4, 4, "w", None)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert upsert.merged(old, new, ["k", "j"]).count() == 7
+    plan = upsert.merged(old, new, ["k", "j"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
 @settings(max_examples=20, deadline=None)
 @given(base=st.text(alphabet="0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", min_size=8, max_size=8))
 def test_check_digits_round_trip(spark, base):
