@@ -91,3 +91,14 @@ def test_rates_of_links_stand_alone_and_two_points_are_too_many(spark):
     footnotes = spark.createDataFrame([(1, 50, notes)], "company_id int, doc_id int, content string")
     links = facts.company_links(debt, papers, footnotes, F.lit(DAY(2024, 1, 1)))
     assert [(r.instrument_id, r.score) for r in links.collect()] == [(3, 0.78)]
+
+
+def test_bond_links_are_worked_out_once(spark, monkeypatch):
+    kept, written = [], facts.written
+    monkeypatch.setattr(facts, "written", lambda df, name: kept.append(name) or written(df, name))
+    debt = spark.createDataFrame([(1, 1, "senior_notes", 525, True)], "id int, company_id int, instrument_type string, rate_bps int, is_active boolean").selectExpr(
+        "*", "date'2020-01-01' as issue_date", "date'2030-01-01' as maturity_date", "cast(null as bigint) as outstanding", "cast(null as bigint) as principal", "'x' as name", "'037833EQ9' as cusip", "cast(null as string) as isin", "'Zeta Corp' as issuer")
+    papers = spark.createDataFrame([(7, 1, "indenture", "Deed", "our 5.25% notes due 2030 and more"), (8, 1, "indenture", "Deed", "none")], "doc_id int, company_id int, kind string, title string, content string").selectExpr("*", "date'2024-01-01' as filed")
+    links = facts.company_links(debt, papers, papers, F.expr("date'2024-01-01'"))
+    assert kept == ["bond-links"]
+    assert [(r.instrument_id, r.doc_id, r.score, r.source) for r in links.collect()] == [(1, 7, 0.8, "indenture")]
