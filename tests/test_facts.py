@@ -102,3 +102,25 @@ def test_bond_links_are_worked_out_once(spark, monkeypatch):
     links = facts.company_links(debt, papers, papers, F.expr("date'2024-01-01'"))
     assert kept == ["bond-links"]
     assert [(r.instrument_id, r.doc_id, r.score, r.source) for r in links.collect()] == [(1, 7, 0.8, "indenture")]
+
+
+def test_few_facts_are_moved_and_near_days_meet_once(spark):
+    papers, debt = book(spark)
+    sizes = [(r.instrument_id, len(r.facts)) for r in facts.instrument_facts(debt).collect()]
+    assert max(n for _, n in sizes) <= 7  # one of each kind, and the notes of its name
+    start = DAY(2020, 1, 1)
+    days = [start + datetime.timedelta(k) for k in range(70)]
+    papers = spark.createDataFrame([(1, i, "indenture", "Deed", "Issuer: Acme Widgets, dated as of " + f"{d:%B} {d.day}, {d.year}", d) for i, d in enumerate(days)], PAPERS)
+    debt = spark.createDataFrame([(1, 1000 + i, "notes", None, d, None, True, None, None, None, None, None, "Acme Widgets" if i % 2 else "Zeta") for i, d in enumerate(days)], DEBT)
+    found = facts.reverse_links(papers, debt, papers.limit(0))
+    want = {}
+    for i in range(70):
+        for k in range(70):
+            if abs(i - k) <= facts.NEAR_DAYS:
+                issuer = (0.80 if i == k else 0.70) if k % 2 else 0
+                want[i, 1000 + k] = max(issuer, 0.70 if i == k else 0.55), "issuer_issue_date" if issuer else "reverse_match"
+    assert {(r.doc_id, r.instrument_id): (r.score, r.method) for r in found.collect()} == want
+    assert max(r.n for r in facts.document_facts(papers, facts.WHOLE).selectExpr("size(facts) as n").collect()) <= 6
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan  # below which the texts would lie
+    assert plan.count("([0-9A-Z]{9})") == 1  # texts are read once
