@@ -124,3 +124,14 @@ def test_few_facts_are_moved_and_near_days_meet_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan  # below which the texts would lie
     assert plan.count("([0-9A-Z]{9})") == 1  # texts are read once
+
+
+def test_the_query_reads_whole_texts(spark, monkeypatch):
+    from ledgerline.plans import deeds
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, deeds.reverse_links(spark, sf).collect()))
+    plain = deeds.deeds
+    monkeypatch.setattr(deeds, "deeds", lambda s, d: plain(s, d).withColumn("content", F.concat(F.repeat(F.lit("So it is. "), 6_000), "content")))
+    assert sorted(map(tuple, deeds.reverse_links(spark, sf).collect())) == want
+    assert len(want) > 100
