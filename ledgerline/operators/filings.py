@@ -1,18 +1,18 @@
 """Filings as they come: inline XBRL, lists of subsidiaries, sections, and figures checked against their statement.
 
-Text work is column expressions. Two things are not, and run in Arrow batches, row by row: tags that nest (inline
-facts) and the stack of open parents of an indented list.
+Text work is column expressions. Three things are not, and run in Arrow batches, row by row: tags that nest (inline
+facts), the stack of open parents of an indented list, and sections, which are cut at places in a text's bytes.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -327,7 +327,7 @@ def is_subsidiary_list(content: Column) -> Column:
 
 
 #: Blanks as patterns know them.
-BLANKS = " \t\n\x0b\f\r"
+BLANKS = b" \t\n\x0b\f\r"
 
 
 def words_of(pattern: str) -> list[str]:
@@ -341,40 +341,76 @@ def words_of(pattern: str) -> list[str]:
     return sorted({w for w in parts if len(w) > 2}, key=lambda w: (-len(w), w))
 
 
-def section_of(text: Column, low: Column, opening: str, least: int, end: str) -> Column:
-    """struct(title, content) from the first opening; null where less than `least` characters follow. The section goes on to the
-    first end behind those, or to the end of the text. Linear in the text: nothing is tried twice, and the pattern only where `low`, the
-    text in lower case with single blanks, has the words of the opening."""
+def in_bytes(pattern: str) -> re.Pattern[bytes]:
+    """The pattern over UTF-8 in lower case; signs of several bytes leave their classes."""
 
-    def body(title: Column, after: Column) -> Column:
-        head, tail = F.substring(after, 1, least), F.substring(after, least + 1, (1 << 31) - 1)
-        return F.when(F.length(head) == least, F.struct(title.alias("title"), F.btrim(F.concat(head, F.get(F.split(tail, f"(?i){end}", 2), 0))).alias("content")))
+    def apart(m: re.Match[str]) -> str:
+        wide = [c for c in m[1] if c > "\x7f"]
+        return f"(?:[{''.join(c for c in m[1] if c <= '\x7f')}]|{'|'.join(wide)})" if wide else m[0]
 
-    def cut(parts: Column) -> Column:
-        before, after = F.get(parts, 0), F.get(parts, 1)
-        size = F.octet_length(text) - F.octet_length(before) - F.octet_length(after)
-        title = F.substring(text.cast("binary"), F.octet_length(before) + 1, size).cast("string")
-        return F.when(after.isNotNull(), let(F.ltrim(after, F.lit(BLANKS)), lambda rest: body(title, rest)))
+    return re.compile(re.sub(r"\[([^\]]*)\]", apart, pattern).encode())
 
-    held = reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in words_of(opening)], F.lit(True))
-    return F.when(held, let(F.split(text, f"(?i){opening}", 2), cut))
+
+def section_of(text: bytes, low: bytes, opening: re.Pattern[bytes], words: list[bytes], least: int, end: re.Pattern[bytes]) -> tuple[bytes, bytes] | None:
+    """(title, content) from the first opening; None where less than `least` characters follow. The section goes on to the first end
+    behind those, or to the end of the text. `low` is the text with small a-z. Linear in the text: nothing is tried twice, and the
+    pattern only where the text has the words of the opening."""
+    if not all(w in low for w in words) or not (m := opening.search(low)):
+        return None
+    start = m.end()
+    while start < len(text) and text[start] in BLANKS:
+        start += 1
+    if len(text) - start < least:
+        return None
+    head = text[start : start + 4 * least]  # no character has more than four bytes
+    if head[:least].isascii():
+        behind = start + least
+    else:
+        signs = head.decode("utf-8", "ignore")
+        if len(signs) < least:
+            return None
+        behind = start + len(signs[:least].encode())
+    e = end.search(low, behind)
+    return text[m.start() : m.end()], text[start : e.start() if e else len(text)].strip(b" ")
+
+
+#: Bytes of contents that a task hands on at once.
+HANDED_ON = 4 << 20
 
 
 def filing_sections(docs: DataFrame, key: str, form: str, text: str, most: int | None = None, kinds: tuple[Section, ...] = SECTIONS) -> DataFrame:
     """(key, section_type, section_title, content): the sections of a filing that its form can hold, the first title that
     gives one; lists of subsidiaries only if they are such. `most` cuts contents, None keeps them whole. Line ends count as blanks;
     a null text has no sections."""
-
-    def found(s: Section) -> Column:
-        hit = F.when(F.col("form").isin(*s.forms), F.coalesce(*[section_of(F.col("text"), F.col("low"), t, s.least, end) for t, end in s.openings()]))
-        return let(hit, lambda h: F.when(h.isNotNull(), F.struct(F.lit(s.kind).alias("section_type"), h["title"].alias("section_title"), h["content"].alias("content"))))
-
-    read = docs.select(key, F.col(form).alias("form"), F.col(text).alias("text")).select("*", F.regexp_replace(F.lower("text"), r"\s\s+|[\t\n\x0B\f\r]", " ").alias("low"))
-    rows = read.select(key, F.explode(F.array_compact(F.array(*map(found, kinds)))).alias("s")).select(key, "s.*")
+    sought = [(s.kind, s.forms, s.least, [(in_bytes(t), sorted({w.encode() for p in words_of(t) for w in p.split()}, key=len, reverse=True), in_bytes(e)) for t, e in s.openings()]) for s in kinds]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, forms, rows, size = batch.column(2).cast(pa.large_binary()), batch.column(1).to_pylist(), [], 0
+            for i, of in enumerate(forms):
+                mine = [s for s in sought if of in s[1]]
+                whole = texts[i].as_py() if mine else None
+                low = (whole or b"").lower()
+                for kind, _, least, openings in mine:
+                    hit = next((x for o, words, e in openings if (x := section_of(whole, low, o, words, least, e))), None) if whole else None
+                    if hit:
+                        rows.append((i, kind, *hit))
+                        size += len(hit[1])
+                if rows and (size > HANDED_ON or i == len(forms) - 1):
+                    of_row, named, titles, contents = zip(*rows, strict=True)
+                    out = [pa.array(named), *[pa.array(x, pa.binary()).cast(pa.string(), safe=False) for x in (titles, contents)]]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of_row)), *out], ["key", "section_type", "section_title", "content"])
+                    rows, size = [], 0
+
+    read = docs.select(F.col(key).alias("key"), F.col(form).alias("form"), F.col(text).alias("text"))
+    schema = T.StructType([T.StructField("key", read.schema["key"].dataType), *[T.StructField(c, T.StringType()) for c in ("section_type", "section_title", "content")]])
+    rows = read.mapInArrow(found, schema).withColumnRenamed("key", key)
     fine = F.when(F.col("section_type") == "exhibit_21", is_subsidiary_list(F.col("content"))).when(F.col("section_type") == "exhibit_22", F.length("content") > 200).otherwise(True)
     whole = F.col("content") if most is None else F.when(F.length("content") > most, F.concat(F.substring("content", 1, most), F.lit("\n\n[TRUNCATED]"))).otherwise(F.col("content"))
     head = F.when(F.length("section_title") > 250, F.concat(F.substring("section_title", 1, 250), F.lit("..."))).otherwise(F.col("section_title"))
-    return rows.where(fine).select(key, "section_type", head.alias("section_title"), F.regexp_replace(F.regexp_replace(whole, r"\n{3,}", "\n\n"), " {3,}", "  ").alias("content"))
+    # patterns only where there is something for them
+    fewer = lambda x, sign, pattern, to: let(x, lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, to)).otherwise(t))
+    return rows.where(fine).select(key, "section_type", head.alias("section_title"), fewer(fewer(whole, "\n\n\n", r"\n{3,}", "\n\n"), "   ", " {3,}", "  ").alias("content"))
 
 
 # ---- figures checked against their statement -----------------------------------------------------

@@ -133,3 +133,23 @@ def test_openings_are_tried_only_where_their_words_are(spark):
     assert {(r.id, r.section_type, r.section_title) for r in found} == {
         (i, kind, body[1 + len(g) :].split("  word")[0]) for (i, _, body), kind, g in zip(rows, ("credit_agreement", "covenants", "debt_footnote", "guarantor_list") * 2, ["\n"] * 4 + [" \t "] * 4)
     }
+
+
+def test_sections_are_cut_at_places_of_characters(spark, monkeypatch):
+    """Signs of two to four bytes before, in and behind openings and around the least length; no pattern runs over texts in Spark."""
+    monkeypatch.setattr(filings, "HANDED_ON", 2_000)
+    rows = []
+    for i, sign in enumerate("xé–😀İ"):
+        for n in (995, 996, 999, 1000, 1300):
+            rows += [(len(rows), "10-Q", f"{sign * 7} NOTE 4{'—' if i % 2 else ': '}Long–Term  Debt \x0b\n{sign * n}note 5– next"), (len(rows) + 1, "10-K", f"Liquidity\nand  Capital Resources {sign}{'ab ' * (n // 3)}{sign}")]
+    docs = spark.createDataFrame(rows, "id int, form string, body string")
+    found = filings.filing_sections(docs, "id", "form", "body")
+    want = {}
+    for i, form, t in rows:
+        for s in filings.SECTIONS:
+            x = next((x for o, e in s.openings() if (x := plain_section(t, o, s.least, e))), None) if form in s.forms else None
+            if x:
+                want[i, s.kind] = x[0], re.sub(" {3,}", "  ", re.sub("\n{3,}", "\n\n", x[1]))
+    assert {(r.id, r.section_type): (r.section_title, r.content) for r in found.collect()} == want
+    assert 20 < len(want) < len(rows)
+    assert "(?i)" not in found._jdf.queryExecution().optimizedPlan().toString()
