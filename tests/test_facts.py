@@ -106,6 +106,9 @@ def test_bond_links_are_worked_out_once(spark, monkeypatch):
 
 def test_few_facts_are_moved_and_near_days_meet_once(spark):
     papers, debt = book(spark)
+    plan = facts.reverse_links(papers, debt, papers.where("doc_id = 20"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan  # below which the texts would lie
+    assert plan.count("([0-9A-Z]{9})") == 1  # texts are read once
     sizes = [(r.instrument_id, len(r.facts)) for r in facts.instrument_facts(debt).collect()]
     assert max(n for _, n in sizes) <= 7  # one of each kind, and the notes of its name
     start = DAY(2020, 1, 1)
@@ -121,9 +124,6 @@ def test_few_facts_are_moved_and_near_days_meet_once(spark):
                 want[i, 1000 + k] = max(issuer, 0.70 if i == k else 0.55), "issuer_issue_date" if issuer else "reverse_match"
     assert {(r.doc_id, r.instrument_id): (r.score, r.method) for r in found.collect()} == want
     assert max(r.n for r in facts.document_facts(papers, facts.WHOLE).selectExpr("size(facts) as n").collect()) <= 6
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftAnti" not in plan  # below which the texts would lie
-    assert plan.count("([0-9A-Z]{9})") == 1  # texts are read once
 
 
 def test_the_query_reads_whole_texts(spark, monkeypatch):
